@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding
+from . import decontaminate, gbt, neardup, packing, sharding
 
 #: Place of the public tokenizer's file; a parameter of the operators that need it.
 TOKENIZER = "word_bpe_49k.json"
@@ -35,9 +35,24 @@ def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op1_lemma_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lemma_decontamination": op1_lemma_decontamination,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
     "op7_tiered_packing": op7_tiered_packing,
+    "op9_chosen_path_dedup": op9_chosen_path_dedup,
+    "op10_boosted_quality": op10_boosted_quality,
 }
 ORACLES: dict[str, str] = {}
 
