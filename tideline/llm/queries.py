@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gbt, neardup, packing, sharding
+from . import decontaminate, gbt, html, neardup, packing, rules, sharding
 
 #: Place of the public tokenizer's file; a parameter of the operators that need it.
 TOKENIZER = "word_bpe_49k.json"
@@ -47,14 +47,26 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lemma_decontamination": op1_lemma_decontamination,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
+    "op5_block_extraction": op5_block_extraction,
+    "op6_quality_rules": op6_quality_rules,
     "op7_tiered_packing": op7_tiered_packing,
     "op9_chosen_path_dedup": op9_chosen_path_dedup,
     "op10_boosted_quality": op10_boosted_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": rules.sql(),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
