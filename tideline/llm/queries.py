@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gbt, html, neardup, packing, rules, sharding
+from . import chat, decontaminate, gbt, html, neardup, packing, rules, secrets, sharding
 
 #: Place of the public tokenizer's file; a parameter of the operators that need it.
 TOKENIZER = "word_bpe_49k.json"
@@ -55,12 +55,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_turns(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lemma_decontamination": op1_lemma_decontamination,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
+    "op4_secret_forest": op4_secret_forest,
     "op5_block_extraction": op5_block_extraction,
     "op6_quality_rules": op6_quality_rules,
     "op7_tiered_packing": op7_tiered_packing,
+    "op8_tool_call_linking": op8_tool_call_linking,
     "op9_chosen_path_dedup": op9_chosen_path_dedup,
     "op10_boosted_quality": op10_boosted_quality,
 }
