@@ -151,3 +151,11 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The documents, unchanged, that the classifier accepts."""
+    column = "quality_score"
+    while column in docs.columns:
+        column += "_"
+    return score(docs, train(docs, labels), column).filter(F.col(column) >= cut).drop(column)

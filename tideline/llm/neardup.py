@@ -334,3 +334,21 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, node_cap: in
     rows = rows.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).join(found, "rep", "left")
     component = F.coalesce("component", "rep")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, unchanged, without all but the first of each group of near-duplicates.
+
+    Rows without ``doc_id`` stay; of rows that share a ``doc_id`` one stays.
+    """
+    scratch = Scratch(docs.sparkSession, "first")
+    ids = near_duplicates(docs, k, percent).select("doc_id", "kept").filter("doc_id is not null")
+    count = ids.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
+    count = scratch.keep(count, "out")
+    gone, repeated = count.filter("not kept").select("doc_id"), count.filter("kept").select("doc_id")
+    small = count.count() <= SURE_IDS
+    out = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")  # at most SURE_IDS ids are broadcast
+    if not repeated.isEmpty():
+        ids = F.broadcast(repeated) if small else repeated
+        out = out.join(ids, "doc_id", "left_anti").unionByName(out.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(docs.columns)

@@ -4,23 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, gbt, html, neardup, packing, rules, secrets, sharding
-
-#: Place of the public tokenizer's file; a parameter of the operators that need it.
-TOKENIZER = "word_bpe_49k.json"
-
-
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import chat, decontaminate, gbt, html, maxent, neardup, packing, rules, secrets, sharding
+from .inputs import table, tokenizer_path
 
 
 def op2_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +59,7 @@ def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lemma_decontamination": op1_lemma_decontamination,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
+    "op3_maxent_scores": op3_maxent_scores,
     "op4_secret_forest": op4_secret_forest,
     "op5_block_extraction": op5_block_extraction,
     "op6_quality_rules": op6_quality_rules,
@@ -73,10 +67,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_call_linking": op8_tool_call_linking,
     "op9_chosen_path_dedup": op9_chosen_path_dedup,
     "op10_boosted_quality": op10_boosted_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op6_quality_rules": rules.sql(),
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
