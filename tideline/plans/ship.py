@@ -8,9 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add the package to the session's Python files once; returns the session."""
+    """Add the package to the session's Python files once; returns the session.
+
+    Batches for Python are held to 4 MB unless the session says otherwise: rows
+    may be long texts, and the default counts rows only.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     context = spark.sparkContext
     if getattr(context, "_tideline_shipped", False):
         return spark
