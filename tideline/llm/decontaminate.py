@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from .textblock import LOWER, SPACE, U64, arrow_bytes, mix, slices
+from .textblock import LOWER, SPACE, U64, arrow_bytes, mix, slices, trimmed
 
 Q = 12
 SEGMENT = 120
@@ -229,7 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     types = [pa.int64()] * 4 + [pa.int32()] * 2
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND))
+        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), FOUND))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -250,5 +250,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         keep[a + r] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(trimmed(run), out.schema)
     return out

@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.ship import ship
 from .docstats import NAMES, doc_stats
-from .textblock import arrow_bytes, slices
+from .textblock import arrow_bytes, slices, trimmed
 
 SAMPLE = 20_000
 BINS = 64
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")  # at most ``sample`` rows
-    rows = known.mapInArrow(_features, "quality double, x array<float>").orderBy("quality", "x").limit(sample).toArrow()
+    rows = known.mapInArrow(trimmed(_features), "quality double, x array<float>").orderBy("quality", "x").limit(sample).toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float32).reshape(-1, len(NAMES))
     y = (rows.column("quality").to_numpy() >= 0.5).astype(np.float64)
     return fit(x, y)
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Trees, column: str = "score") -> DataFrame:
                 parts.append(shared.value.score(doc_stats(data[base : offsets[b]], offsets[a : b + 1] - base)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

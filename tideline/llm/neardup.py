@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..plans.ship import ship
 from .components import connected_components
 from .store import Scratch
-from .textblock import U64, Words, arrow_bytes, mix, shingle_sets, slices
+from .textblock import U64, Words, arrow_bytes, mix, shingle_sets, slices, trimmed
 
 TREES = 12
 SKETCH = 64
@@ -213,7 +213,7 @@ def _sets(k: int) -> Callable:
 def _by_group(df: DataFrame, run: Callable) -> DataFrame:
     """``run`` over runs of equal ``grp``; rows of a group are together and sorted."""
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, "grp").sortWithinPartitions("grp", "rep").mapInArrow(run, "a long, b long")
+    return df.repartition(parts, "grp").sortWithinPartitions("grp", "rep").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _nodes(reps: DataFrame, scratch: Scratch, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -274,7 +274,7 @@ def _by_hubs(rows: DataFrame, percent: int, scratch: Scratch, cap: int) -> tuple
                     ["grp", "rep", "shingles", "hub", "inter", "total"],
                 )
 
-        near = near.mapInArrow(measure, "grp long, rep long, shingles binary, hub long, inter long, total long").filter("rep <> hub")
+        near = near.mapInArrow(trimmed(measure), "grp long, rep long, shingles binary, hub long, inter long, total long").filter("rep <> hub")
         near = scratch.keep(near.withColumn("ok", F.expr(f"100 * inter >= {percent} * total")).withColumn("d", F.expr("1 - inter / total")), "hub")
         edges.append(near.filter("ok").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
         gap = near.filter("not ok").groupBy("grp").agg(F.min("d").alias("least"))
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, node_cap: in
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark, "neardup")
     docs = docs.select("doc_id", "text")
-    signed = scratch.keep(docs.mapInArrow(_signatures(k), SIGNED), "signed")
+    signed = scratch.keep(docs.mapInArrow(trimmed(_signatures(k)), SIGNED), "signed")
     same = (
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, node_cap: in
     involved = clusters.select("rep")
     if involved.count() <= SURE_IDS:
         involved = F.broadcast(involved)  # at most SURE_IDS ids; beyond that a shuffle join
-    sets = docs.join(involved, docs.doc_id == involved.rep, "left_semi").mapInArrow(_sets(k), "rep long, shingles binary")
+    sets = docs.join(involved, docs.doc_id == involved.rep, "left_semi").mapInArrow(trimmed(_sets(k)), "rep long, shingles binary")
     sets = sets.filter(F.length("shingles") > 0)
     if not any_large:
         grouped = sets.join(clusters, "rep").select(F.col("cluster").alias("grp"), "rep", "shingles")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..plans.ship import ship
-from .textblock import arrow_bytes, slices
+from .textblock import arrow_bytes, slices, trimmed
 from .tokens import word_tokenizer
 
 WINDOW = 4096
@@ -150,7 +150,7 @@ def pack(
     tokenizer_path: str,
     tiers: tuple[int, ...] = TIERS,
     end_id: int = END_ID,
-    block_tokens: int = 4_000_000,
+    block_tokens: int = 2_000_000,
     step_tokens: int = 16 * WINDOW,
 ) -> DataFrame:
     """Pieces of all documents: which ids lie where in which window."""
@@ -162,7 +162,7 @@ def pack(
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             data, offsets = arrow_bytes(batch.column(1))
-            for a, b in slices(offsets, 1 << 21):
+            for a, b in slices(offsets):
                 texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
                 for i, ids in enumerate(tokenizer.encode(texts)):
                     block.add(doc_ids[a + i], np.append(ids, np.uint32(end_id)))
@@ -171,4 +171,4 @@ def pack(
         if block.tokens:
             yield block.flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)

@@ -32,7 +32,7 @@ from ..plans.ship import ship
 from .forest import Forest, fit
 from .rules import STOP_WORDS
 from .store import Scratch
-from .textblock import arrow_bytes, slices
+from .textblock import arrow_bytes, slices, trimmed
 
 LEAST = 16
 SAMPLE = 20_000
@@ -153,7 +153,7 @@ def find(docs: DataFrame) -> DataFrame:
                 types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.bool_(), pa.list_(pa.float32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "source").mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long"), "text", "source").mapInArrow(trimmed(run), FOUND)
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def score(found: DataFrame, model: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(shared.value.score(x))], names=[*keep, "score"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "x")
-    return found.mapInArrow(run, f"{schema}, score double")
+    return found.mapInArrow(trimmed(run), f"{schema}, score double")
 
 
 def model_for(docs: DataFrame, labels: DataFrame | None = None) -> tuple[Forest, DataFrame]:
@@ -242,4 +242,4 @@ def redact(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT) -
                     batch = batch.set_column(j, batch.schema.field(j), pa.array(counts, batch.schema.field(j).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

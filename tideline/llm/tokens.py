@@ -18,7 +18,7 @@ class WordTokenizer:
     encoded whole. ``limit`` bounds the words remembered in a worker process.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
