@@ -158,6 +158,8 @@ def search(index: Segments, data: np.ndarray, offsets: np.ndarray) -> Iterator[t
     row = np.searchsorted(bounds, at, side="right") - 1
     inside = at + Q <= bounds[row + 1]
     at, k, row = at[inside], k[inside], row[inside]
+    if not len(at):
+        return
     n = index.first[k + 1] - index.first[k]
     post = np.repeat(index.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(int(n.sum()))
     at, row = np.repeat(at, n), np.repeat(row, n)
