@@ -1,0 +1,279 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.llm import chat, components, decontaminate, forest, gbt, html, maxent, neardup, packing, rules, secrets, sharding
+from tideline.llm.inputs import tokenizer_path
+from tideline.llm.store import Scratch
+from tideline.llm.textblock import Words, shingle_sets
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long, kept string, shard int, vslot int, x int"
+LONG = " ".join(f"word{i % 997} the of and" for i in range(60_000))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away from the old house by the river in the dark of the night"
+    row = lambda i, t, s="src": (i, t, None, s, None if t is None else len(t), 0.5, 7, "k", 1, 2, 3)
+    rows = [row(1, text), row(2, text), row(2, text), row(3, None), row(4, ""), row(5, " \n\t "), row(None, text), row(None, None, None), row(6, "one two"), row(7, LONG, None), row(8, "É" * 50)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def test_sharding(docs, none):
+    rows = sharding.shard_documents(docs, 3).collect()
+    assert len(rows) == 11
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows}[3] == (16, 0)
+    assert sharding.shard_documents(none, 3).count() == 0
+
+
+def test_slot_map_is_versioned_and_moves_little(spark, tmp_path):
+    sizes = {i: 10 + i % 7 for i in range(512)}
+    first = sharding.build_map(sizes, 8, 512)
+    grown = sharding.rebalance(first, sizes, 9)
+    load = [sum(sizes[i] for i, s in enumerate(grown.shards) if s == k) for k in range(9)]
+    assert max(load) - min(load) < 0.1 * max(load)
+    assert sum(a != b for a, b in zip(first.shards, grown.shards)) < 512 / 6
+    shrunk = sharding.rebalance(grown, sizes, 8)
+    assert max(shrunk.shards) == 7 and all(b == a for a, b in zip(grown.shards, shrunk.shards) if a < 8 and b == a)
+    for m in (first, grown):
+        sharding.write_map(spark, m, str(tmp_path / "map"))
+    assert sharding.read_map(spark, str(tmp_path / "map")) == grown
+    assert sharding.read_map(spark, str(tmp_path / "map"), 1) == first
+
+
+def test_near_duplicates(docs, none):
+    rows = neardup.near_duplicates(docs).collect()
+    assert len(rows) == 11
+    got = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert got[2].component_id == 1 and not got[2].kept and got[1].kept
+    assert got[3].n_shingles == got[4].n_shingles == got[5].n_shingles == 0 and got[6].n_shingles == 1
+    assert all(r.component_id is None and r.kept for r in rows if r.doc_id is None)
+    assert neardup.near_duplicates(none).count() == 0
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 8]
+    repeated = docs.filter("doc_id = 2")
+    assert neardup.one_of_each(repeated).count() == 1
+
+
+def _clouds(spark, n=48):
+    """Clusters of near copies around bases, borderline pairs among them, and texts that share a passage."""
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    passage = [word() for _ in range(60)]
+    rows, i = [], 0
+    for c in range(6):
+        base = [word() for _ in range(100)]
+        for _ in range(n // 6):
+            copy = list(base)
+            for at in rng.choice(100, rng.integers(0, 5), replace=False):
+                copy[at] = word()
+            rows.append((i, " ".join(copy)))
+            i += 1
+    for _ in range(n):
+        rows.append((i, " ".join(passage + [word() for _ in range(30)])))
+        i += 1
+    return spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+
+
+@pytest.mark.parametrize(("node_cap", "cluster_cap"), [(4000, 4000), (6, 5)])
+def test_large_nodes_and_clusters_lose_no_link(spark, node_cap, cluster_cap):
+    from .test_contracts import components as brute
+    from .test_contracts import shingles
+
+    df, text = _clouds(spark)
+    want = brute({i: shingles(t, 4) for i, t in text.items()}, 80)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, node_cap=node_cap, cluster_cap=cluster_cap).collect()}
+    assert got == want
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.v: r.component for r in components.connected_components(df, Scratch(spark, "cc")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
+    assert components.connected_components(df.limit(0), Scratch(spark, "cc")).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_position():
+    texts = [b"Alpha beta", b"", b"  beta\x0bALPHA\n", b"x" * 3_000_000 + b" beta", "É beta é".encode()]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    w = Words(data, offsets)
+    assert w.counts().tolist() == [2, 0, 2, 2, 2]
+    assert w.hash[0] == w.hash[3] and w.hash[1] == w.hash[2] == w.hash[5]
+    _, at = shingle_sets(w, 4)
+    assert np.diff(at).tolist() == [1, 0, 1, 1, 1]
+
+
+def test_decontamination(spark, docs, none):
+    bench = spark.createDataFrame([(1, "Jumps over the LAZY dog  and runs away from the old house"), (2, None), (3, "short"), (4, "no such passage as this one exists in any of them")], "item_id long, text string")
+    rows = decontaminate.find(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.edits) for r in rows) == [("1", 1, 0), ("2", 1, 0), ("2", 1, 0), ("None", 1, 0)]
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == 7
+    assert decontaminate.find(none, bench).count() == 0
+    assert decontaminate.find(docs, bench.limit(0)).count() == 0
+    assert decontaminate.clean(docs, bench.limit(0)).count() == 11
+
+
+def test_edited_passages_are_found_within_the_budget(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    passage = "".join(rng.choice(letters, 240))
+    noise = lambda n: "".join(rng.choice(letters, n))
+    edited = passage[:40] + "Q" + passage[41:100] + passage[101:180] + "zz" + passage[180:]
+    far = "".join(c if i % 7 else "Q" for i, c in enumerate(passage))
+    docs = spark.createDataFrame([(1, noise(500) + edited + noise(500)), (2, noise(1200)), (3, noise(300) + far + noise(300))], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    rows = decontaminate.find(docs, bench).collect()
+    assert [(r.doc_id, r.item_id) for r in rows] == [(1, 9)]
+
+
+def test_alignment_equals_a_full_table():
+    rng = np.random.default_rng(1)
+
+    def full(p, r):
+        row = np.zeros(len(r) + 1, int)
+        for i, c in enumerate(p, 1):
+            new = np.empty_like(row)
+            new[0] = i
+            for j, d in enumerate(r, 1):
+                new[j] = min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1)
+            row = new
+        return int(row.min())
+
+    for _ in range(60):
+        p = rng.integers(0, 4, 30)
+        r = np.concatenate([rng.integers(0, 4, 10), p, rng.integers(0, 4, 10)])
+        for _ in range(rng.integers(0, 5)):
+            at = int(rng.integers(0, len(r)))
+            r = np.delete(r, at) if rng.random() < 0.5 else np.insert(r, at, rng.integers(0, 4))
+        got = decontaminate.align(p.astype(np.int64), r.astype(np.int64), 10, 14, 8)
+        assert got is not None and got[0] == full(p, r)
+
+
+def test_language_model(docs, none):
+    rows = maxent.score(docs).collect()
+    assert len(rows) == 11
+    empty = next(r for r in rows if r.doc_id == 3)
+    assert empty.n_tokens == 1 and empty.score < 0
+    assert maxent.score(none).count() == 0
+
+
+def test_secrets(spark, docs, none):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    more = spark.createDataFrame([(20 + i, f'config token = "{key[i:]}{key[:i]}" end, order 4929000011112222 shipped', None, "a.env", 80, 0.1, 1, "k", 1, 1, 1) for i in range(12)], SCHEMA)
+    all_docs = docs.unionByName(more)
+    rows = secrets.scan(all_docs).collect()
+    assert sum(r.secret for r in rows) == 12 and len(rows) == 24
+    safe = secrets.redact(all_docs)
+    assert safe.columns == docs.columns and safe.count() == 23
+    got = {r.doc_id: r for r in safe.collect()}
+    assert got[20].text == 'config token = "[SECRET]" end, order 4929000011112222 shipped' and got[20].n_chars == len(got[20].text)
+    assert got[3].text is None and got[7].text == LONG
+    assert secrets.scan(none).count() == 0 and secrets.redact(none).count() == 0
+    assert secrets.scan(docs).count() == 0
+
+
+def test_html(spark):
+    pages = spark.createDataFrame([(1, None, None, 5), (2, "u", "", 5), (2, "u", "<p>" * 3000 + "the end of it" + "<div" , 5), (None, "u", "<article>" + "<p>a b</p>" * 20_000, 5)], "page_id long, url string, html string, text int")
+    rows = html.extract(pages).collect()
+    assert len(rows) == 4 and rows[0].text == "" and rows[3].n_chars == 20_000 * 4 - 1
+    assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_rules(docs, none):
+    rows = rules.apply_rules(docs).collect()
+    got = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert len(rows) == 11 and got[3].n_words == got[5].n_words == 0 and not got[3].kept
+    assert got[1].kept and got[7].n_words == 240_000
+    assert rules.apply_rules(none).count() == 0
+
+
+def test_repeated_windows_are_counted_once_a_word(spark):
+    eight = "a b c d e f g h"
+    text = {1: f"{eight} {eight}", 2: "x " * 20, 3: eight + " i j " + eight, 4: eight}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    assert {r.doc_id: r.n_repeat_words for r in rules.measures(df).collect()} == {1: 16, 2: 20, 3: 16, 4: 0}
+
+
+def test_packing(docs, none):
+    rows = packing.pack(docs, tokenizer_path()).collect()
+    assert sum(r.length for r in rows if r.doc_id == 3) == 1
+    assert sum(r.doc_id == 2 and r.start == 0 for r in rows) == 2
+    assert packing.pack(none, tokenizer_path()).count() == 0
+
+
+def test_pack_block_keeps_every_token():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = rng.integers(1, 9000, rng.integers(1, 60)).tolist()
+        windows = packing.pack_block(lengths)
+        seen = {}
+        for w in windows:
+            size = sum(n for _, _, n in w)
+            assert size <= 4096 and size & (size - 1) == 0
+            for doc, at, n in w:
+                seen.setdefault(doc, []).append((at, n))
+        for doc, n in enumerate(lengths):
+            at = 0
+            for start, size in sorted(seen[doc]):
+                assert start == at
+                at += size
+            assert at == n
+
+
+def test_chat(spark):
+    calls = [("c", 0, "a", "f", '{"q":"x","n":1}', None), ("c", 5, "b", "f", '{"n":"1"}', None), ("c", 1, "d", "f", '{"q":"y","n":2}', "b"), ("c", 9, "a", "f", "{", None),
+             (None, 1, "a", "f", "{}", None), ("c", 2, "e", "g", "{}", None), ("c", 3, "h", "f", "[1]", None), ("c", 3, "i", "f", None, None), ("z", 1, "p", "f", '{"q":"x","n":1}', "r"), ("z", 1, "r", "f", '{"q":"x","n":1}', "p")]
+    results = [("c", 1, "a", "ra"), ("c", 4, "b", "early"), ("c", 7, "b", "late"), ("c", 2, "zz", "lost"), ("c", 2, None, "no id"), ("z", 2, "p", "x"), ("z", 2, "r", "x")]
+    c = spark.createDataFrame(calls, "conv_id string, turn int, call_id string, name string, arguments string, after string")
+    r = spark.createDataFrame(results, "conv_id string, turn int, call_id string, content string")
+    schemas = {"f": {"q": chat.Field("string", least=1), "n": chat.Field("integer")}}
+    rows = chat.link(c, r, schemas).collect()
+    at = lambda row: (row.order_turn, row.order_rank)
+    by = {(x.kind, x.call_id, x.conv_id): x for x in rows if x.kind == "call"}
+    status = {k[1]: v.status for k, v in by.items() if k[2] == "c"}
+    assert status == {"a": "ok", "b": "bad_arguments", "d": "ok", "e": "unknown_tool", "h": "bad_json", "i": "bad_json"}
+    assert by["call", "a", "c"].copies == 2 and by["call", "b", "c"].links == 2
+    assert by["call", "a", "c"].json == '{"arguments":{"n":1,"q":"x"},"id":"a","name":"f","type":"call"}'
+    assert {x.status for x in rows if x.conv_id == "z" and x.kind == "call"} == {"cyclic"}
+    b = [x for x in rows if x.kind == "result" and x.call_id == "b"]
+    assert all(at(x) > at(by["call", "b", "c"]) for x in b)
+    assert at(by["call", "d", "c"]) > min(map(at, b))
+    assert sorted(x.status for x in rows if x.kind == "result" and x.conv_id == "c") == ["no_id", "ok", "ok", "ok", "orphan"]
+    assert chat.link(c.limit(0), r.limit(0), schemas).count() == 0
+    turns = spark.createDataFrame([(1, 0, "user", None), (None, None, "user", "x"), (1, 1, "assistant", ""), (1, 1, "assistant", ""), (2, 0, None, "x")], "conv_id long, turn long, role string, text string")
+    assert chat.link_turns(turns).count() == 4
+
+
+def test_classifier(spark, docs, none):
+    labels = spark.createDataFrame([(i, int(i != 8), 0) for i in (1, 2, 6, 7, 8)] + [(3, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = gbt.classify(docs, labels).collect()
+    assert len(rows) == 11 and all(0 <= r.score <= 1 for r in rows)
+    assert gbt.classify(none, labels).count() == 0
+    assert {r.score for r in gbt.classify(docs, labels.limit(0)).collect()} == {0.5}
+    kept = gbt.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+
+
+def test_trees_and_forest_learn_a_rule():
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 5)).astype(np.float32)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    assert ((gbt.fit(x, y).score(x) > 0.5) == y).mean() > 0.95
+    assert ((forest.fit(x, y).score(x) > 0.5) == y).mean() > 0.9
+    assert forest.fit(x[:0], y[:0]).score(x[:3]).tolist() == [0, 0, 0]
+    assert gbt.fit(x, np.ones(2000)).score(x[:2]).min() > 0.99
+
+
+def test_extra_columns_are_ignored(docs):
+    assert set(maxent.score(docs.withColumn("base_score", F.lit("x"))).columns) >= {"base_score", "score"}
