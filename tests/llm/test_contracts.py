@@ -91,9 +91,11 @@ def test_language_model_counts_exactly_and_beats_the_base(spark, sf, docs):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_secrets_are_told_from_numbers(spark, sf, docs):
+def test_secrets_are_told_from_numbers(spark, sf):
     import re
 
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables hold no token
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
     text = dict(docs)
     rows = Q["op4_secret_forest"](spark, sf).collect()
     found = {(r.doc_id, r.start, r.end): r.secret for r in rows}

@@ -100,7 +100,6 @@ def figures(text: bytes, start: int, end: int, source: str) -> list[float]:
     before = text[max(0, start - CONTEXT) : start]
     after = text[end : end + CONTEXT]
     near = [w.lower().decode() for w in _WORD.findall(before)][-4:]
-    follow = [w.lower().decode() for w in _WORD.findall(after)][:3]
     tail = before.rstrip(b" \"'`")
     path = source.lower()
     runs = np.diff(np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]])))
@@ -110,7 +109,7 @@ def figures(text: bytes, start: int, end: int, source: str) -> list[float]:
         sum(a == b for a, b in zip(value, value[1:])) / n, int(runs.max()), sum(len(w) for w in words if w.decode() in DICTIONARY) / n,
         _PREFIX.match(value) is not None, value.startswith(b"-----BEGIN"), value.count(b"/"), b"://" in before[-40:] or b"www." in before[-40:],
         any(w in path for w in ("test", "example", "fixture", "sample")), path.endswith((".py", ".js", ".java", ".env", ".yml", ".json", ".cfg", ".ini")),
-        bool(near) and near[-1] in KEY_WORDS, any(w in KEY_WORDS for w in near), any(w in HARMLESS for w in near + follow),
+        bool(near) and near[-1] in KEY_WORDS, any(w in KEY_WORDS for w in near), any(w in HARMLESS for w in near),
         tail.endswith((b"=", b":", b"=>")), before[-1:] in (b'"', b"'", b"`") and after[:1] in (b'"', b"'", b"`"), after[:1] in (b" ", b"\n", b""),
     ]
 
