@@ -43,6 +43,7 @@ TREES = 12
 SKETCH = 64
 BRANCHES = 3
 NODE_CAP = 4000
+SMALL = 200  # members of a node that are compared without branching again
 MAX_DEPTH = 6
 CLUSTER_CAP = 4000
 CLUSTER_SHINGLES = 8_000_000
@@ -142,13 +143,27 @@ def _edge_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _branch(reps: np.ndarray, s: np.ndarray, depth: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges inside a node: compared exhaustively if small or alike, else branched on further tokens."""
+    if len(reps) <= SMALL or depth == MAX_DEPTH or ((s == s[0]).sum(axis=1) >= ALIKE).mean() > 0.3:
+        return [_stars(reps, reach(len(reps), lambda i, rest: (s[rest] == s[i]).sum(axis=1) >= ALIKE))]
+    out = []
+    for b in range(BRANCHES):
+        token = s[:, TREES + (BRANCHES * depth + b) % (SKETCH - TREES)]
+        order = np.argsort(token, kind="stable")
+        cut = np.flatnonzero(np.diff(token[order])) + 1
+        for part in np.split(order, cut):
+            if len(part) > 1:
+                out += _branch(reps[part], s[part], depth + 1)
+    return out
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges between members of a node whose sketches agree often enough."""
     found = []
     for _, (_, rep, sketch) in groups(batches):
         reps = rep.to_numpy(zero_copy_only=False)
-        s = np.frombuffer(b"".join(sketch.to_pylist()), np.uint16).reshape(len(reps), SKETCH)
-        found.append(_stars(reps, reach(len(reps), lambda i, rest, s=s: (s[rest] == s[i]).sum(axis=1) >= ALIKE)))
+        found += _branch(reps, np.frombuffer(b"".join(sketch.to_pylist()), np.uint16).reshape(len(reps), SKETCH))
         if len(found) >= 2000:
             yield _edge_batch(found)
             found = []
