@@ -160,3 +160,20 @@ def calls_of_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def link_turns(messages: DataFrame) -> DataFrame:
     return link(*calls_of_turns(messages), TURN_SCHEMAS)
+
+
+#: ``link_turns`` over ``conversations`` that hold each turn once.
+TURNS_SQL = """
+WITH m AS (SELECT conv_id, turn, role, text FROM conversations),
+calls AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, text FROM m WHERE role IN ('user', 'system')),
+results AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM m WHERE role = 'assistant'),
+answers AS (SELECT conv_id, call_id, count(*) AS n FROM results GROUP BY ALL)
+SELECT c.conv_id, c.turn AS order_turn, cast(0 AS int) AS order_rank, 'call' AS kind, c.call_id, c.name, CASE WHEN length(text) >= 1 THEN 'ok' ELSE 'bad_arguments' END AS status,
+       coalesce(a.n, 0) AS links, cast(1 AS bigint) AS copies,
+       '{"arguments":{' || coalesce('"prompt":' || to_json(text) || ',', '') || '"turn":' || c.turn || '},"id":"' || c.call_id || '","name":"' || c.name || '","type":"call"}' AS json
+FROM calls c LEFT JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
+UNION ALL
+SELECT r.conv_id, r.turn, 0, 'result', r.call_id, c.name, CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'ok' END, CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END, 1,
+       '{' || coalesce('"content":' || to_json(r.text) || ',', '') || '"id":"' || r.call_id || '"' || coalesce(',"name":"' || c.name || '"', '') || ',"type":"result"}'
+FROM results r LEFT JOIN calls c ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+"""

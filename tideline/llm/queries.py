@@ -71,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op6_quality_rules": rules.sql(),
+    "op8_tool_call_linking": chat.TURNS_SQL,
+    "op9_chosen_path_dedup": neardup.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
