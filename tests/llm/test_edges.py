@@ -137,6 +137,12 @@ def test_edited_passages_are_found_within_the_budget(spark):
     assert [(r.doc_id, r.item_id) for r in rows] == [(1, 9)]
 
 
+def test_case_of_accented_letters_is_ignored():
+    text = "Élan ÇA et × Ünder ÀÖÞß  ñ\tÑ"
+    norm, where = decontaminate.normalise(np.frombuffer(text.encode(), np.uint8))
+    assert norm.tobytes().decode() == " ".join(text.lower().split()) and len(norm) == len(where)
+
+
 def test_alignment_equals_a_full_table():
     rng = np.random.default_rng(1)
 
