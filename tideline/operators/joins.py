@@ -126,3 +126,16 @@ def comments(cdc: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Comments with the name of their grade."""
     rows = cdc_fact(cdc, "comment_info", ["id", "user_id", "sku_id", "appraise"])
     return lookup_join(rows, dictionary, "appraise", "appraise_name")
+
+
+def within_streams(
+    left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, before: str = "15 minutes", after: str = "5 seconds", delay: str = "10 seconds", how: str = "inner"
+) -> DataFrame:
+    """Interval join of two streams on event times; the bounds and watermarks let Spark drop old state.
+
+    ``how`` may be left: rows without a match come out once the watermark passes their interval.
+    """
+    key = f"_{on}"
+    r = right.withColumnRenamed(on, key).withWatermark(right_time, delay)
+    near = (F.col(right_time) >= F.col(left_time) - F.expr(f"interval {before}")) & (F.col(right_time) <= F.col(left_time) + F.expr(f"interval {after}"))
+    return left.withWatermark(left_time, delay).join(r, (F.col(on) == F.col(key)) & near, how).drop(key)

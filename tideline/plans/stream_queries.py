@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cdc as C
+from ..operators import joins as J
 from ..operators import keyed as K
 from ..operators import windows as A
 from ..sources import readers as R
@@ -217,3 +218,15 @@ def st10(spark, d):
         stream = spark.readStream.schema(pages.schema).parquet(f"{path}/in")
         out = drain(state.first_of_day(stream, "mid", "ts", "event_id").select("mid", "event_id", "first_of_day"), f"{path}/out")
     return out
+
+
+@query(
+    "x2_pay_success_stream",
+    """SELECT a.event_id AS id, b.event_id AS pay_id, a.mid AS user_id FROM v_pages a JOIN v_pages b ON a.mid = b.mid
+WHERE a.page_id = 'purchase' AND b.ts - a.ts BETWEEN -900000 AND 5000""",
+)
+def x2(spark, d):
+    bought = A.with_event_time(_pages(spark, d).filter("page_id = 'purchase'"), "ts").select(F.col("event_id").alias("id"), F.col("mid").alias("user_id"), F.col("et").alias("bought_at"))
+    seen = A.with_event_time(_pages(spark, d), "ts").select(F.col("mid").alias("user_id"), F.col("event_id").alias("pay_id"), F.col("et").alias("seen_at"))
+    joined = J.within_streams(bought, seen, "user_id", "bought_at", "seen_at")
+    return drain(joined.select("id", "pay_id", "user_id"), work_dir(spark, "x2"))
