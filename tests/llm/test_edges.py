@@ -283,3 +283,16 @@ def test_trees_and_forest_learn_a_rule():
 
 def test_extra_columns_are_ignored(docs):
     assert set(maxent.score(docs.withColumn("base_score", F.lit("x"))).columns) >= {"base_score", "score"}
+
+
+def test_intermediate_tables_can_be_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from tideline.llm import store
+
+    scratch = Scratch(spark, "gone")
+    assert scratch.keep(spark.range(3)).count() == 3
+    folder = Path(scratch.path.removeprefix("file:").replace("//", "/"))
+    assert folder.exists()
+    store.clear_all()
+    assert not folder.exists()

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_made: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/tideline-{what}-{uuid.uuid4().hex}"
         self._n = 0
+        _made.append(self)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
@@ -42,3 +44,9 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_all() -> None:
+    """Remove the folders of all calls so far; their results must have been written."""
+    while _made:
+        _made.pop().clear()
