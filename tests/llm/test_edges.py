@@ -94,6 +94,23 @@ def test_large_nodes_and_clusters_lose_no_link(spark, node_cap, cluster_cap):
     assert got == want
 
 
+def test_all_members_of_a_node_are_compared():
+    """A pair that agrees on most tokens is found in a node of many, wherever its tokens differ."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    s = rng.integers(0, 1 << 16, (900, neardup.SKETCH), dtype=np.uint16)
+    s[:, :2] = 7  # what the node's members share
+    for k in range(300):  # pairs (k, 300 + k) and (300 + k, 600 + k); the window of differing tokens moves
+        s[300 + k], s[600 + k] = s[k], s[k]
+        s[300 + k, (k + np.arange(13)) % neardup.SKETCH] ^= 1
+        s[600 + k, (k + np.arange(26)) % neardup.SKETCH] ^= 1
+    order = rng.permutation(900)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(900, np.int64)), pa.array(order), pa.array([s[i].tobytes() for i in order], pa.binary())], ["grp", "rep", "sketch"])
+    edges = {(a, b) for x in neardup._alike(iter([batch])) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+    assert edges == {(i, i % 300) for i in range(300, 900)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")

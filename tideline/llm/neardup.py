@@ -4,7 +4,7 @@ A document is the set of its k-word shingles. Equal sets are one vertex. Every
 vertex gets min-wise tokens, one for each of ``TREES`` independent coordinates.
 A tree's first branching puts a vertex into the node of its token there; nodes
 above ``NODE_CAP`` members branch again on ``BRANCHES`` further tokens, chosen
-from the node's path. Inside a node all members are compared by sketches, and
+from the node's path. Inside a node of any size up to ``NODE_CAP`` all members are compared by sketches, and
 the vertices that may be alike are joined into clusters. A pair at similarity
 0.8 shares none of 12 first nodes with probability 4e-9, and is left out by the
 64-token sketches at the 0.5 mark with probability below 1e-7.
@@ -43,7 +43,6 @@ TREES = 12
 SKETCH = 64
 BRANCHES = 3
 NODE_CAP = 4000
-SMALL = 200  # members of a node that are compared without branching again
 MAX_DEPTH = 6
 CLUSTER_CAP = 4000
 CLUSTER_SHINGLES = 8_000_000
@@ -143,19 +142,10 @@ def _edge_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _branch(reps: np.ndarray, s: np.ndarray, depth: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges inside a node: compared exhaustively if small or alike, else branched on further tokens."""
-    if len(reps) <= SMALL or depth == MAX_DEPTH or ((s == s[0]).sum(axis=1) >= ALIKE).mean() > 0.3:
-        return [_stars(reps, reach(len(reps), lambda i, rest: (s[rest] == s[i]).sum(axis=1) >= ALIKE))]
-    out = []
-    for b in range(BRANCHES):
-        token = s[:, TREES + (BRANCHES * depth + b) % (SKETCH - TREES)]
-        order = np.argsort(token, kind="stable")
-        cut = np.flatnonzero(np.diff(token[order])) + 1
-        for part in np.split(order, cut):
-            if len(part) > 1:
-                out += _branch(reps[part], s[part], depth + 1)
-    return out
+def _agree(s: np.ndarray, rest: np.ndarray, i: int) -> np.ndarray:
+    """In how many tokens each sketch of ``rest`` agrees with sketch i."""
+    eight = (s[rest] == s[i]).view(U64)  # eight comparisons a number; their sums stay below 256
+    return eight.sum(axis=1).view(np.uint8).reshape(-1, 8).sum(axis=1)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +153,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = []
     for _, (_, rep, sketch) in groups(batches):
         reps = rep.to_numpy(zero_copy_only=False)
-        found += _branch(reps, np.frombuffer(b"".join(sketch.to_pylist()), np.uint16).reshape(len(reps), SKETCH))
+        s = np.frombuffer(b"".join(sketch.to_pylist()), np.uint16).reshape(len(reps), SKETCH)
+        found.append(_stars(reps, reach(len(reps), lambda i, rest, s=s: _agree(s, rest, i) >= ALIKE)))
         if len(found) >= 2000:
             yield _edge_batch(found)
             found = []
