@@ -1,11 +1,15 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are runs of at least ``LEAST`` key characters that hold a digit, and
-lines that begin a private key. Each gets figures on its length, its character
+Candidates are runs of at least ``LEAST`` key characters that hold a digit or
+begin like a known kind of key, signed tokens of three parts, and private keys
+from their first line to their last. A name before ``=`` is no part of a value.
+Each gets figures on its length, its character
 transitions, how much of it dictionary words cover, the path it stands in and
 its neighbouring words. A forest trained on labelled findings decides; labels
 are (doc_id, start, end, secret), ``weak_labels`` derives them where no reviewed
-findings exist: a random-looking value assigned to a credential's name is one.
+findings exist: a random-looking value assigned to a name with a credential's word in it
+or given after ``Bearer`` is one, as are known kinds of keys and private keys.
+What the rule marks is then a secret, whatever the forest makes of a rare form.
 
 Findings carry a fingerprint, never the value. Offsets count characters.
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,13 +59,22 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
 _VOWEL = frozenset(b"aeiouAEIOU")
 _HEX = frozenset(b"0123456789abcdefABCDEF")
 _WORD = re.compile(rb"[A-Za-z_]{2,}")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_ENDS = re.compile(rb"[?&,;\n]")
 _LETTERS = re.compile(rb"[A-Za-z]{3,}")
-_PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-_PREFIX = re.compile(rb"AKIA[0-9A-Z]{16}|gh[pousr]_|xox[baprs]-|sk[-_]|eyJ|AIza")
+_PEM = re.compile(
+    rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rb"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{32,})*)"
+)
+_JWT = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")
+_PREFIX = re.compile(
+    rb"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{16}|github_pat_[A-Za-z0-9_]{16}|xox[baprs]-[A-Za-z0-9-]{10}|sk[-_][A-Za-z0-9_-]{16}|eyJ[A-Za-z0-9_-]{8}|AIza[A-Za-z0-9_-]{16}"
+)
+_BEARER = re.compile(rb"(?:bearer|authorization[\"']?\s*[:=]\s*[\"']?(?:basic|token))\s+[\"'`]?$", re.I)
 
 NAMES = (
     "length log_length lower upper digit other hex_only digits_only entropy switches vowel_pairs repeats longest_run covered "
-    "prefix pem slashes in_url path_test path_code key_before key_near harmless_near assigned quoted spaced_after"
+    "prefix pem slashes in_url path_test path_code key_before key_near harmless_near assigned quoted spaced_after bearer"
 ).split()
 FOUND = f"doc_id long, start long, end long, kind string, fingerprint string, context_key boolean, x array<float>"
 
@@ -68,6 +82,10 @@ FOUND = f"doc_id long, start long, end long, kind string, fingerprint string, co
 def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(text, first byte, end byte) of every candidate, bytes counted from ``data``'s start."""
     key = _KEY[data]
+    if len(key):  # a name's '=' before a value ends a run, a value's own last ones do not
+        names = (data[:-1] == ord("=")) & key[1:] & (data[1:] != ord("="))
+        names[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))] - 1] = False
+        key[:-1] &= ~names
     first, last = key.copy(), key.copy()
     if len(key):
         first[1:] &= ~key[:-1]
@@ -80,14 +98,36 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
     s, e = s[long], e[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     held = digits[e] > digits[s]
-    out = list(zip((np.searchsorted(offsets, s[held], side="right") - 1).tolist(), s[held].tolist(), e[held].tolist(), strict=True))
     raw = data.tobytes()
-    if b"-----BEGIN " in raw:
-        for m in _PEM.finditer(raw):
-            out.append((int(np.searchsorted(offsets, m.start(), side="right")) - 1, m.start(), m.end()))
+    held[[i for i in np.flatnonzero(~held) if _PREFIX.match(raw, s[i])]] = True
+    runs = list(zip((np.searchsorted(offsets, s[held], side="right") - 1).tolist(), s[held].tolist(), e[held].tolist(), strict=True))
+    whole: list[tuple[int, int, int]] = []
+    if b"-----BEGIN " in raw or b"eyJ" in raw:
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            text = raw[a:b]
+            keys = [(i, a + m.start(), a + m.end()) for m in _PEM.finditer(text)] if b"-----BEGIN " in text else []
+            signed = [(i, a + m.start(), a + m.end()) for m in _JWT.finditer(text)] if b"eyJ" in text else []
+            whole += keys + _outside(signed, keys)
+    return _outside(runs, sorted(whole)) + whole
+
+
+def _outside(spans: list[tuple[int, int, int]], whole: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that meet none of ``whole``, which is sorted and disjoint."""
+    ends = [e for _, _, e in whole]
+    out = []
+    for span in spans:
+        j = bisect_right(ends, span[1])
+        if j == len(whole) or whole[j][1] >= span[2]:
+            out.append(span)
     return out
 
 
+def _parts(name: bytes) -> list[str]:
+    """A name, and the words it is made of: ``db_password``, ``accessToken``."""
+    text = name.decode()
+    return [text.lower().strip("_"), *(w.lower() for w in _PART.findall(text))]
+
+
 def figures(text: bytes, start: int, end: int, source: str) -> list[float]:
     """The forest's input for one candidate."""
     value = text[start:end]
@@ -99,8 +139,9 @@ def figures(text: bytes, start: int, end: int, source: str) -> list[float]:
     words = _LETTERS.findall(value.lower())
     before = text[max(0, start - CONTEXT) : start]
     after = text[end : end + CONTEXT]
-    near = [w.lower().decode() for w in _WORD.findall(before)][-4:]
     tail = before.rstrip(b" \"'`")
+    near = [_parts(w) for w in _WORD.findall(_ENDS.split(tail.rstrip())[-1])][-4:]  # of the same field
+    named = [any(p in KEY_WORDS for p in w) for w in near]
     path = source.lower()
     runs = np.diff(np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]])))
     return [
@@ -109,11 +150,19 @@ def figures(text: bytes, start: int, end: int, source: str) -> list[float]:
         sum(a == b for a, b in zip(value, value[1:])) / n, int(runs.max()), sum(len(w) for w in words if w.decode() in DICTIONARY) / n,
         _PREFIX.match(value) is not None, value.startswith(b"-----BEGIN"), value.count(b"/"), b"://" in before[-40:] or b"www." in before[-40:],
         any(w in path for w in ("test", "example", "fixture", "sample")), path.endswith((".py", ".js", ".java", ".env", ".yml", ".json", ".cfg", ".ini")),
-        bool(near) and near[-1] in KEY_WORDS, any(w in KEY_WORDS for w in near), any(w in HARMLESS for w in near),
-        tail.endswith((b"=", b":", b"=>")), before[-1:] in (b'"', b"'", b"`") and after[:1] in (b'"', b"'", b"`"), after[:1] in (b" ", b"\n", b""),
+        bool(named) and named[-1], any(named), any(w[0] in HARMLESS or w[-1] in HARMLESS for w in near),
+        tail.rstrip().endswith((b"=", b":", b"=>")), before[-1:] in (b'"', b"'", b"`") and after[:1] in (b'"', b"'", b"`"), after[:1] in (b" ", b"\n", b""),
+        _BEARER.search(before) is not None,
     ]
 
 
+def _strong(x: list[float]) -> bool:
+    """Whether the rule marks a candidate with these figures."""
+    named = dict(zip(NAMES, x, strict=True))
+    told = named["key_near"] and named["assigned"] or named["bearer"]
+    return bool(named["pem"] or named["entropy"] >= 3 and (named["prefix"] or told and not named["harmless_near"]))
+
+
 def _kind(x: list[float], value: bytes) -> str:
     named = dict(zip(NAMES, x, strict=True))
     if named["pem"]:
@@ -145,9 +194,7 @@ def find(docs: DataFrame) -> DataFrame:
                     text, chars = texts[i]
                     s, e = s + base - int(offsets[i]), e + base - int(offsets[i])
                     x = [float(v) for v in figures(text, s, e, sources[i].as_py() or "")]
-                    named = dict(zip(NAMES, x, strict=True))
-                    strong = named["pem"] or (named["key_near"] and named["assigned"] and named["entropy"] >= 3 and not named["harmless_near"])
-                    rows.append((ids[i].as_py(), int(chars[s]), int(chars[e]), _kind(x, text[s:e]), hashlib.sha256(text[s:e]).hexdigest()[:16], bool(strong), x))
+                    rows.append((ids[i].as_py(), int(chars[s]), int(chars[e]), _kind(x, text[s:e]), hashlib.sha256(text[s:e]).hexdigest()[:16], _strong(x), x))
             if rows:
                 types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.bool_(), pa.list_(pa.float32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
@@ -196,8 +243,8 @@ def model_for(docs: DataFrame, labels: DataFrame | None = None) -> tuple[Forest,
 def scan(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT) -> DataFrame:
     """Every candidate with its score and verdict."""
     model, found = model_for(docs, labels)
-    scored = score(found.drop("context_key"), model)
-    return scored.withColumn("secret", F.col("score") >= cut)
+    by_rule = F.col("context_key") & F.lit(labels is None)
+    return score(found, model).withColumn("secret", (F.col("score") >= cut) | by_rule).drop("context_key")
 
 
 def redact(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT) -> DataFrame:
@@ -205,6 +252,7 @@ def redact(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT) -
     model, _ = model_for(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    by_rule = labels is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,6 +270,8 @@ def redact(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT) -
                     figs.append(figures(text, s, e, sources[i].as_py() or ""))
             if places:
                 bad = shared.value.score(np.array(figs, np.float32)) >= cut
+                if by_rule:
+                    bad |= np.array([_strong(x) for x in figs])
                 texts = batch.column(at).to_pylist()
                 counts = batch.column(batch.schema.get_field_index("n_chars")).to_pylist() if "n_chars" in names else None
                 by: dict[int, list[tuple[int, int]]] = {}
