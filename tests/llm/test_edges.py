@@ -312,6 +312,17 @@ def test_chat(spark):
     assert chat.link_turns(turns).count() == 4
 
 
+def test_long_chains_of_calls_are_no_cycles(spark):
+    calls = [("c", 0, f"k{i}", "f", "{}", f"k{i - 1}" if i else None) for i in range(100)] + [("c", 0, "x", "f", "{}", "y"), ("c", 0, "y", "f", "{}", "x"), ("c", 0, "z", "f", "{}", "y")]
+    c = spark.createDataFrame(calls, "conv_id string, turn int, call_id string, name string, arguments string, after string")
+    r = spark.createDataFrame([("c", 1 if x[2] == "k50" else 0, x[2], "r") for x in calls], "conv_id string, turn int, call_id string, content string")
+    rows = chat.link(c, r, {"f": {}}).collect()
+    at = {(x.kind, x.call_id): (x.order_turn, x.order_rank) for x in rows}
+    assert {x.call_id for x in rows if x.status == "cyclic"} == {"x", "y", "z"}
+    assert all(at["call", f"k{i}"] < at["result", f"k{i}"] for i in range(100))
+    assert all(at["result", f"k{i}"] < at["call", f"k{i + 1}"] for i in range(99))
+
+
 def test_classifier(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i != 8), 0) for i in (1, 2, 6, 7, 8)] + [(3, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = gbt.classify(docs, labels).collect()

@@ -6,7 +6,7 @@ identifier of a call whose result must come first. Both sides meet in a hash
 join on (conv_id, call_id), so a conversation of any length spreads over all
 tasks. The order is a key, not a running number, so no task sees a whole
 conversation: (turn, rank), where a result never precedes its call nor a call
-the result it waits for. Keys that violate an edge are raised until none does.
+the result it waits for. Chains of waiting calls are settled by pointer doubling.
 
 Defined results
 * a call or result without conversation or identifier is kept as ``no_id``
@@ -14,7 +14,7 @@ Defined results
 * results may repeat: each is linked; a result without call is ``orphan``
 * arguments: ``ok``, ``bad_json`` (null, not JSON or no object), ``bad_arguments``
   (a field of the schema is missing, too short or of another type), ``unknown_tool``
-* edges still violated after ``max_rounds`` rounds (a cycle) give ``cyclic``
+* calls on or behind a cycle are ``cyclic``
 * empty tables give no rows; more columns in the inputs are ignored
 """
 
@@ -68,25 +68,33 @@ def _order(turn: Column, rank: Column) -> Column:
     return F.struct(turn.cast("long").alias("turn"), rank.cast("int").alias("rank"))
 
 
-def _ordered_calls(calls: DataFrame, results: DataFrame, scratch: Scratch, max_rounds: int) -> DataFrame:
-    """Calls with an order key after the first result of the call each waits for."""
+def _ordered_calls(calls: DataFrame, results: DataFrame, scratch: Scratch) -> DataFrame:
+    """Calls with an order key after the first result of the call each waits for.
+
+    A call waits for one other at most, so every round doubles the part of its
+    chain that its key regards; what still waits after more steps than the
+    conversation has edges is on or behind a cycle and keeps its own turn.
+    """
     first = results.groupBy(*KEYS).agg(F.min("turn").alias("result_turn"))
-    calls = calls.withColumn("at", _order(F.col("turn"), F.lit(0))).withColumn("cyclic", F.lit(False))
-    for i in range(max_rounds + 1):
-        waits = calls.filter("after is not null")
-        done = calls.join(first, KEYS).select("conv_id", F.col("call_id").alias("after"), F.greatest(_order(F.col("result_turn"), F.lit(0)), _order(F.col("at.turn"), F.col("at.rank") + 1)).alias("done"))
-        late = waits.join(done, ["conv_id", "after"]).filter(F.col("done") >= F.col("at")).select(*KEYS, _order(F.col("done.turn"), F.col("done.rank") + 1).alias("least"))
-        late = scratch.keep(late, f"late{i}")
-        if late.isEmpty():
-            break
-        calls = calls.join(late, KEYS, "left")
-        if i == max_rounds:
-            calls = calls.withColumn("cyclic", F.col("least").isNotNull())
-        calls = scratch.keep(calls.withColumn("at", F.coalesce("least", "at")).drop("least"), f"calls{i}")
-    return calls
-
-
-def link(calls: DataFrame, results: DataFrame, schemas: Schemas, max_rounds: int = 32) -> DataFrame:
+    calls = calls.withColumn("at", _order(F.col("turn"), F.lit(0)))
+    done = calls.join(first, KEYS).select("conv_id", F.col("call_id").alias("after"), F.col("result_turn"), F.greatest(_order(F.col("result_turn"), F.lit(0)), _order(F.col("at.turn"), F.col("at.rank") + 1)).alias("done"))
+    edges = calls.filter("after is not null").join(done, ["conv_id", "after"]).select(*KEYS, "after", "result_turn", "at", "done")
+    if edges.filter(F.col("done") >= F.col("at")).isEmpty():
+        return calls.withColumn("cyclic", F.lit(False))
+    most = edges.groupBy("conv_id").count().agg(F.max("count")).first()[0]
+    waits = edges.select(*KEYS, F.col("after").alias("jump"), F.greatest("at", _order(F.col("result_turn"), F.lit(1))).alias("best"))
+    now = scratch.keep(calls.select(*KEYS, "at").join(waits, KEYS, "left").select(*KEYS, "jump", F.coalesce("best", "at").alias("best")), "chains")
+    step = 1
+    while step <= most and not now.filter("jump is not null").isEmpty():
+        far = now.select("conv_id", F.col("call_id").alias("jump"), F.col("jump").alias("next"), F.col("best").alias("there"))
+        best = F.greatest("best", _order(F.col("there.turn"), F.col("there.rank") + 2 * step))
+        now = scratch.keep(now.join(far, ["conv_id", "jump"], "left").select(*KEYS, F.col("next").alias("jump"), best.alias("best")), "chains")
+        step *= 2
+    cyclic = F.col("jump").isNotNull()
+    return calls.join(now, KEYS).withColumn("cyclic", cyclic).withColumn("at", F.when(cyclic, F.col("at")).otherwise(F.col("best"))).drop("jump", "best")
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """One row for each call and result, with its order key, status and canonical JSON."""
     scratch = Scratch(calls.sparkSession, "chat")
     known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
@@ -94,7 +102,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas, max_rounds: int
     results = results.select("conv_id", "turn", "call_id", "content")
     one = calls.filter(known).groupBy(*KEYS).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count("*").alias("copies")).select(*KEYS, "c.*", "copies")
     named = results.filter(known)
-    one = _ordered_calls(scratch.keep(one, "calls"), named, scratch, max_rounds)
+    one = _ordered_calls(scratch.keep(one, "calls"), named, scratch)
     answers = named.groupBy(*KEYS).agg(F.count("*").alias("n_results"))
     call_rows = one.join(answers.hint("shuffle_hash"), KEYS, "left").select(
         *KEYS, F.lit("call").alias("kind"), "name", "arguments", F.lit(None).cast("string").alias("content"), "copies", "at", "cyclic",
@@ -143,6 +151,7 @@ def calls_of_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from plain chat turns: a user or system turn calls, the assistant's next turn answers.
 
     A user turn waits for the answer to the user turn two before it.
+    Turns of any other role, or of none, give no row, as in ``TURNS_SQL``.
     """
     ident = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     asked = F.col("role").isin("user", "system")
