@@ -108,6 +108,8 @@ def step_groups(sizes: list[int], step_tokens: int) -> list[int]:
 
 
 class _Block:
+    """Documents of one task until they are packed: their ids in a row, and how many each has."""
+
     def __init__(self, task: int, tiers: tuple[int, ...], step_tokens: int):
         self.base = task << 40
         self.windows = self.groups = 0
@@ -115,34 +117,41 @@ class _Block:
         self.clear()
 
     def clear(self) -> None:
-        self.doc_ids: list[int | None] = []
+        self.doc_ids: list[pa.Array] = []
         self.ids: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
         self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.doc_ids.append(doc_ids)
         self.ids.append(ids)
+        self.lengths.append(lengths)
         self.tokens += len(ids)
 
     def flush(self) -> pa.RecordBatch:
-        windows = pack_block([len(x) for x in self.ids], self.tiers)
-        sizes = [sum(n for _, _, n in w) for w in windows]
-        groups = step_groups(sizes, self.step_tokens)
-        rows = []
-        for i, w in enumerate(windows):
-            offset = 0
-            tier = next(t for t in self.tiers if t >= sizes[i])
-            for doc, at, n in w:
-                ids = self.ids[doc]
-                crc = zlib.crc32(ids[at : at + n].astype("<u4").tobytes())
-                rows.append((self.doc_ids[doc], at, n, crc, len(ids), self.base + self.windows + i, offset, sizes[i], tier, self.base + self.groups + groups[i]))
-                offset += n
+        lengths = np.concatenate(self.lengths)
+        first = np.cumsum(lengths) - lengths
+        raw = memoryview(np.concatenate(self.ids).astype("<u4").view(np.uint8))
+        windows = pack_block(lengths.tolist(), self.tiers)
+        doc, start, n = np.array([p for w in windows for p in w], np.int64).T
+        held = np.array([len(w) for w in windows])
+        window = np.repeat(np.arange(len(windows)), held)
+        before = np.cumsum(n) - n
+        offset = before - before[np.cumsum(held) - held][window]
+        sizes = np.add.reduceat(n, np.cumsum(held) - held)
+        tier = np.array(self.tiers)[np.searchsorted(self.tiers, sizes)]
+        groups = np.array(step_groups(sizes.tolist(), self.step_tokens))
+        at = (first[doc] + start) * 4
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + n * 4).tolist(), strict=True)]
+        columns = [
+            pa.concat_arrays(self.doc_ids).take(pa.array(doc)), pa.array(start), pa.array(n), pa.array(crc, pa.int64()), pa.array(lengths[doc]),
+            pa.array(self.base + self.windows + window), pa.array(offset), pa.array(sizes[window]), pa.array(tier[window].astype(np.int32)),
+            pa.array(self.base + self.groups + groups[window]),
+        ]
         self.windows += len(windows)
-        self.groups += max(groups, default=-1) + 1
+        self.groups += int(groups.max()) + 1
         self.clear()
-        types = [pa.int64()] * 8 + [pa.int32(), pa.int64()]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def pack(
@@ -160,12 +169,11 @@ def pack(
         tokenizer = word_tokenizer(tokenizer_path)
         block = _Block(TaskContext.get().partitionId(), tiers, step_tokens)
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
+            doc_ids = batch.column(0).cast(pa.int64())
             data, offsets = arrow_bytes(batch.column(1))
             for a, b in slices(offsets):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
-                for i, ids in enumerate(tokenizer.encode(texts)):
-                    block.add(doc_ids[a + i], np.append(ids, np.uint32(end_id)))
+                ids, lengths = tokenizer.encode([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], end_id)
+                block.add(doc_ids.slice(a, b - a), ids, lengths)
                 if block.tokens >= block_tokens:
                     yield block.flush()
         if block.tokens:
