@@ -191,22 +191,6 @@ def test_language_model(docs, none):
     assert maxent.score(none).count() == 0
 
 
-def test_every_training_position_takes_a_step():
-    from types import SimpleNamespace
-
-    chunk = maxent._Chunk()
-    texts = [f"the {'ab' * (i % 5 + 1)} of word{i}" for i in range(100)]
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    held = [i % 7 == 2 for i in range(100)]
-    chunk.add(list(range(100)), held, Words(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])])))
-    batch = chunk.batch(0).select(["held", "lens", "ids", "vocab", "tail"])
-    none, zero = np.zeros(0, np.uint64), np.zeros(maxent.CLASSES, np.float32)
-    model = maxent.Model(none, none, zero + 1, zero, 1, 1, np.zeros((maxent.BUCKETS, maxent.CLASSES), np.float32))
-    out = list(maxent._steps(SimpleNamespace(value=model))(iter([batch])))
-    used = sum(sum(b.column(1).to_pylist()) for b in out)
-    assert used == maxent.FEATURES * 5 * held.count(False)  # four words and the end of each text
-
-
 def test_secrets(spark, docs, none):
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     more = spark.createDataFrame([(20 + i, f'config token = "{key[i:]}{key[:i]}" end, order 4929000011112222 shipped', None, "a.env", 80, 0.1, 1, "k", 1, 1, 1) for i in range(12)], SCHEMA)
