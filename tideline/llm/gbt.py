@@ -1,7 +1,7 @@
 """Histogram gradient-boosted trees over document statistics.
 
 The model is fitted on at most ``sample`` labelled documents (those whose hashed
-ids come first), binned to ``BINS`` quantile bins, one complete tree of fixed
+ids come first; of rows that share an id one stands for all), binned to ``BINS`` quantile bins, one complete tree of fixed
 depth a round. Trees are flattened into arrays and traversed for whole batches:
 node i's children are 2i + 1 and 2i + 2, so a level is one gather and compare.
 
@@ -111,7 +111,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = offsets[a]
             x = doc_stats(data[base : offsets[b]], offsets[a : b + 1] - base)
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a).cast(pa.float64()), flat], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a).cast(pa.int64()), batch.column(2).slice(a, b - a).cast(pa.float64()), flat], ["doc_id", "quality", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
@@ -122,8 +122,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
         .groupBy("doc_id").agg(F.avg("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")  # at most ``sample`` rows
-    rows = known.mapInArrow(trimmed(_features), "quality double, x array<float>").orderBy("quality", "x").limit(sample).toArrow()
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "quality")  # at most ``sample`` ids
+    rows = known.mapInArrow(trimmed(_features), "doc_id long, quality double, x array<float>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("row")).select("doc_id", "row.*").toArrow().sort_by("doc_id")
     x = np.array(rows.column("x").to_pylist(), np.float32).reshape(-1, len(NAMES))
     y = (rows.column("quality").to_numpy() >= 0.5).astype(np.float64)
     return fit(x, y)
