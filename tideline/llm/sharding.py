@@ -4,12 +4,17 @@ Every record is hashed into one of a fixed number of slots; bytes and rows are
 summed per slot, and a small map says which shard holds each slot. Rebalancing
 edits that map only: records never change slot, so moving a slot moves its rows
 as one unit. The map has one row a slot, so it is bounded by ``n_slots``
-whatever the data and may be built on the driver and broadcast.
+whatever the data and may be built on the driver and broadcast. ``shard_documents``
+deals the slots out in turn as version 1 and rebalances by the bytes found in
+them as version 2.
+
+Rows repeated in full have one hash. Where such rows outweigh a slot's share they
+are dealt over all slots in turn; there are fewer such records than slots.
 
 Defined results
 * null text counts as an empty text: 16 bytes, CRC 0
 * null ``doc_id`` is hashed like any other value, together with the text's CRC
-* rows repeated in full share a slot and take consecutive positions in it
+* rows repeated in full share a slot, unless together they are heavier than a slot's share
 * an empty table gives no rows; more columns in the input are ignored
 """
 
@@ -51,6 +56,31 @@ def slot_stats(records: DataFrame) -> DataFrame:
     return records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
+def spread_repeats(records: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """Records of which equal ones that together are heavier than a slot's share lie in many slots."""
+    key = ["doc_id", "text_crc32", "size"]
+    stats = slot_stats(records).collect()  # at most n_slots rows
+    share = sum(r["bytes"] for r in stats) / n_slots
+    full = [r.vslot for r in stats if r["bytes"] > share and r["rows"] > 1]
+    # a record heavier than a share lies in a slot heavier than one
+    inside = records.join(F.broadcast(records.sparkSession.createDataFrame([(v,) for v in full], "vslot int")), "vslot")
+    heavy = inside.groupBy(*key).agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") * F.col("size") > share))
+    rows = heavy.select(*key).collect()  # fewer than n_slots rows
+    if not rows:
+        return records
+    table = records.sparkSession.createDataFrame([(r.doc_id, r.text_crc32, r["size"], True) for r in rows], "h_id long, h_crc long, h_size long, heavy boolean")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("h_id")) & (F.col("text_crc32") == F.col("h_crc")) & (F.col("size") == F.col("h_size"))
+    turn = F.pmod(F.col("vslot") + F.monotonically_increasing_id(), F.lit(n_slots)).cast("int")
+    return records.join(F.broadcast(table), same, "left").withColumn("vslot", F.when(F.col("heavy"), turn).otherwise(F.col("vslot"))).select(*records.columns)
+
+
+def dealt_map(n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
+    """First version without knowledge of sizes: slots in turn."""
+    if n_shards < 1:
+        raise ValueError("n_shards must be at least 1")
+    return SlotMap(1, tuple(slot % n_shards for slot in range(n_slots)))
+
+
 def build_map(slot_bytes: dict[int, int], n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
     """First version: heaviest slot first, always to the lightest shard."""
     if n_shards < 1:
@@ -149,8 +179,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS,
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
     records = scratch.keep(sized(docs, n_slots), "sized")
+    spread = spread_repeats(records, n_slots)
+    if spread is not records:
+        records = scratch.keep(spread, "spread")
     stats = slot_stats(records).collect()  # at most n_slots rows
     slot_bytes = {r.vslot: r["bytes"] for r in stats}
     path = map_path or f"{scratch.path}/slot-map"
-    write_map(spark, build_map(slot_bytes, n_shards, n_slots), path)
+    first = dealt_map(n_shards, n_slots)
+    write_map(spark, first, path)
+    write_map(spark, rebalance(first, slot_bytes, n_shards, tolerance=0), path)
     return place(records, read_map(spark, path), {r.vslot: r["rows"] for r in stats})
