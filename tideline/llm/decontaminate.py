@@ -6,7 +6,11 @@ m - q + 1 - k*q of the segment's q-grams, and these lie on diagonals (document
 position minus segment position) that differ by at most 2k. So q-grams common to
 a document and a segment are counted in diagonal bands of 2(2k + 1) diagonals
 that overlap by half; bands that reach the bound are verified by an alignment
-that fills only a band of the edit-distance table.
+that fills only a band of the edit-distance table. A q-gram that stands more than
+once in a segment, or in more than ``POPULAR`` segments, is not counted and lowers
+the bound by one, as long as the bound stays positive; so neither runs of one
+character nor phrases that all passages share make long lists of hits. Segments
+left without a bound, and short items, are searched for as they are.
 
 Texts are compared as UTF-8 bytes with A-Z and accented Latin capitals lowered and
 white space runs as one space. The benchmark is a stated query set: it is taken in blocks of at most
@@ -15,7 +19,10 @@ searched in full and alone, so no shuffle is needed and no row count matters.
 
 Defined results
 * null or empty texts, on either side, match nothing
-* passages of fewer than ``MIN_BYTES`` bytes after normalising are not searched
+* a passage of ``MIN_BYTES`` - 1 bytes or less after normalising is found where it
+  stands unedited between characters that are no letters or digits; one of less
+  than ``SHORTEST`` bytes is no evidence and is not searched
+* a copied part of a longer passage is certain to be found from 1.5 segments on
 * repeated rows are each reported; a passage that occurs several times in a
   document is reported once for each (document, item), at its best place
 * empty tables give no rows; more columns in the inputs are ignored
@@ -36,9 +43,13 @@ from ..plans.ship import ship
 from .textblock import LOWER, SPACE, U64, arrow_bytes, mix, slices, trimmed
 
 Q = 12
-SEGMENT = 120
+SEGMENT = 80
 EDIT_RATE = 0.06
 MIN_BYTES = 24
+SHORTEST = 8
+POPULAR = 64
+PART = 1 << 20  # normalised bytes searched at a time; parts overlap by two segments
+MOST_HITS = 1 << 21  # (position, segment) pairs held at a time
 BLOCK_BYTES = 4_000_000
 TABLE_BITS = 22
 FOUND = "doc_id long, item_id long, start long, end long, edits int, segment_bytes int"
@@ -50,7 +61,7 @@ def normalise(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = ~space
     if len(keep):
         keep[1:] |= ~space[:-1]
-    where = np.flatnonzero(keep)
+    where = np.flatnonzero(keep).astype(np.int32 if len(keep) < 1 << 31 else np.int64)
     out = LOWER[data[where]]
     out[space[where]] = 0x20
     if len(out) > 1:  # accented Latin capitals: 0xC3 0x80-0x9E, but for the multiplication sign
@@ -76,9 +87,9 @@ def budget(m: int, rate: float = EDIT_RATE) -> int:
 
 @dataclass
 class Segments:
-    """Segments of one block of the benchmark and their q-grams."""
+    """Distinct segments of one block of the benchmark, the items that hold each, and their q-grams."""
 
-    item: np.ndarray
+    items: list[list[int]]
     text: list[bytes]
     edits: np.ndarray
     need: np.ndarray
@@ -87,29 +98,48 @@ class Segments:
     post_segment: np.ndarray
     post_at: np.ndarray
     table: np.ndarray  # may a hash be among them?
+    exact: list[tuple[bytes, bool]]  # searched as they are; whether between non-letters only
+    exact_items: list[list[int]]
 
 
-def build(items: list[tuple[int, bytes]]) -> Segments:
-    item, text = [], []
+def build(items: list[tuple[int, bytes]], shortest: int = SHORTEST) -> Segments:
+    held: dict[bytes, dict[int, None]] = {}
+    exact: dict[tuple[bytes, bool], dict[int, None]] = {}
     for item_id, raw in items:
         norm = normalise(np.frombuffer(raw, np.uint8))[0].tobytes().strip()
         if len(norm) < MIN_BYTES:
+            if len(norm) >= shortest:
+                exact.setdefault((norm, True), {})[item_id] = None
             continue
         last = max(0, len(norm) - SEGMENT)
         for at in sorted({*range(0, last, SEGMENT // 2), last}):
-            item.append(item_id)
-            text.append(norm[at : at + SEGMENT])
+            held.setdefault(norm[at : at + SEGMENT], {})[item_id] = None
+    text = list(held)
     edits = np.array([budget(len(t)) for t in text], np.int64)
-    need = np.array([len(t) - Q + 1 - k * Q for t, k in zip(text, edits, strict=True)], np.int64)
     hashes = [grams(np.frombuffer(t, np.uint8)) for t in text]
-    all_grams = np.concatenate(hashes) if hashes else np.zeros(0, U64)
+    gram = np.concatenate(hashes) if hashes else np.zeros(0, U64)
     segment = np.repeat(np.arange(len(text)), [len(h) for h in hashes])
     at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-    order = np.argsort(all_grams, kind="stable")
-    gram, first = np.unique(all_grams[order], return_index=True)
+    order = np.lexsort((at, segment, gram))
+    gram, segment, at = gram[order], segment[order], at[order]
+    fresh = np.ones(len(gram), bool)
+    fresh[1:] = gram[1:] != gram[:-1]
+    again = np.zeros(len(gram), bool)  # more than once in its segment
+    again[1:] = ~fresh[1:] & (segment[1:] == segment[:-1])
+    again[:-1] |= again[1:]
+    often = np.diff(np.append(np.flatnonzero(fresh), len(gram)))[np.cumsum(fresh) - 1] > POPULAR
+    kept = lambda drop: np.bincount(segment[~drop], minlength=len(text)) - edits * Q
+    rare = kept(again | often) > 0
+    drop = again | (often & rare[segment])
+    need = kept(drop)
+    for i in np.flatnonzero(need <= 0):
+        exact.setdefault((text[i], False), {}).update(held[text[i]])
+    drop |= need[segment] <= 0
+    gram, segment, at = gram[~drop], segment[~drop], at[~drop]
+    distinct, first = np.unique(gram, return_index=True)
     table = np.zeros(1 << TABLE_BITS, bool)
-    table[_slot(gram)] = True
-    return Segments(np.array(item, np.int64), text, edits, need, gram, np.append(first, len(order)), segment[order], at[order], table)
+    table[_slot(distinct)] = True
+    return Segments([list(held[t]) for t in text], text, edits, need, distinct, np.append(first, len(gram)), segment, at, table, list(exact), [list(x) for x in exact.values()])
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
@@ -144,65 +174,130 @@ def align(pattern: np.ndarray, region: np.ndarray, shift: int, half: int, limit:
     return int(row[best]), int(column[best] + len(pattern))
 
 
+def _hits(index: Segments, norm: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of known q-grams that lie in one text, and the q-grams' numbers, a bounded run at a time.
+
+    Runs overlap by more than the longest region that is looked for.
+    """
+    for start in range(0, max(1, len(norm)), PART - 2 * SEGMENT):
+        g = grams(norm[start : start + PART])
+        at = np.flatnonzero(index.table[_slot(g)])
+        k = np.minimum(np.searchsorted(index.gram, g[at]), len(index.gram) - 1)
+        hit = index.gram[k] == g[at]
+        at, k = at[hit] + start, k[hit]
+        inside = at + Q <= bounds[np.searchsorted(bounds, at, side="right")] if len(at) else np.zeros(0, bool)
+        todo = [(at[inside], k[inside])]
+        while todo:
+            at, k = todo.pop()
+            if not len(at):
+                continue
+            total = int((index.first[k + 1] - index.first[k]).sum())
+            if total > MOST_HITS and at[-1] - at[0] > 8 * SEGMENT:
+                middle = (int(at[0]) + int(at[-1])) // 2
+                left, right = at < middle + 2 * SEGMENT, at >= middle
+                todo += [(at[right], k[right]), (at[left], k[left])]
+            else:
+                yield at, k
+
+
+def _regions(index: Segments, norm: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, segment, first byte, end byte, edits) of verified regions, in normalised bytes."""
+    known: dict[tuple, tuple[int, int, int] | None] = {}
+    for at, k in _hits(index, norm, bounds):
+        n = index.first[k + 1] - index.first[k]
+        post = np.repeat(index.first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        at = np.repeat(at, n)
+        segment, diagonal = index.post_segment[post], at - index.post_at[post]
+        enough = np.bincount(segment, minlength=len(index.need))[segment] >= index.need[segment]
+        at, post, segment, diagonal = at[enough], post[enough], segment[enough], diagonal[enough]
+        row = np.searchsorted(bounds, at, side="right") - 1
+        band = diagonal // (2 * index.edits[segment] + 1)
+        for shift in (0, 1):  # a band holds the diagonals of two neighbours, so bands overlap by half
+            key = np.stack([row, segment, (band + shift) // 2])
+            order = np.lexsort(key[::-1])
+            s = key[:, order]
+            head = np.flatnonzero(np.concatenate([[True], (s[:, 1:] != s[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, np.int64)
+            count = np.diff(np.append(head, len(order)))
+            near = np.flatnonzero(count >= index.need[s[1, head]])
+            if not len(near):
+                continue
+            least, most = np.minimum.reduceat(diagonal[order], head), np.maximum.reduceat(diagonal[order], head)
+            for j in near:
+                r, seg, first, last = int(s[0, head[j]]), int(s[1, head[j]]), int(least[j]), int(most[j])
+                text, edits = index.text[seg], int(index.edits[seg])
+                low = max(int(bounds[r]), first - 2 * edits - 1)
+                high = min(int(bounds[r + 1]), last + len(text) + 2 * edits + 1)
+                region = norm[low:high].tobytes()
+                key = seg, region, first - low, last - first
+                if key not in known:  # phrases recur: each region is aligned once
+                    if len(known) >= 20_000:
+                        known.clear()
+                    known[key] = None
+                    members = order[head[j] : head[j] + count[j]]
+                    exact = region.find(text)
+                    if exact >= 0:
+                        known[key] = exact, exact + len(text), 0
+                    elif len(np.unique(index.post_at[post[members]])) >= index.need[seg]:
+                        codes = np.frombuffer(region, np.uint8).astype(np.int64)
+                        got = align(np.frombuffer(text, np.uint8).astype(np.int64), codes, (first + last) // 2 - low, last - first + 2 * edits + 1, edits)
+                        if got and got[1] > 0:
+                            known[key] = max(0, got[1] - len(text)), got[1], got[0]
+                if known[key]:
+                    begin, end, cost = known[key]
+                    yield r, seg, low + begin, low + end, cost
+
+
+def _as_they_are(index: Segments, norm: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, number, first byte) of texts searched exactly, the first in each row."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for i, (text, _) in enumerate(index.exact):
+        automaton.add_word(text.decode("latin-1"), [*automaton.get(text.decode("latin-1"), []), i])
+    automaton.make_automaton()
+    letter = lambda b: b > 0x7F or chr(b).isalnum()
+    for r in range(len(bounds) - 1):
+        text = norm[bounds[r] : bounds[r + 1]].tobytes()
+        seen: set[int] = set()
+        for end, which in automaton.iter(text.decode("latin-1")):
+            for i in which:
+                if i in seen:
+                    continue
+                first = end + 1 - len(index.exact[i][0])
+                whole = (first == 0 or not letter(text[first - 1])) and (end + 1 == len(text) or not letter(text[end + 1]))
+                if whole or not index.exact[i][1]:
+                    seen.add(i)
+                    yield r, i, int(bounds[r]) + first
+            if len(seen) == len(index.exact):
+                break
+
+
 def search(index: Segments, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(row, item, first byte, end byte, edits, segment length) of verified regions."""
-    if not len(index.gram):
-        return
     norm, where = normalise(data)
     bounds = np.searchsorted(where, offsets)
-    g = grams(norm)
-    at = np.flatnonzero(index.table[_slot(g)])
-    if not len(at):
-        return
-    k = np.searchsorted(index.gram, g[at])
-    k[k == len(index.gram)] = 0
-    hit = index.gram[k] == g[at]
-    at, k = at[hit], k[hit]
-    row = np.searchsorted(bounds, at, side="right") - 1
-    inside = at + Q <= bounds[row + 1]
-    at, k, row = at[inside], k[inside], row[inside]
-    if not len(at):
-        return
-    n = index.first[k + 1] - index.first[k]
-    post = np.repeat(index.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(int(n.sum()))
-    at, row = np.repeat(at, n), np.repeat(row, n)
-    segment, diagonal = index.post_segment[post], at - index.post_at[post]
-    wide = 2 * index.edits[segment] + 1
-    band = diagonal // wide
-    for shift in (0, 1):  # a band holds the diagonals of two neighbours, so bands overlap by half
-        key = np.stack([row, segment, (band + shift) // 2])
-        order = np.lexsort(key[::-1])
-        s = key[:, order]
-        head = np.flatnonzero(np.concatenate([[True], (s[:, 1:] != s[:, :-1]).any(axis=0)]))
-        count = np.diff(np.append(head, len(order)))
-        for j in np.flatnonzero(count >= index.need[s[1, head]]):
-            members = order[head[j] : head[j] + count[j]]
-            if len(np.unique(index.post_at[post[members]])) < index.need[segment[members[0]]]:
-                continue
-            r, seg = int(row[members[0]]), int(segment[members[0]])
-            text, edits = index.text[seg], int(index.edits[seg])
-            low = max(int(bounds[r]), int(diagonal[members].min()) - 2 * edits - 1)
-            high = min(int(bounds[r + 1]), int(diagonal[members].max()) + len(text) + 2 * edits + 1)
-            region = norm[low:high]
-            exact = region.tobytes().find(text)
-            if exact >= 0:
-                yield r, int(index.item[seg]), int(where[low + exact] - offsets[r]), int(where[low + exact + len(text) - 1] + 1 - offsets[r]), 0, len(text)
-                continue
-            middle = int(np.median(diagonal[members])) - low
-            half = int(diagonal[members].max() - diagonal[members].min()) + 2 * edits + 1
-            got = align(np.frombuffer(text, np.uint8).astype(np.int64), region.astype(np.int64), middle, half, edits)
-            if got and got[1] > 0:
-                first = max(0, got[1] - len(text))
-                yield r, int(index.item[seg]), int(where[low + first] - offsets[r]), int(where[low + got[1] - 1] + 1 - offsets[r]), got[0], len(text)
+    if len(index.gram):
+        for r, seg, first, end, edits in _regions(index, norm, bounds):
+            for item in index.items[seg]:
+                yield r, item, int(where[first] - offsets[r]), int(where[end - 1] + 1 - offsets[r]), edits, len(index.text[seg])
+    if index.exact:
+        for r, i, first in _as_they_are(index, norm, bounds):
+            size = len(index.exact[i][0])
+            for item in index.exact_items[i]:
+                yield r, item, int(where[first] - offsets[r]), int(where[first + size - 1] + 1 - offsets[r]), 0, size
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark's passages, a bounded block at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # an item longer than a block is taken in overlapping parts, so a block holds twice its bytes at most
+    step, keep = max(1, block_bytes // 8), 4 * SEGMENT
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(step)), lambda at: F.substr(F.col("text"), at + 1, F.lit(step + keep)))
+    parts = items.select("item_id", F.posexplode(cut).alias("part", "text"))
     n = max(1, -(-total // block_bytes) * 2 if total > block_bytes else 1)
     for i in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
+        part = items if n == 1 else parts.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(n)) == i)
         yield [(r.item_id, r.text.encode()) for r in part.collect()]
 
 
