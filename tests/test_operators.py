@@ -124,8 +124,17 @@ def test_scalars(spark):
     assert one(spark, S.datetime_to_ts(lit("nonsense"))) is None
     assert one(spark, S.hex_to_decimal(lit("0xff"))) == "255"
     assert one(spark, S.hex_to_decimal(lit("0x" + "f" * 31))) == str(16**31 - 1)
-    assert one(spark, S.hex_to_decimal(lit("0x" + "f" * 33))) is None
-    assert one(spark, S.hex_to_decimal(lit("1500000000000000000"), True)) == "1.500000000000000000"
+    for text in ("0x" + "f" * 33, "0x" + "0" * 62 + "ff", "0x" + "9e3779b97f4a7c15" * 8, "0x-1F", "0x0"):
+        assert one(spark, S.hex_to_decimal(lit(text))) == str(int(text[2:], 16))
+    plain = {"-1.5": "-1.5", "1e3": "1000", "+007.50": "7.50", ".5": "0.5", "5.": "5", "-0": "0", "12e-3": "0.012", "9" * 60: "9" * 60, " 5": None, "0Xff": None, "0x": None, "x": None, ".": None, "": None}
+    for text, want in plain.items():
+        assert one(spark, S.hex_to_decimal(lit(text))) == want, text
+    scaled = {"1500000000000000000": "1.5", "1000000000000000000": "1", "0": "0", "0.00": "0.00", "-1.5": "-0.0000000000000000015", "0x0de0b6b3a7640000": "1", "2" + "0" * 20: "200", "1e30": "1000000000000", "1.50": "0.0000000000000000015"}
+    for text, want in scaled.items():
+        assert one(spark, S.hex_to_decimal(lit(text), True)) == want, text
+    charset = {"a b": False, "a@b": True, "汉字，（）": True, "": False, "x.y": False, "[a]{b}<c>~`": True, "“q‘": True, "”": False, 'say"': True, "it's": False}
+    for text, want in charset.items():
+        assert one(spark, S.matches_charset(lit(text))) is want, text
     assert one(spark, S.hex_words(lit("0x"))) == []
     assert one(spark, S.day_list(lit(date(2024, 2, 28)), lit(date(2024, 3, 1)))) == [20240228, 20240229, 20240301]
     assert one(spark, S.day_list(lit(date(2024, 3, 2)), lit(date(2024, 3, 1)))) == []
@@ -208,3 +217,20 @@ def test_rows_before_any_rule_wait(spark, tmp_path):
     dims, facts = route_stream(stream, lambda batch: rules if batch == 2 else rules.limit(0), str(tmp_path / "out"))
     assert sorted(r.id for r in spark.read.parquet(dims).collect()) == [1, 3]
     assert [r.id for r in spark.read.parquet(facts).collect()] == [2]
+
+
+def test_facts_read_only_their_own_tables(spark, sf):
+    from tideline.operators import joins
+    from tideline.plans import fixtures
+
+    plan = joins.order_detail(fixtures.cdc(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 6 and "Union" not in plan
+
+
+def test_queries_can_be_read_by_many_tasks():
+    from tideline.sources import readers
+
+    whole = readers.query_options("jdbc:x", "select 1")
+    assert whole == {"url": "jdbc:x", "query": "select 1"}
+    split = readers.query_options("jdbc:x", "select 1", ("id", 0, 100, 8))
+    assert split["dbtable"] == "(select 1) q" and split["numPartitions"] == "8" and "query" not in split

@@ -100,29 +100,78 @@ def hash_mod_hot(x: Column | str, hot: dict[str, str], n: int = 128) -> Column:
     return F.coalesce(own, hash_mod(x, n))
 
 
+_HEX_CHUNK = 7  # 16^7 times a limb of nine decimal digits fits a long
+_LIMB = 1_000_000_000
+
+
+def _hex_digits(hexed: Column) -> Column:
+    """Decimal digits of hex digits of any number: limbs base 1e9, lowest first, are multiplied chunk by chunk."""
+    size = F.length(hexed)
+    padded = F.lpad(hexed, F.ceil(size / _HEX_CHUNK).cast("int") * _HEX_CHUNK, "0")
+    starts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(_HEX_CHUNK))
+    chunks = F.transform(starts, lambda i: F.conv(F.substr(padded, i, F.lit(_HEX_CHUNK)), 16, 10).cast("bigint"))
+    none = F.array().cast("array<bigint>")
+
+    def times(limbs: Column, chunk: Column) -> Column:
+        total = lambda s, limb: limb * F.lit(16**_HEX_CHUNK) + s["carry"]
+        return F.aggregate(
+            limbs,
+            F.struct(chunk.alias("carry"), none.alias("out")),
+            lambda s, limb: F.struct((total(s, limb) / F.lit(_LIMB)).cast("bigint").alias("carry"), F.array_append(s["out"], total(s, limb) % F.lit(_LIMB)).alias("out")),
+            lambda s: F.when(s["carry"] > 0, F.array_append(s["out"], s["carry"])).otherwise(s["out"]),
+        )
+
+    limbs = F.aggregate(chunks, none, times)
+    return F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+
+
 def hex_to_decimal(x: Column | str, divide: bool = False) -> Column:
-    """Decimal text of ``0x...`` or decimal text; null gives '0'.
+    """Plain decimal text of ``0x...`` or of a decimal number, exact at any length; null gives '0'.
 
-    Up to 31 hex digits are exact; longer ones are null. ``divide`` scales by 1e-18.
+    ``divide`` scales by 1e-18 and leaves out zeros at the end that the input's scale did not have.
+    Text that is neither gives null.
     """
-    text = F.trim(_c(x).cast("string"))
-    digits = F.lower(F.substr(text, F.lit(3)))
-    wide = "decimal(38,0)"
-    number = F.aggregate(
-        F.filter(F.split(digits, ""), lambda d: d != ""),
-        F.lit(0).cast(wide),
-        lambda a, d: (a * F.lit(16).cast(wide) + F.instr(F.lit("0123456789abcdef"), d).cast(wide) - F.lit(1).cast(wide)).cast(wide),
+    return F.when(_c(x).isNull(), F.lit("0")).otherwise(_let(_c(x).cast("string"), lambda text: _plain_text(text, divide)))
+
+
+_DECIMAL = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d{1,4}))?$"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _plain_text(text: Column, divide: bool) -> Column:
+    part = lambda i: F.regexp_extract(text, _DECIMAL, i)
+    hexed = F.struct(
+        text.startswith("0x-").alias("minus"), _hex_digits(F.regexp_replace(text, "^0x[+-]?", "")).alias("digits"), F.lit(0).alias("scale")
     )
-    hexed = text.rlike("^0[xX][0-9a-fA-F]{1,31}$")
-    value = F.when(hexed, number).when(text.rlike("^[0-9]{1,38}$"), text.try_cast(wide))
-    if divide:
-        # exact, as text: the last 18 digits become the fraction
-        plain = F.lpad(value.cast("string"), F.greatest(F.lit(19), F.length(value.cast("string"))), "0")
-        size = F.length(plain)
-        out = F.concat(F.substr(plain, F.lit(1), size - 18), F.lit("."), F.substr(plain, size - 17, F.lit(18)))
-    else:
-        out = value.cast("string")
-    return F.when(_c(x).isNull(), F.lit("0")).otherwise(out)
+    number = F.struct((part(1) == "-").alias("minus"), F.concat(part(2), part(3)).alias("digits"), (F.length(part(3)) - F.coalesce(part(4).try_cast("int"), F.lit(0))).alias("scale"))
+    known = F.when(text.rlike("^0x[+-]?[0-9a-fA-F]+$"), hexed).when(text.rlike(_DECIMAL) & text.rlike(r"\d"), number)
+
+    def scaled(n: Column) -> Column:
+        zero = F.regexp_replace(n["digits"], "0", "") == ""
+        minus = n["minus"] & ~zero
+        if not divide:
+            return F.struct(minus.alias("minus"), n["digits"].alias("digits"), n["scale"].alias("scale"))
+        kept = F.regexp_replace(n["digits"], "0{1,18}$", "")
+        return F.struct(
+            minus.alias("minus"), F.when(zero, n["digits"]).otherwise(kept).alias("digits"),
+            (n["scale"] + F.when(zero, F.lit(0)).otherwise(18 - F.length(n["digits"]) + F.length(kept))).alias("scale"),
+        )
+
+    def padded(n: Column) -> Column:
+        full = F.concat(n["digits"], F.repeat(F.lit("0"), F.greatest(-n["scale"], F.lit(0))))
+        return F.struct(n["minus"].alias("minus"), F.greatest(n["scale"], F.lit(0)).alias("scale"), F.lpad(full, F.greatest(F.length(full), n["scale"] + 1), "0").alias("digits"))
+
+    def written(n: Column) -> Column:
+        point = F.length(n["digits"]) - n["scale"]
+        whole = F.regexp_replace(F.substr(n["digits"], F.lit(1), point), "^0+(?=.)", "")
+        fraction = F.when(n["scale"] > 0, F.concat(F.lit("."), F.substr(n["digits"], point + 1, n["scale"]))).otherwise("")
+        return F.concat(F.when(n["minus"], "-").otherwise(""), whole, fraction)
+
+    return _let(known, lambda k: F.when(k.isNotNull(), _let(scaled(k), lambda n: _let(padded(n), written))))
 
 
 # text
@@ -172,7 +221,7 @@ def is_blank(x: Column | str) -> Column:
 
 
 #: Fixed value: CJK characters, letters, digits and the marks allowed with them.
-CHARSET = r"^[一-龥a-zA-Z0-9\s.,!?;:'\"()\-_，。！？；：、（）《》“”‘’…]+$"
+CHARSET = r'''^[\u4e00-\u9fa5a-zA-Z0-9\[\]\-_+{}:：“<>`?!——+·~@#$%^&*(、，。；‘【】！@#￥%……&*（）)"]+$'''
 
 
 def matches_charset(x: Column | str, pattern: str = CHARSET) -> Column:

@@ -14,8 +14,13 @@ def entry(column: str, key: str) -> Column:
     return F.try_element_at(F.col(column), F.lit(key))
 
 
+def table_of(cdc: DataFrame) -> Column:
+    """The source table's name: a plain column where the stream has one, so that filters prune files and branches."""
+    return F.col("source_table") if "source_table" in cdc.columns else entry("source", "table")
+
+
 def of_table(cdc: DataFrame, table: str, ops: tuple[str, ...] = ("c",)) -> DataFrame:
-    return cdc.filter((entry("source", "table") == table) & F.col("op").isin(*ops))
+    return cdc.filter((table_of(cdc) == table) & F.col("op").isin(*ops))
 
 
 def cdc_fact(cdc: DataFrame, table: str, columns: list[str], ops: tuple[str, ...] = ("c",)) -> DataFrame:
@@ -93,14 +98,14 @@ def route_by_rules(cdc: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFra
     The rules describe tables, one row each, and are far below any broadcast
     limit; Spark's own size check decides, so a larger table is shuffled.
     """
-    named = cdc.withColumn("source_table", entry("source", "table"))
+    named = cdc.withColumn("source_table", table_of(cdc))
     both = named.join(rules.withColumn("ruled", F.lit(True)), "source_table", "left")
     return both.filter("ruled").drop("ruled"), named.join(rules.select("source_table"), "source_table", "left_anti")
 
 
 def route_facts(cdc: DataFrame, rules: DataFrame) -> DataFrame:
     """Facts by (table, op): the row before a delete, after anything else, with ``ts``; snapshot rows go."""
-    named = cdc.filter("op <> 'r'").withColumn("source_table", entry("source", "table"))
+    named = cdc.filter("op <> 'r'").withColumn("source_table", table_of(cdc))
     data = F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after"))
     return named.join(rules, ["source_table", "op"]).select("source_table", "op", "sink_topic", data.alias("data"), F.col("ts_ms").alias("ts"))
 

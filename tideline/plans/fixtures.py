@@ -122,7 +122,7 @@ def envelope(df: DataFrame, table: str, columns: list[str], op: str = "c", ts: s
     old = F.create_map(*[x for c, v in before.items() for x in (F.lit(c), v.cast("string"))]) if before else none
     return row.select(
         F.create_map(F.lit("table"), F.lit(table), F.lit("ts_ms"), F.col(ts).cast("string")).alias("source"), F.lit(op).alias("op"),
-        F.col(ts).alias("ts_ms"), (none if op == "d" else _cells(columns)).alias("after"), old.alias("before"),
+        F.col(ts).alias("ts_ms"), (none if op == "d" else _cells(columns)).alias("after"), old.alias("before"), F.lit(table).alias("source_table"),
     )
 
 

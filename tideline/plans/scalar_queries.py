@@ -74,8 +74,15 @@ def _big() -> Column:
 
 _add(
     "f17_hex_to_decimal", "lineitem", "l_orderkey",
-    lambda: {"a": S.hex_to_decimal(F.concat(F.lit("0x"), F.hex(_big()))), "b": S.hex_to_decimal(_big().cast("string"), True), "c": S.hex_to_decimal(F.lit(None).cast("string"))},
-    {"a": "cast(l_orderkey * 1000003 + l_partkey AS string)", "b": "'0.' || lpad(cast(l_orderkey * 1000003 + l_partkey AS string), 18, '0')", "c": "'0'"},
+    lambda: {
+        "a": S.hex_to_decimal(F.concat(F.lit("0x"), F.hex(_big()))), "b": S.hex_to_decimal(_big().cast("string"), True), "c": S.hex_to_decimal(F.lit(None).cast("string")),
+        "long": S.hex_to_decimal(F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(_big())), 64, "0"))), "wei": S.hex_to_decimal(F.concat("l_partkey", F.lit("5" + "0" * 17)), True),
+        "signed": S.hex_to_decimal(F.concat(F.lit("-"), _big().cast("string"), F.lit(".50"))), "power": S.hex_to_decimal(F.concat("l_partkey", F.lit("e3"))),
+    },
+    {
+        "a": "cast(l_orderkey * 1000003 + l_partkey AS string)", "b": "rtrim('0.' || lpad(cast(l_orderkey * 1000003 + l_partkey AS string), 18, '0'), '0')", "c": "'0'",
+        "long": "cast(l_orderkey * 1000003 + l_partkey AS string)", "wei": "l_partkey || '.5'", "signed": "'-' || (l_orderkey * 1000003 + l_partkey) || '.50'", "power": "CASE l_partkey WHEN 0 THEN '0' ELSE l_partkey || '000' END",
+    },
 )
 _add(
     "f18_append_json_list", "events", "event_id",
@@ -97,9 +104,18 @@ _add(
     lambda: {"a": S.is_empty("split_coupon_amount"), "b": S.is_blank(F.coalesce("split_coupon_amount", F.lit(" \t"))), "c": S.is_blank("id")},
     {"a": "split_coupon_amount IS NULL", "b": "split_coupon_amount IS NULL", "c": "false"},
 )
+# as a class of DuckDB's expressions; characters are those of the fixed value in functions.scalars
+CHARS = r"""[\x{4e00}-\x{9fa5}a-zA-Z0-9\[\]\-_+{}:：“<>`?!—·~@#$%\^&*(、，。；‘【】！￥…（）)"]+"""
 _add(
-    "f24_matches_charset", "conversations", "conv_id", lambda: {"turn": F.col("turn"), "ok": S.matches_charset("text", r"^[a-zA-Z0-9 \n,.]+$"), "none": S.matches_charset(F.lit("|"))},
-    {"turn": "turn", "ok": r"regexp_full_match(text, '[a-zA-Z0-9 \n,.]+')", "none": "false"},
+    "f24_matches_charset", "conversations", "conv_id",
+    lambda: {
+        "turn": F.col("turn"), "text_ok": S.matches_charset("text"), "joined_ok": S.matches_charset(F.translate("text", " \n,.", "@#_-")),
+        "mark_ok": S.matches_charset(F.substr("text", F.col("turn") + 1, F.lit(1))), "none": S.matches_charset(F.lit("|")),
+    },
+    {
+        "turn": "turn", "text_ok": f"regexp_full_match(text, '{CHARS}')", "joined_ok": f"regexp_full_match(translate(text, ' \n,.', '@#_-'), '{CHARS}')",
+        "mark_ok": f"regexp_full_match(substr(text, turn + 1, 1), '{CHARS}')", "none": "false",
+    },
 )
 _add("f26_negate", "v_detail", "id", lambda: {"a": S.negate(F.col("split_coupon_amount").cast("decimal(16,2)")).cast("double")}, {"a": "cast(-coalesce(cast(split_coupon_amount AS decimal(16,2)), 0) AS double)"})
 _add("f27_normalise_epoch", "v_pages", "event_id", lambda: {"a": S.normalise_epoch(F.floor(F.col("ts") / 1000)), "b": S.normalise_epoch("ts")}, {"a": "(ts // 1000) * 1000", "b": "ts"})

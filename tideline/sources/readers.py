@@ -43,8 +43,12 @@ def read_json_table(lines: DataFrame, schema: StructType, value: str = "value",
 
 
 def read_cdc(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Change envelopes: source, op, ts_ms, after, before and event time ``et``."""
-    return read_json_table(lines, CDC, value, "ts_ms")
+    """Change envelopes: source, op, ts_ms, after, before, event time ``et`` and ``source_table``.
+
+    Partition stored change tables by ``source_table``: a fact then reads its own files only.
+    """
+    rows = read_json_table(lines, CDC, value, "ts_ms")
+    return rows.withColumn("source_table", F.try_element_at("source", F.lit("table")))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -56,9 +60,18 @@ def read_dim(df: DataFrame, key: str, columns: list[str], family: str = "info")
     return df.select(key, F.struct(*columns).alias(family))
 
 
-def read_query(spark: SparkSession, url: str, sql: str, camel_names: bool = False, **options: str) -> DataFrame:
-    """Rows of a JDBC query; needs the database's driver on the cluster."""
-    df = spark.read.format("jdbc").option("url", url).option("query", sql).options(**options).load()
+def query_options(url: str, sql: str, split: tuple[str, object, object, int] | None = None) -> dict[str, str]:
+    """Options of a JDBC read; ``split`` is (column, lower, upper, parts), read by as many tasks."""
+    if split is None:
+        return {"url": url, "query": sql}
+    column, lower, upper, parts = split
+    bounds = {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(parts)}
+    return {"url": url, "dbtable": f"({sql}) q"} | bounds  # Spark splits tables only, not queries
+
+
+def read_query(spark: SparkSession, url: str, sql: str, camel_names: bool = False, split: tuple[str, object, object, int] | None = None, **options: str) -> DataFrame:
+    """Rows of a JDBC query; needs the database's driver on the cluster. Without ``split`` one task reads all."""
+    df = spark.read.format("jdbc").options(**query_options(url, sql, split), **options).load()
     return camel_columns(df) if camel_names else df
 
 
