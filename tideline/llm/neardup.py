@@ -1,20 +1,26 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its k-word shingles. Equal sets are one vertex. Every
-vertex gets min-wise tokens, one for each of ``TREES`` independent coordinates.
-A tree's first branching puts a vertex into the node of its token there; nodes
-above ``NODE_CAP`` members branch again on ``BRANCHES`` further tokens, chosen
-from the node's path. Inside a node of any size up to ``NODE_CAP`` all members are compared by sketches, and
-the vertices that may be alike are joined into clusters. A pair at similarity
-0.8 shares none of 12 first nodes with probability 4e-9, and is left out by the
+vertex gets min-wise tokens of ``AXES`` independent coordinates. Each of ``TREES``
+trees branches first on two tokens of its own: a vertex goes into the node of the
+pair. Nodes above ``NODE_CAP`` members branch on, on ``BRANCHES`` further tokens
+chosen from the node's path. Inside a node of any size up to ``NODE_CAP`` all
+members are compared by sketches, and the vertices that may be alike are joined
+into clusters. A pair at similarity 0.8 shares none of the 12 first nodes with
+probability 0.36^12 = 5e-6, one at 0.3 shares one with 0.7, and it is left out by the
 64-token sketches at the 0.5 mark with probability below 1e-7.
 
 Clusters are then resolved on full sets, read again from the texts: from each
 member in turn, all members still unreached are compared, so the links of a
 component are found without listing pairs. A cluster above ``CLUSTER_CAP`` is
-resolved node by node instead, and a node that stays large because its members
-are alike by hubs: all members are compared with one, those linked leave, except
-members that the triangle inequality lets reach a member not linked.
+resolved node by node instead. Nodes that stay large at the end of branching are
+resolved exactly, in a fixed number of rounds: ``HUB_ROUNDS`` times all members are
+compared with one, those linked leave, except members that the triangle
+inequality lets reach a member not linked; then by prefix lists. Two sets of
+similarity t share one of the first n - ceil(t n) + 1 elements of each in any order
+that is the same for all; elements are ordered rarest first by a bounded table of
+counts, so what a template's pages have in common makes no list. Lists are
+compared like clusters. Only lists that are large even so go on by hubs.
 
 Defined results
 * null or empty text, or no words: empty set, linked with nothing
@@ -40,11 +46,14 @@ from .store import Scratch
 from .textblock import U64, Words, arrow_bytes, mix, shingle_sets, slices, trimmed
 
 TREES = 12
+AXES = 2 * TREES
 SKETCH = 64
-BRANCHES = 3
-NODE_CAP = 4000
-MAX_DEPTH = 6
-CLUSTER_CAP = 4000
+BRANCHES = 2
+NODE_CAP = 1000
+MAX_DEPTH = 3
+CLUSTER_CAP = 1000
+HUB_ROUNDS = 2
+COUNTERS = 1 << 18  # of elements, for the order of prefix lists
 CLUSTER_SHINGLES = 8_000_000
 SURE_IDS = 1_000_000  # ids that may be broadcast: 16 MB
 ALIKE = SKETCH // 2
@@ -70,7 +79,7 @@ def _signatures(k: int) -> Callable:
                 for i in full:
                     keys[i] = np.frombuffer(hashlib.md5(flat[at[i] : at[i + 1]]).digest(), np.int64)
                 trees = pa.ListArray.from_arrays(
-                    np.arange(0, (b - a + 1) * TREES, TREES, dtype=np.int32), pa.array(np.ascontiguousarray(low[:, :TREES]).view(np.int64).ravel())
+                    np.arange(0, (b - a + 1) * AXES, AXES, dtype=np.int32), pa.array(np.ascontiguousarray(low[:, :AXES]).view(np.int64).ravel())
                 )
                 short = mix(low).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
@@ -225,8 +234,8 @@ def _by_group(df: DataFrame, run: Callable) -> DataFrame:
 def _nodes(reps: DataFrame, scratch: Scratch, cap: int) -> tuple[DataFrame, DataFrame]:
     """(grp, rep) of the nodes to compare exhaustively, and of those left large at the end of branching."""
     h = F.xxhash64
-    first = reps.select("rep", "mins", F.posexplode("mins").alias("axis", "token"))
-    rows = first.select("rep", "axis", h("axis", "token").alias("grp"))
+    pairs = F.array(*[h(F.lit(t), F.col("mins")[2 * t], F.col("mins")[2 * t + 1]) for t in range(TREES)])
+    rows = reps.select("rep", F.explode(pairs).alias("grp"))
     small, left = [], []
     for depth in range(MAX_DEPTH):
         count = rows.groupBy("grp").agg(F.count("*").alias("n"), F.bit_xor(h("rep")).alias("x"), F.bit_xor(h("rep", F.lit(1))).alias("y"))
@@ -237,35 +246,36 @@ def _nodes(reps: DataFrame, scratch: Scratch, cap: int) -> tuple[DataFrame, Data
         large = count.filter(F.col("n") > cap).select("grp")
         if large.isEmpty():
             break
-        held = scratch.keep(rows.select("grp", "rep", "axis").join(large, "grp"), f"large{depth}")
+        held = scratch.keep(rows.join(large, "grp"), f"large{depth}")
         if depth == MAX_DEPTH - 1:
             left.append(held.select("grp", "rep"))
             break
-        step = F.pmod(h("grp", "branch"), F.lit(TREES - 1)) + 1
+        axis = F.pmod(h("grp", "branch"), F.lit(AXES)).cast("int")
         rows = (
             held.join(reps.select("rep", "mins"), "rep")
             .withColumn("branch", F.explode(F.array(*[F.lit(b) for b in range(BRANCHES)])))
-            .withColumn("axis", F.pmod(F.col("axis") + step, F.lit(TREES)).cast("int"))
-            .select("rep", "axis", h("grp", "axis", F.element_at("mins", F.col("axis") + 1)).alias("grp"))
+            .withColumn("axis", axis)
+            .select("rep", h("grp", "axis", F.element_at("mins", F.col("axis") + 1)).alias("grp"))
         )
     both = [reduce(DataFrame.unionByName, x) if x else scratch.spark.createDataFrame([], "grp long, rep long") for x in (small, left)]
     return both[0], both[1]
 
 
-def _by_hubs(rows: DataFrame, percent: int, scratch: Scratch, cap: int) -> tuple[list[DataFrame], DataFrame]:
-    """Edges and smaller groups from groups (grp, rep, shingles) of any size."""
+def _by_hubs(rows: DataFrame, percent: int, scratch: Scratch, cap: int, rounds: int | None = None) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """From groups (grp, rep, shingles) of any size: edges, smaller groups, and groups that are large after ``rounds``."""
     edges, rest = [], scratch.spark.createDataFrame([], rows.schema)
     turn = 0
     far = (100 - percent) / 100
     while True:
         size = rows.groupBy("grp").agg(F.count("*").alias("n"))
         big = scratch.keep(size.filter(F.col("n") > cap).select("grp"), "big")
-        rest = rest.unionByName(rows.join(size.filter(F.col("n") <= cap).select("grp"), "grp", "left_semi"))
-        if big.isEmpty():
-            return edges, rest
+        rest = rest.unionByName(rows.join(big, "grp", "left_anti"))
         rows = rows.join(big, "grp", "left_semi")
+        if turn == rounds or big.isEmpty():
+            return edges, rest, rows
         hub = rows.groupBy("grp").agg(F.min_by(F.struct("rep", "shingles"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
-        near = rows.join(hub, "grp").select("grp", "rep", "shingles", F.col("hub.rep").alias("hub"), F.col("hub.shingles").alias("hub_shingles"))
+        hub = scratch.keep(hub.select("grp", F.col("hub.rep").alias("hub"), F.col("hub.shingles").alias("hub_shingles")), "hubs")
+        near = rows.join(hub, "grp").select("grp", "rep", "shingles", "hub", "hub_shingles")
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -283,14 +293,55 @@ def _by_hubs(rows: DataFrame, percent: int, scratch: Scratch, cap: int) -> tuple
         near = near.mapInArrow(trimmed(measure), "grp long, rep long, shingles binary, hub long, inter long, total long").filter("rep <> hub")
         near = scratch.keep(near.withColumn("ok", F.expr(f"100 * inter >= {percent} * total")).withColumn("d", F.expr("1 - inter / total")), "hub")
         edges.append(near.filter("ok").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-        gap = near.filter("not ok").groupBy("grp").agg(F.min("d").alias("least"))
-        rows = near.join(gap, "grp").filter(F.col("ok") == F.lit(False)).select("grp", "rep", "shingles").unionByName(
-            near.join(gap, "grp").filter(F.col("ok") & (F.col("d") >= F.col("least") - F.lit(far) - 1e-9)).select("grp", "rep", "shingles")
-        )
-        rows = scratch.keep(rows, "rows")
+        gap = scratch.keep(near.filter("not ok").groupBy("grp").agg(F.min("d").alias("least")), "gap")
+        stays = ~F.col("ok") | (F.col("d") >= F.col("least") - F.lit(far) - 1e-9)
+        rows = scratch.keep(near.join(gap, "grp").filter(stays).select("grp", "rep", "shingles"), "rows")
         turn += 1
 
 
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens) & U64(COUNTERS - 1)).astype(np.int64)
+
+
+def _element_counts(rows: DataFrame) -> np.ndarray:
+    """How often elements occur in the sets, by their hash's slot: a bounded table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, _slots(np.frombuffer(x.as_buffer(), U64)), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+    found = rows.select("shingles").mapInArrow(trimmed(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    out = np.zeros(COUNTERS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefix_lists(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(grp, rep): the lists of rare elements that hold every linked pair of each group together."""
+    shared = scratch.spark.sparkContext.broadcast(_element_counts(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, reps = [], []
+            for grp, rep, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens = np.frombuffer(x.as_buffer(), U64)
+                n = len(tokens)
+                first = np.lexsort((tokens, shared.value[_slots(tokens)]))[: n - -(-percent * n // 100) + 1]
+                keys.append(mix(tokens[first] ^ mix(np.array([grp], np.int64).view(U64))).view(np.int64))
+                reps.append(np.full(len(first), rep, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (keys, reps)], ["grp", "rep"])
+
+    lists = scratch.keep(rows.select("grp", "rep", "shingles").mapInArrow(trimmed(run), "grp long, rep long"), "lists")
+    h = F.xxhash64
+    count = lists.groupBy("grp").agg(F.count("*").alias("n"), F.bit_xor(h("rep")).alias("x"), F.bit_xor(h("rep", F.lit(1))).alias("y")).filter("n > 1")
+    once = count.groupBy("n", "x", "y").agg(F.min("grp").alias("grp")).select("grp")  # of lists with the same members one is enough
+    return scratch.keep(lists.join(once, "grp"), "lists")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, node_cap: int = NODE_CAP, cluster_cap: int = CLUSTER_CAP) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     spark = ship(docs.sparkSession)
@@ -330,8 +381,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, node_cap: in
         out = clusters.join(large, "cluster", "left_semi").select("rep")
         members = clusters.join(large, "cluster", "left_anti").select(F.col("cluster").alias("grp"), "rep").unionByName(small.join(out, "rep", "left_semi").select("grp", "rep"))
         wide = scratch.keep(left.join(sets, "rep").select("grp", "rep", "shingles"), "wide")
-        more, rest = _by_hubs(wide, percent, scratch, node_cap)
-        grouped = members.join(sets, "rep").select("grp", "rep", "shingles").unionByName(rest)
+        more, rest, wide = _by_hubs(wide, percent, scratch, node_cap, HUB_ROUNDS)
+        rest = [rest]
+        if not wide.isEmpty():
+            lists = _prefix_lists(wide, percent, scratch)
+            lists = scratch.keep(lists.join(sets, "rep").select("grp", "rep", "shingles"), "listed")
+            edges, small_lists, _ = _by_hubs(lists, percent, scratch, node_cap)
+            more, rest = [*more, *edges], [*rest, small_lists]
+        grouped = reduce(DataFrame.unionByName, [members.join(sets, "rep").select("grp", "rep", "shingles"), *rest])
         edges = reduce(DataFrame.unionByName, [_by_group(grouped, _exact(percent)), *more])
         found = connected_components(edges, scratch).select(F.col("v").alias("rep"), "component")
     found = scratch.keep(found, "found")
