@@ -1,22 +1,26 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are runs of at least ``LEAST`` key characters that hold a digit or
-begin like a known kind of key, signed tokens of three parts, and private keys
-from their first line to their last. A name before ``=`` is no part of a value.
-Each gets figures on its length, its character
-transitions, how much of it dictionary words cover, the path it stands in and
-its neighbouring words. A forest trained on labelled findings decides; labels
-are (doc_id, start, end, secret), ``weak_labels`` derives them where no reviewed
-findings exist: a random-looking value assigned to a name with a credential's word in it
-or given after ``Bearer`` is one, as are known kinds of keys and private keys.
-What the rule marks is then a secret, whatever the forest makes of a rare form.
+Candidates are runs of at least ``least`` key characters that hold a digit or
+begin like a known kind of key, values of any characters but a digit or sign among
+them that are assigned to a credential's name, signed tokens of three parts, and
+private keys from their first line to their last. A name before ``=`` is no part of
+a value. Each gets figures on its length, on its character transitions (kinds,
+repeats, and how surprising its pairs of characters are under the corpus's own), on
+how much of it words of the corpus cover, on the path it stands in and on its
+neighbouring words. Pairs are counted over all texts, as are words, of which the
+``WORDS`` most frequent are the dictionary. A forest trained on labelled findings
+decides; labels are (doc_id, start, end, secret), ``weak_labels`` derives them where
+no reviewed findings exist: a random-looking value assigned to a name with a
+credential's word in it or given after ``Bearer`` is one, as are known kinds of keys
+and private keys. What the rule marks is then a secret, whatever the forest makes of
+a rare form.
 
 Findings carry a fingerprint, never the value. Offsets count characters.
 
 Defined results
 * null and empty texts have no candidates
-* null ``source`` is an empty path; null ``doc_id`` is scanned but never a label
-* repeated rows are each reported; an empty table gives no rows; more columns
+* null ``source``, or no such column, is an empty path; null ``doc_id`` is scanned but never a label
+* repeated rows are each reported and are one labelled finding; an empty table gives no rows; more columns
   are ignored by ``scan`` and kept by ``redact``
 * without labels, or with labels of one class, every score is the labels' share
 """
@@ -27,6 +31,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +40,20 @@ from pyspark.sql import functions as F
 
 from ..plans.ship import ship
 from .forest import Forest, fit
-from .rules import STOP_WORDS
 from .store import Scratch
-from .textblock import arrow_bytes, slices, trimmed
+from .textblock import LOWER, U64, Words, arrow_bytes, slices, trimmed
 
 LEAST = 16
 SAMPLE = 20_000
 CUT = 0.5
 MASK = "[SECRET]"
 CONTEXT = 48
+WORDS = 50_000
+SHORT = 6  # least length of a value assigned to a credential's name
 
 # Names credentials are assigned to, and words found in harmless identifiers.
 KEY_WORDS = "token secret key apikey api_key access_key password passwd pwd auth bearer credential credentials private signature".split()
 HARMLESS = "example sample test dummy placeholder uuid guid sha1 sha256 md5 checksum digest commit revision hash order phone card isbn".split()
-DICTIONARY = frozenset(w for w in [*STOP_WORDS, *KEY_WORDS, *HARMLESS, "http", "https", "index", "page", "image", "file", "user", "name", "data"] if len(w) > 2)
-
 _KEY = np.zeros(256, bool)
 _KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-")] = True
 _DIGIT = np.zeros(256, bool)
@@ -61,7 +65,20 @@ _HEX = frozenset(b"0123456789abcdefABCDEF")
 _WORD = re.compile(rb"[A-Za-z_]{2,}")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _ENDS = re.compile(rb"[?&,;\n]")
-_LETTERS = re.compile(rb"[A-Za-z]{3,}")
+_ASSIGNED = re.compile(
+    rb"(?:token|secret|password|passwd|pwd|passphrase|api_?key|access_?key|credentials?|signature)[A-Za-z0-9_]{0,40}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"'`]?"
+    rb"([^\s\"'`<>,;&?(){}\[\]]{%d,400})" % SHORT, re.I
+)
+_TELLING = re.compile(rb"[0-9!@#$%^*~]")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+# kinds of bytes for pairs: letters, digit, and some marks of their own
+_PAIR = np.full(256, 31, np.int64)
+_PAIR[97:123] = _PAIR[65:91] = np.arange(26)
+_PAIR[48:58], _PAIR[128:] = 26, 32
+for _j, _bytes in enumerate((b"_-", b"/.", b"+=", b" \t\r\n"), 27):
+    _PAIR[list(_bytes)] = _j
+PAIRS = 33
 _PEM = re.compile(
     rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
     rb"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{32,})*)"
@@ -73,13 +90,69 @@ _PREFIX = re.compile(
 _BEARER = re.compile(rb"(?:bearer|authorization[\"']?\s*[:=]\s*[\"']?(?:basic|token))\s+[\"'`]?$", re.I)
 
 NAMES = (
-    "length log_length lower upper digit other hex_only digits_only entropy switches vowel_pairs repeats longest_run covered "
+    "length log_length lower upper digit other hex_only digits_only entropy surprise switches vowel_pairs repeats longest_run covered "
     "prefix pem slashes in_url path_test path_code key_before key_near harmless_near assigned quoted spaced_after bearer"
 ).split()
 FOUND = f"doc_id long, start long, end long, kind string, fingerprint string, context_key boolean, x array<float>"
 
 
-def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+@dataclass
+class Corpus:
+    """What is usual in the texts: bits of each pair of character kinds, hashes of frequent words (ascending)."""
+
+    bits: np.ndarray
+    words: np.ndarray
+
+    def surprise(self, value: bytes) -> float:
+        kind = _PAIR[np.frombuffer(value, np.uint8)]
+        return float(self.bits[kind[:-1], kind[1:]].mean()) if len(kind) > 1 else 0.0
+
+    def covered(self, value: bytes) -> float:
+        """Share of the value in words of three letters and more that the corpus knows."""
+        words = _letter_words(np.frombuffer(value, np.uint8), np.array([0, len(value)]))
+        long = words.end - words.start >= 3
+        if not len(self.words) or not long.any():
+            return 0.0
+        at = np.minimum(np.searchsorted(self.words, words.hash[long]), len(self.words) - 1)
+        known = self.words[at] == words.hash[long]
+        return float((words.end - words.start)[long][known].sum() / len(value))
+
+
+def _letter_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    return Words(np.where(_LETTER[data], LOWER[data], np.uint8(0x20)), offsets)
+
+
+def corpus_of(docs: DataFrame) -> Corpus:
+    """Pairs and words counted over all texts; the result is bounded."""
+    spark = ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(PAIRS * PAIRS, np.int64)
+        for batch in batches:
+            data, offsets = arrow_bytes(batch.column(0))
+            for a, b in slices(offsets):
+                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                code = _PAIR[part[:-1]] * PAIRS + _PAIR[part[1:]]
+                inside = np.ones(len(code), bool)
+                edge = at[(at > 0) & (at < len(part))]
+                inside[edge - 1] = False
+                pairs += np.bincount(code[inside], minlength=PAIRS * PAIRS)
+                words = _letter_words(part, at)
+                hashes, n = np.unique(words.hash[words.end - words.start >= 3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), pa.array(hashes.view(np.int64)), pa.array(n)], ["word", "what", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), bool)), pa.array(np.arange(len(pairs))), pa.array(pairs)], ["word", "what", "n"])
+
+    counts = docs.select("text").mapInArrow(trimmed(run), "word boolean, what long, n long").groupBy("word", "what").agg(F.sum("n").alias("n"))
+    counts = Scratch(spark, "corpus").keep(counts, "counts")
+    pairs = np.zeros(PAIRS * PAIRS)
+    for r in counts.filter("not word").collect():  # PAIRS * PAIRS rows
+        pairs[r.what] = r.n
+    pairs = pairs.reshape(PAIRS, PAIRS) + 1
+    top = counts.filter("word").orderBy(F.desc("n"), "what").limit(WORDS).toArrow().column("what").to_numpy()
+    return Corpus(-np.log2(pairs / pairs.sum(axis=1, keepdims=True)), np.sort(top.view(U64)))
+
+
+def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(text, first byte, end byte) of every candidate, bytes counted from ``data``'s start."""
     key = _KEY[data]
     if len(key):  # a name's '=' before a value ends a run, a value's own last ones do not
@@ -94,7 +167,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
     first[edge] = key[edge]
     last[edge - 1] = key[edge - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    long = e - s >= LEAST
+    long = e - s >= least
     s, e = s[long], e[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     held = digits[e] > digits[s]
@@ -108,7 +181,16 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
             keys = [(i, a + m.start(), a + m.end()) for m in _PEM.finditer(text)] if b"-----BEGIN " in text else []
             signed = [(i, a + m.start(), a + m.end()) for m in _JWT.finditer(text)] if b"eyJ" in text else []
             whole += keys + _outside(signed, keys)
-    return _outside(runs, sorted(whole)) + whole
+    whole.sort()
+    named, at = [], 0
+    while m := _ASSIGNED.search(raw, at):
+        i = int(np.searchsorted(offsets, m.start(), side="right")) - 1
+        a, at = m.start(1), min(m.end(1), int(offsets[i + 1]))  # texts stand side by side: a value ends with its text
+        b = a + len(raw[a:at].rstrip(b".:"))
+        if b - a >= SHORT and _TELLING.search(raw, a, b):
+            named.append((i, a, b))
+    named = _outside(named, whole)
+    return sorted(_outside(_outside(runs, named), whole) + named + whole)
 
 
 def _outside(spans: list[tuple[int, int, int]], whole: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -128,7 +210,7 @@ def _parts(name: bytes) -> list[str]:
     return [text.lower().strip("_"), *(w.lower() for w in _PART.findall(text))]
 
 
-def figures(text: bytes, start: int, end: int, source: str) -> list[float]:
+def figures(text: bytes, start: int, end: int, source: str, corpus: Corpus) -> list[float]:
     """The forest's input for one candidate."""
     value = text[start:end]
     n = len(value)
@@ -136,7 +218,6 @@ def figures(text: bytes, start: int, end: int, source: str) -> list[float]:
     share = np.bincount(kind, minlength=4) / n
     count = np.bincount(np.frombuffer(value, np.uint8))
     p = count[count > 0] / n
-    words = _LETTERS.findall(value.lower())
     before = text[max(0, start - CONTEXT) : start]
     after = text[end : end + CONTEXT]
     tail = before.rstrip(b" \"'`")
@@ -145,9 +226,9 @@ def figures(text: bytes, start: int, end: int, source: str) -> list[float]:
     path = source.lower()
     runs = np.diff(np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]])))
     return [
-        n, np.log(n), share[1], share[2], share[3], share[0], all(c in _HEX for c in value), share[3] == 1, float(-(p * np.log2(p)).sum()),
+        n, np.log(n), share[1], share[2], share[3], share[0], all(c in _HEX for c in value), share[3] == 1, float(-(p * np.log2(p)).sum()), corpus.surprise(value),
         (kind[1:] != kind[:-1]).mean() if n > 1 else 0, sum((a in _VOWEL) != (b in _VOWEL) for a, b in zip(value, value[1:])) / n,
-        sum(a == b for a, b in zip(value, value[1:])) / n, int(runs.max()), sum(len(w) for w in words if w.decode() in DICTIONARY) / n,
+        sum(a == b for a, b in zip(value, value[1:])) / n, int(runs.max()), corpus.covered(value),
         _PREFIX.match(value) is not None, value.startswith(b"-----BEGIN"), value.count(b"/"), b"://" in before[-40:] or b"www." in before[-40:],
         any(w in path for w in ("test", "example", "fixture", "sample")), path.endswith((".py", ".js", ".java", ".env", ".yml", ".json", ".cfg", ".ini")),
         bool(named) and named[-1], any(named), any(w[0] in HARMLESS or w[-1] in HARMLESS for w in near),
@@ -160,7 +241,10 @@ def _strong(x: list[float]) -> bool:
     """Whether the rule marks a candidate with these figures."""
     named = dict(zip(NAMES, x, strict=True))
     told = named["key_near"] and named["assigned"] or named["bearer"]
-    return bool(named["pem"] or named["entropy"] >= 3 and (named["prefix"] or told and not named["harmless_near"]))
+    told = told and not named["harmless_near"]
+    if named["length"] < LEAST and not named["prefix"]:  # a short value needs a digit, or a sign in quotes
+        return bool(told and named["entropy"] >= 2.2 and not named["digits_only"] and (named["digit"] or named["other"] and named["quoted"]))
+    return bool(named["pem"] or named["entropy"] >= 3 and (named["prefix"] or told))
 
 
 def _kind(x: list[float], value: bytes) -> str:
@@ -174,32 +258,38 @@ def _kind(x: list[float], value: bytes) -> str:
     return "hex" if named["hex_only"] else "text"
 
 
-def find(docs: DataFrame) -> DataFrame:
+def _examine(column: pa.Array, sources: pa.Array | None, corpus: Corpus) -> Iterator[tuple[int, bytes, int, int, list[float]]]:
+    """(row, text, first byte, end byte, figures) of every candidate, a text after another."""
+    data, offsets = arrow_bytes(column)
+    for a, b in slices(offsets):
+        base, last, text = int(offsets[a]), -1, b""
+        for r, s, e in candidates(data[base : offsets[b]], offsets[a : b + 1] - base):
+            i = a + r
+            if i != last:
+                last, text = i, data[offsets[i] : offsets[i + 1]].tobytes()
+            s, e = s + base - int(offsets[i]), e + base - int(offsets[i])
+            source = sources[i].as_py() if sources is not None else None
+            yield i, text, s, e, [float(v) for v in figures(text, s, e, source or "", corpus)]
+
+
+def find(docs: DataFrame, corpus: Corpus) -> DataFrame:
     """Every candidate with its figures."""
-    ship(docs.sparkSession)
+    spark = ship(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(corpus)  # WORDS hashes and a table of pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sources = batch.column(0), batch.column(2)
-            data, offsets = arrow_bytes(batch.column(1))
-            rows: list[tuple] = []
-            for a, b in slices(offsets):
-                base = int(offsets[a])
-                texts: dict[int, tuple[bytes, np.ndarray]] = {}
-                for r, s, e in candidates(data[base : offsets[b]], offsets[a : b + 1] - base):
-                    i = a + r
-                    if i not in texts:
-                        raw = data[offsets[i] : offsets[i + 1]]
-                        texts[i] = raw.tobytes(), np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                    text, chars = texts[i]
-                    s, e = s + base - int(offsets[i]), e + base - int(offsets[i])
-                    x = [float(v) for v in figures(text, s, e, sources[i].as_py() or "")]
-                    rows.append((ids[i].as_py(), int(chars[s]), int(chars[e]), _kind(x, text[s:e]), hashlib.sha256(text[s:e]).hexdigest()[:16], _strong(x), x))
+            ids, rows, last, chars = batch.column(0), [], -1, np.zeros(1, np.int64)
+            for i, text, s, e, x in _examine(batch.column(1), batch.column(2), shared.value):
+                if i != last:
+                    last, chars = i, np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+                rows.append((ids[i].as_py(), int(chars[s]), int(chars[e]), _kind(x, text[s:e]), hashlib.sha256(text[s:e]).hexdigest()[:16], _strong(x), x))
             if rows:
                 types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.bool_(), pa.list_(pa.float32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "source").mapInArrow(trimmed(run), FOUND)
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long"), "text", source.alias("source")).mapInArrow(trimmed(run), FOUND)
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
@@ -209,7 +299,10 @@ def weak_labels(found: DataFrame) -> DataFrame:
 
 def train(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """Fit on at most ``sample`` labelled findings, half of each class: a bounded table."""
-    known = found.select("doc_id", "start", "end", "x").join(labels.select("doc_id", "start", "end", "secret"), ["doc_id", "start", "end"])
+    at = ["doc_id", "start", "end"]
+    one = found.groupBy(*at).agg(F.min("x").alias("x"))  # repeated rows are one finding
+    truth = labels.filter("secret is not null").groupBy(*at).agg((F.avg(F.col("secret").cast("int")) >= 0.5).alias("secret"))
+    known = one.join(truth, at)
     order = [F.xxhash64("doc_id", "start"), "doc_id", "start"]
     rows = []
     for flag in (True, False):
@@ -234,55 +327,53 @@ def score(found: DataFrame, model: Forest) -> DataFrame:
     return found.mapInArrow(trimmed(run), f"{schema}, score double")
 
 
-def model_for(docs: DataFrame, labels: DataFrame | None = None) -> tuple[Forest, DataFrame]:
-    """A forest and the candidates of ``docs``; labels by rule unless given."""
-    found = Scratch(docs.sparkSession, "secrets").keep(find(docs), "found")
-    return train(found, weak_labels(found) if labels is None else labels), found
+def model_for(docs: DataFrame, labels: DataFrame | None = None) -> tuple[Forest, Corpus, DataFrame]:
+    """A forest, what is usual in the corpus, and the candidates of ``docs``; labels by rule unless given."""
+    corpus = corpus_of(docs)
+    found = Scratch(docs.sparkSession, "secrets").keep(find(docs, corpus), "found")
+    return train(found, weak_labels(found) if labels is None else labels), corpus, found
 
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT) -> DataFrame:
     """Every candidate with its score and verdict."""
-    model, found = model_for(docs, labels)
+    model, _, found = model_for(docs, labels)
     by_rule = F.col("context_key") & F.lit(labels is None)
     return score(found, model).withColumn("secret", (F.col("score") >= cut) | by_rule).drop("context_key")
 
 
 def redact(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT) -> DataFrame:
     """All rows and columns of ``docs``, secrets in ``text`` replaced and ``n_chars`` counted anew."""
-    model, _ = model_for(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model, corpus, _ = model_for(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((model, corpus))
     names = docs.columns
     by_rule = labels is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, usual = shared.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            sources = batch.column(batch.schema.get_field_index("source"))
-            data, offsets = arrow_bytes(batch.column(at))
-            places, figs = [], []
-            for a, b in slices(offsets):
-                base = int(offsets[a])
-                for r, s, e in candidates(data[base : offsets[b]], offsets[a : b + 1] - base):
-                    i = a + r
-                    text = data[offsets[i] : offsets[i + 1]].tobytes()
-                    s, e = s + base - int(offsets[i]), e + base - int(offsets[i])
-                    places.append((i, s, e))
-                    figs.append(figures(text, s, e, sources[i].as_py() or ""))
-            if places:
-                bad = shared.value.score(np.array(figs, np.float32)) >= cut
+            sources = batch.column("source") if "source" in names else None
+            raws: dict[int, bytes] = {}
+            spans: list[tuple[int, int, int]] = []
+            figs = []
+            for i, text, s, e, x in _examine(batch.column(at), sources, usual):
+                raws[i] = text
+                spans.append((i, s, e))
+                figs.append(x)
+            if spans:
+                bad = forest.score(np.array(figs, np.float32)) >= cut
                 if by_rule:
                     bad |= np.array([_strong(x) for x in figs])
-                texts = batch.column(at).to_pylist()
-                counts = batch.column(batch.schema.get_field_index("n_chars")).to_pylist() if "n_chars" in names else None
-                by: dict[int, list[tuple[int, int]]] = {}
-                for (i, s, e), b in zip(places, bad, strict=True):
+                pieces: dict[int, list[bytes]] = {}
+                ends: dict[int, int] = {}
+                for (i, s, e), b in zip(spans, bad, strict=True):  # in order of place
                     if b:
-                        by.setdefault(i, []).append((s, e))
-                for i, spans in by.items():
-                    raw = texts[i].encode()
-                    for s, e in sorted(spans, reverse=True):
-                        raw = raw[:s] + MASK.encode() + raw[e:]
-                    texts[i] = raw.decode()
+                        pieces.setdefault(i, []).append(raws[i][ends.get(i, 0) : s] + MASK.encode())
+                        ends[i] = e
+                texts = batch.column(at).to_pylist()
+                counts = batch.column("n_chars").to_pylist() if "n_chars" in names else None
+                for i, parts in pieces.items():
+                    texts[i] = (b"".join(parts) + raws[i][ends[i] :]).decode()
                     if counts is not None:
                         counts[i] = len(texts[i])
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
