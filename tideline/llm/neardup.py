@@ -14,9 +14,10 @@ Clusters are then resolved on full sets, read again from the texts: from each
 member in turn, all members still unreached are compared, so the links of a
 component are found without listing pairs. A cluster above ``CLUSTER_CAP`` is
 resolved node by node instead. Nodes that stay large at the end of branching are
-resolved exactly, in a fixed number of rounds: ``HUB_ROUNDS`` times all members are
-compared with one, those linked leave, except members that the triangle
-inequality lets reach a member not linked; then by prefix lists. Two sets of
+resolved exactly. All members are compared with a hub, those linked are done and
+leave, except members that the triangle inequality lets reach one that is not done;
+while hubs link much of what is open, they go on. Other groups go on after
+``HUB_ROUNDS`` hubs by prefix lists, in a fixed number of rounds. Two sets of
 similarity t share one of the first n - ceil(t n) + 1 elements of each in any order
 that is the same for all; elements are ordered rarest first by a bounded table of
 counts, so what a template's pages have in common makes no list. Lists are
@@ -49,10 +50,11 @@ TREES = 12
 AXES = 2 * TREES
 SKETCH = 64
 BRANCHES = 2
-NODE_CAP = 1000
+NODE_CAP = 4000
 MAX_DEPTH = 3
-CLUSTER_CAP = 1000
+CLUSTER_CAP = 4000
 HUB_ROUNDS = 2
+DENSE = 0.05  # share of a group that a hub must link for hubs to go on
 COUNTERS = 1 << 18  # of elements, for the order of prefix lists
 CLUSTER_SHINGLES = 8_000_000
 SURE_IDS = 1_000_000  # ids that may be broadcast: 16 MB
@@ -262,20 +264,34 @@ def _nodes(reps: DataFrame, scratch: Scratch, cap: int) -> tuple[DataFrame, Data
 
 
 def _by_hubs(rows: DataFrame, percent: int, scratch: Scratch, cap: int, rounds: int | None = None) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-    """From groups (grp, rep, shingles) of any size: edges, smaller groups, and groups that are large after ``rounds``."""
-    edges, rest = [], scratch.spark.createDataFrame([], rows.schema)
+    """From groups (grp, rep, shingles) of any size: edges, smaller groups, and large groups of which hubs link too little.
+
+    Each round compares a group's members with one that no hub has linked. What
+    it links is done: it stays only while it may reach a member that is not. Where a
+    hub links less than ``DENSE`` of the open members, the group is given back after
+    ``rounds`` rounds.
+    """
+    edges, columns = [], ["grp", "rep", "shingles"]
+    rest = sparse = scratch.spark.createDataFrame([], rows.schema)
+    rows = rows.select(*columns, F.lit(False).alias("done"), F.lit(True).alias("dense"))
     turn = 0
     far = (100 - percent) / 100
     while True:
-        size = rows.groupBy("grp").agg(F.count("*").alias("n"))
-        big = scratch.keep(size.filter(F.col("n") > cap).select("grp"), "big")
-        rest = rest.unionByName(rows.join(big, "grp", "left_anti"))
-        rows = rows.join(big, "grp", "left_semi")
-        if turn == rounds or big.isEmpty():
-            return edges, rest, rows
-        hub = rows.groupBy("grp").agg(F.min_by(F.struct("rep", "shingles"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
+        size = scratch.keep(rows.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open")).filter("open > 0"), "sizes")
+        rest = rest.unionByName(rows.join(size.filter(F.col("n") <= cap), "grp", "left_semi").select(*columns))
+        rows = rows.join(size.filter(F.col("n") > cap), "grp", "left_semi")
+        if turn == rounds:
+            sparse = rows.filter("not dense").select(*columns)
+            rows = rows.filter("dense")
+        elif rounds is not None and turn > rounds:
+            sparse = sparse.unionByName(rows.filter("not dense").select(*columns))
+            rows = rows.filter("dense")
+        rows = scratch.keep(rows, "rows")
+        if rows.isEmpty():
+            return edges, rest, sparse
+        hub = rows.filter("not done").groupBy("grp").agg(F.min_by(F.struct("rep", "shingles"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
         hub = scratch.keep(hub.select("grp", F.col("hub.rep").alias("hub"), F.col("hub.shingles").alias("hub_shingles")), "hubs")
-        near = rows.join(hub, "grp").select("grp", "rep", "shingles", "hub", "hub_shingles")
+        near = rows.join(hub, "grp").select("grp", "rep", "shingles", "hub", "hub_shingles", "done")
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -286,16 +302,21 @@ def _by_hubs(rows: DataFrame, percent: int, scratch: Scratch, cap: int, rounds:
                     inter.append(i)
                     union.append(len(p) + len(q) - i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(inter, pa.int64()), pa.array(union, pa.int64())],
-                    ["grp", "rep", "shingles", "hub", "inter", "total"],
+                    [b.column(0), b.column(1), b.column(2), b.column(3), b.column(5), pa.array(inter, pa.int64()), pa.array(union, pa.int64())],
+                    ["grp", "rep", "shingles", "hub", "done", "inter", "total"],
                 )
 
-        near = near.mapInArrow(trimmed(measure), "grp long, rep long, shingles binary, hub long, inter long, total long").filter("rep <> hub")
+        near = near.mapInArrow(trimmed(measure), "grp long, rep long, shingles binary, hub long, done boolean, inter long, total long")
         near = scratch.keep(near.withColumn("ok", F.expr(f"100 * inter >= {percent} * total")).withColumn("d", F.expr("1 - inter / total")), "hub")
-        edges.append(near.filter("ok").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-        gap = scratch.keep(near.filter("not ok").groupBy("grp").agg(F.min("d").alias("least")), "gap")
-        stays = ~F.col("ok") | (F.col("d") >= F.col("least") - F.lit(far) - 1e-9)
-        rows = scratch.keep(near.join(gap, "grp").filter(stays).select("grp", "rep", "shingles"), "rows")
+        edges.append(near.filter("ok and rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+        left = ~F.col("done") & ~F.col("ok")
+        gap = near.groupBy("grp").agg(
+            F.min(F.when(left, F.col("d"))).alias("least"), F.max(F.when(left, F.col("d"))).alias("most"),
+            (F.count_if(~F.col("done") & F.col("ok") & (F.col("rep") != F.col("hub"))) >= DENSE * F.count_if(~F.col("done"))).alias("dense"),
+        )
+        gap = scratch.keep(gap.filter("least is not null"), "gap")
+        reaches = F.col("d").between(F.col("least") - F.lit(far) - 1e-9, F.col("most") + F.lit(far) + 1e-9)
+        rows = near.join(gap, "grp").filter(left | reaches).select(*columns, (F.col("done") | F.col("ok")).alias("done"), "dense")
         turn += 1
 
 
