@@ -54,7 +54,7 @@ NODE_CAP = 4000
 MAX_DEPTH = 3
 CLUSTER_CAP = 4000
 HUB_ROUNDS = 2
-DENSE = 0.05  # share of a group that a hub must link for hubs to go on
+DENSE = 0.2  # share of the open members that a hub must link for hubs to go on: rounds stay logarithmic
 COUNTERS = 1 << 18  # of elements, for the order of prefix lists
 CLUSTER_SHINGLES = 8_000_000
 SURE_IDS = 1_000_000  # ids that may be broadcast: 16 MB
