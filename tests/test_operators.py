@@ -2,6 +2,7 @@
 
 from datetime import date
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tideline.sources import readers as R
 from tideline.sources import sinks as O
 from tideline.sources.schemas import CDC
 from tideline.streaming import state
-from tideline.streaming.run import drain, retract_stream, route_stream
+from tideline.streaming.run import drain, retract_stream, route_stream, work_dir
 
 DAY = 86_400_000
 
@@ -201,6 +202,29 @@ def test_stateful_streams_equal_their_batch_forms(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_days_follow_the_session_zone(spark, tmp_path):
+    schema = "user string, is_new string, ts long, id long"
+    late = DAY - 3_600_000  # already the next day in Shanghai
+    rows = [("u", "1", 10, 1), ("u", "1", late, 2), ("u", "1", DAY + 5, 3), ("v", "0", late, 4), ("v", "1", late - DAY, 5)]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+    try:
+        whole = spark.createDataFrame(rows, schema)
+        for name, batch, keyed in (
+            ("a", K.first_of_day(whole, "user", "ts", "id"), lambda s: state.first_of_day(s, "user", "ts", "id")),
+            ("b", K.fix_is_new(whole, "user", "is_new", "ts", "id"), lambda s: state.fix_is_new(s, "user", "is_new", "ts", "id")),
+        ):
+            stream = _files(spark, str(tmp_path / name), schema, rows)
+            assert sorted(map(tuple, drain(keyed(stream), str(tmp_path / name / "out")).collect())) == sorted(map(tuple, batch.collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_cluster_needs_a_shared_folder(tmp_path):
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://head:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(cluster, "x")
+
+
 def test_retraction_over_batches(spark, tmp_path):
     schema = "id string, ts long, amount decimal(16,2)"
     a, b, c = ("k", 1, Decimal("5.00")), ("k", 2, Decimal("6.00")), ("k", 3, Decimal("7.00"))

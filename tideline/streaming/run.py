@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,8 +15,12 @@ from ..operators.changelog import latest, retract_pairs
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder in the cluster's shared folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tideline-stream-")
+    """A new folder in the cluster's shared folder; a temporary one only in local mode, where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tideline-stream-")
     return f"{base}/tideline-{what}-{uuid.uuid4().hex}"
 
 

@@ -3,27 +3,26 @@
 Rows of a micro-batch are ordered by (ts, id) inside each key; across batches
 they are taken as they arrive, so a stream equals its batch form for files in
 time order. State lives in the RocksDB store and travels with the key's rows,
-one exchange a key and batch.
+one exchange a key and batch. Days are columns of the session's time zone,
+as in the batch forms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalars import ts_to_date
+
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 Step = Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
 
 
-def _day(ms: int) -> str:
-    return datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y-%m-%d")
-
-
 def _ordered(rows: Iterator[pd.DataFrame], ts: str, row_id: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values([ts, row_id], kind="stable", ignore_index=True)
 
@@ -43,12 +42,12 @@ def first_of_day(df: DataFrame, key: str, ts: str, row_id: str, flag: str = "fir
     def step(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = _ordered(rows, ts, row_id)
         held = state.get[0] if state.exists else None
-        days = [_day(t) for t in out[ts]]
+        days = out.pop("_day").tolist()
         out[flag] = [int(d != p) for d, p in zip(days, [held, *days[:-1]], strict=True)]
         state.update((days[-1],))
         yield out
 
-    return _run(df, [key], step, f"{_fields(df)}, {flag} int", "day string")
+    return _run(df.withColumn("_day", ts_to_date(ts)), [key], step, f"{_fields(df)}, {flag} int", "day string")
 
 
 def fix_is_new(df: DataFrame, device: str, is_new: str, ts: str, row_id: str) -> DataFrame:
@@ -56,17 +55,17 @@ def fix_is_new(df: DataFrame, device: str, is_new: str, ts: str, row_id: str) ->
 
     def step(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = _ordered(rows, ts, row_id)
+        days, before = out.pop("_day"), out.pop("_day_before")
         if state.exists:
             anchor = state.get[0]
         else:
-            first = int(out[ts][0])
-            anchor = _day(first if out[is_new][0] == "1" else first - 86_400_000)
+            anchor = days[0] if out[is_new][0] == "1" else before[0]
             state.update((anchor,))
-        days = out[ts].map(_day)
         out.loc[(out[is_new] == "1") & (days != anchor), is_new] = "0"
         yield out
 
-    return _run(df, [device], step, _fields(df), "day string")
+    dated = df.withColumns({"_day": ts_to_date(ts), "_day_before": ts_to_date(F.col(ts) - 86_400_000)})
+    return _run(dated, [device], step, _fields(df), "day string")
 
 
 def retract_pairs(df: DataFrame, keys: list[str], ts: str, row_id: str, measures: list[str], ttl_ms: int | None = None) -> DataFrame:
