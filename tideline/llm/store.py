@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _made: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only in local mode, where none is set."""
     path = spark.conf.get(_KEY, None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tideline-shared-")
         spark.conf.set(_KEY, path)
     return path
