@@ -23,9 +23,14 @@ def of_table(cdc: DataFrame, table: str, ops: tuple[str, ...] = ("c",)) -> DataF
     return cdc.filter((table_of(cdc) == table) & F.col("op").isin(*ops))
 
 
+def time_of(df: DataFrame) -> list[str]:
+    """The event time that rows of a stream carry on; batches need none."""
+    return ["et"] if df.isStreaming and "et" in df.columns else []
+
+
 def cdc_fact(cdc: DataFrame, table: str, columns: list[str], ops: tuple[str, ...] = ("c",)) -> DataFrame:
     """Named entries of ``after`` as columns, and the source's ``ts_ms``."""
-    return of_table(cdc, table, ops).select(*[entry("after", c).alias(c) for c in columns], entry("source", "ts_ms").alias("ts_ms"))
+    return of_table(cdc, table, ops).select(*[entry("after", c).alias(c) for c in columns], entry("source", "ts_ms").alias("ts_ms"), *time_of(cdc))
 
 
 def status_changed_to(cdc: DataFrame, table: str, column: str, value: str, columns: list[str], before: str | None = None) -> DataFrame:
@@ -34,7 +39,7 @@ def status_changed_to(cdc: DataFrame, table: str, column: str, value: str, colum
     hit = of_table(cdc, table, ("u",)).filter(old.isNotNull() & (entry("after", column) == value))
     if before is not None:
         hit = hit.filter(old == before)
-    return hit.select(*[entry("after", c).alias(c) for c in columns], entry("source", "ts_ms").alias("ts_ms"))
+    return hit.select(*[entry("after", c).alias(c) for c in columns], entry("source", "ts_ms").alias("ts_ms"), *time_of(cdc))
 
 
 def cart_add(cdc: DataFrame, table: str = "cart_info") -> DataFrame:

@@ -1,5 +1,8 @@
 """Fact joins, lookups and dimension enrichment. All are equi joins.
 
+The joins of facts take batches and streams. Rows of two streams also have to be
+close in event time (``meet``), so a stream of changes brings a watermark on ``et``.
+
 Dimensions are joined without a broadcast hint: Spark's own size check picks a
 broadcast for a small one and a shuffle for a large one.
 """
@@ -12,31 +15,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import amount, ms_string_to_date
-from .cdc import cdc_fact, status_changed_to
+from .cdc import cdc_fact, status_changed_to, time_of
 
 DETAIL = "id order_id sku_id sku_name create_time source_id source_type sku_num order_price split_total_amount split_activity_amount split_coupon_amount".split()
 REFUND = "id user_id order_id sku_id refund_type refund_num refund_amount refund_reason_type refund_reason_txt create_time".split()
 PAYMENT = "id order_id sku_id payment_type callback_time total_amount".split()
 
 
+def _near(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, before: str, after: str, how: str) -> DataFrame:
+    r = right.withColumnsRenamed({k: f"_{k}" for k in on})
+    same = [F.col(k) == F.col(f"_{k}") for k in on]
+    start, end = F.col(left_time) - F.expr(f"interval {before}"), F.col(left_time) + F.expr(f"interval {after}")
+    return left.join(r, [*same, F.col(right_time) >= start, F.col(right_time) <= end], how).drop(*[f"_{k}" for k in on])
+
+
+def meet(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner", gap: str = "15 minutes") -> DataFrame:
+    """Join by equal names. Rows of two streams must be at most ``gap`` apart in event time.
+
+    So Spark can drop rows from the state, and a left join gives a row without
+    match once the watermark is past its gap. The left row's time is kept.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    if not (left.isStreaming and right.isStreaming):
+        return left.join(right, on, how)
+    return _near(left, right.withColumnRenamed("et", "_et"), on, "et", "_et", gap, gap, how).drop("_et")
+
+
 def detail_with_order(detail: DataFrame, orders: DataFrame) -> DataFrame:
     """Order details with their order's user and province."""
-    o = orders.select(F.col("id").alias("order_id"), "user_id", "province_id")
-    return detail.filter("id is not null").join(o, "order_id")
+    o = orders.select(F.col("id").alias("order_id"), "user_id", "province_id", *time_of(orders))
+    return meet(detail.filter("id is not null"), o, "order_id")
 
 
 def with_activity(detail: DataFrame, activity: DataFrame) -> DataFrame:
-    a = activity.filter("order_detail_id is not null").select(F.col("order_detail_id").alias("id"), "activity_id", "activity_rule_id")
-    return detail.join(a, "id", "left")
+    a = activity.filter("order_detail_id is not null").select(F.col("order_detail_id").alias("id"), "activity_id", "activity_rule_id", *time_of(activity))
+    return meet(detail, a, "id", "left")
 
 
 def with_coupon(detail: DataFrame, coupon: DataFrame) -> DataFrame:
-    c = coupon.filter("order_detail_id is not null").select(F.col("order_detail_id").alias("id"), "coupon_id")
-    return detail.join(c, "id", "left")
+    c = coupon.filter("order_detail_id is not null").select(F.col("order_detail_id").alias("id"), "coupon_id", *time_of(coupon))
+    return meet(detail, c, "id", "left")
 
 
 def order_detail(cdc: DataFrame) -> DataFrame:
-    """The wide trade fact: 17 columns of text, as the envelopes hold them."""
+    """The wide trade fact: 17 columns of text, as the envelopes hold them; a stream's rows carry ``et`` too."""
     detail = cdc_fact(cdc, "order_detail", DETAIL)
     orders = cdc_fact(cdc, "order_info", ["id", "user_id", "province_id"])
     activity = cdc_fact(cdc, "order_detail_activity", ["order_detail_id", "activity_id", "activity_rule_id"])
@@ -46,7 +68,7 @@ def order_detail(cdc: DataFrame) -> DataFrame:
         "id", "order_id", "user_id", "sku_id", "sku_name", "province_id", "activity_id", "activity_rule_id", "coupon_id",
         ms_string_to_date("create_time").alias("date_id"), "create_time", "sku_num",
         amount("sku_num", "order_price").cast("decimal(33,4)").cast("string").alias("split_original_amount"),
-        "split_activity_amount", "split_coupon_amount", "split_total_amount", "ts_ms",
+        "split_activity_amount", "split_coupon_amount", "split_total_amount", "ts_ms", *time_of(wide),
     )
 
 
@@ -59,12 +81,12 @@ def lookup_join(df: DataFrame, dictionary: DataFrame, key: str, name: str, how:
 def order_refund(cdc: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Refund requests of orders that became refundable, with both code names."""
     refund = cdc_fact(cdc, "order_refund_info", REFUND)
-    orders = status_changed_to(cdc, "order_info", "order_status", "1005", ["id", "province_id"]).select(F.col("id").alias("order_id"), "province_id")
-    wide = lookup_join(refund.join(orders, "order_id"), dictionary, "refund_type", "refund_type_name")
+    orders = status_changed_to(cdc, "order_info", "order_status", "1005", ["id", "province_id"]).withColumnRenamed("id", "order_id").drop("ts_ms")
+    wide = lookup_join(meet(refund, orders, "order_id"), dictionary, "refund_type", "refund_type_name")
     wide = lookup_join(wide, dictionary, "refund_reason_type", "refund_reason_type_name")
     return wide.select(
         "id", "user_id", "order_id", "sku_id", "province_id", ms_string_to_date("create_time").alias("date_id"), "create_time",
-        "refund_type", "refund_type_name", "refund_reason_type", "refund_reason_type_name", "refund_reason_txt", "refund_num", "refund_amount", "ts_ms",
+        "refund_type", "refund_type_name", "refund_reason_type", "refund_reason_type_name", "refund_reason_txt", "refund_num", "refund_amount", "ts_ms", *time_of(wide),
     )
 
 
@@ -73,11 +95,11 @@ def refund_success(cdc: DataFrame, dictionary: DataFrame) -> DataFrame:
     paid = status_changed_to(cdc, "refund_payment", "refund_status", "1602", PAYMENT)
     refund = cdc_fact(cdc, "order_refund_info", ["order_id", "sku_id", "refund_num"]).drop("ts_ms")
     orders = status_changed_to(cdc, "order_info", "order_status", "1006", ["id", "user_id", "province_id"])
-    orders = orders.select(F.col("id").alias("order_id"), "user_id", "province_id")
-    wide = lookup_join(paid.join(refund, ["order_id", "sku_id"]).join(orders, "order_id"), dictionary, "payment_type", "payment_type_name")
+    orders = orders.withColumnRenamed("id", "order_id").drop("ts_ms")
+    wide = lookup_join(meet(meet(paid, refund, ["order_id", "sku_id"]), orders, "order_id"), dictionary, "payment_type", "payment_type_name")
     return wide.select(
         "id", "user_id", "order_id", "sku_id", "province_id", "payment_type", "payment_type_name", ms_string_to_date("callback_time").alias("date_id"),
-        "callback_time", "refund_num", F.col("total_amount").alias("refund_amount"), "ts_ms",
+        "callback_time", "refund_num", F.col("total_amount").alias("refund_amount"), "ts_ms", *time_of(wide),
     )
 
 
@@ -135,7 +157,4 @@ def within_streams(
 
     ``how`` may be left: rows without a match come out once the watermark passes their interval.
     """
-    key = f"_{on}"
-    r = right.withColumnRenamed(on, key).withWatermark(right_time, delay)
-    near = (F.col(right_time) >= F.col(left_time) - F.expr(f"interval {before}")) & (F.col(right_time) <= F.col(left_time) + F.expr(f"interval {after}"))
-    return left.withWatermark(left_time, delay).join(r, (F.col(on) == F.col(key)) & near, how).drop(key)
+    return _near(left.withWatermark(left_time, delay), right.withWatermark(right_time, delay), [on], left_time, right_time, before, after, how)

@@ -2,10 +2,15 @@
 
 Windows that are still open at the end of an append-mode stream are not
 emitted, so their SQL keeps windows that end by the last event less the delay.
+The jobs over the change log get its rows in three parts in time order, each
+drained before the next arrives; a mark long after the last row closes all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cdc as C
@@ -19,7 +24,7 @@ from ..streaming.run import drain, each_batch, retract_stream, route_stream, wor
 from . import fixtures as X
 from .fixtures import with_views
 from .catalog import query as _query
-from .warehouse import FIRST, FIXED, day_sql, labels
+from .warehouse import AMOUNTS, CHAIN, CHAIN_FROM, DIM_CHANGES, FIRST, FIXED, REFUNDS, REFUNDS_PAID, VERSION, WIDE, _chain, _dic, day_sql, labels
 
 
 def query(name: str, sql: str | None = None):
@@ -31,6 +36,28 @@ def _closed(sql: str, size_ms: int, delay_ms: int, rows: str) -> str:
     return f"SELECT * FROM ({sql}) WHERE strptime(edt, '%Y-%m-%d %H:%M:%S') <= (SELECT make_timestamp((max(ts) - {delay_ms}) * 1000) FROM {rows})"
 
 
+def _arrive(parts: list[DataFrame], path: str) -> Iterator[DataFrame]:
+    """Appends one part after another to a folder and gives the stream that reads it, to be drained each time."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        yield part.sparkSession.readStream.schema(part.schema).parquet(f"{path}/in")
+
+
+def _thirds(df: DataFrame, time: str, later: str = "0 seconds") -> list[DataFrame]:
+    """Three parts in time order, cut ``later`` after the two quantiles."""
+    a, b = (F.timestamp_micros(F.lit(t)) + F.expr(f"interval {later}") for t in df.agg(F.percentile_approx(F.unix_micros(time), [0.33, 0.66])).first()[0])
+    t = F.col(time)
+    return [df.filter(t <= a), df.filter((t > a) & (t <= b)), df.filter(t > b)]
+
+
+def _log_parts(spark, d, tables: tuple[str, ...], path: str) -> list[DataFrame]:
+    """The change log of some tables in three parts, the last one with its marks."""
+    X.change_log(spark, d, tables).write.mode("overwrite").parquet(f"{path}/log")
+    log = spark.read.parquet(f"{path}/log")
+    first, second, third = _thirds(log, "et")
+    return [first, second, third.unionByName(X.marks(log))]
+
+
 def _events(spark, d):
     """Events as a stream, with the number in their properties."""
     e = R.read_table(spark, f"{d}/events.parquet", stream=True)
@@ -180,15 +207,12 @@ def k2(spark, d):
 )
 def st8(spark, d):
     path = work_dir(spark, "st8")
-    # the events as two files, so that the first batch runs before there are rules
-    source = R.read_table(spark, f"{d}/events.parquet").withColumn("part", F.pmod("event_id", F.lit(2)))
-    e = source.select(F.create_map(F.lit("table"), F.col("event_type")).alias("source"), F.lit("c").alias("op"), "event_id", "part")
-    for i in range(2):
-        e.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    schema = e.drop("part").schema
+    # the events in two parts, so that the first batch runs before there are rules
+    source = R.read_table(spark, f"{d}/events.parquet")
+    e = source.select(F.create_map(F.lit("table"), F.col("event_type")).alias("source"), F.lit("c").alias("op"), "event_id")
     rules = spark.createDataFrame([("view", "dim_view"), ("click", "dim_click")], "source_table string, sink_table string")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    dims, facts = route_stream(stream, lambda batch: rules if batch else rules.limit(0), f"{path}/out")
+    for stream in _arrive([e.filter(F.pmod("event_id", F.lit(2)) == i) for i in range(2)], path):
+        dims, facts = route_stream(stream, lambda batch: rules if batch else rules.limit(0), f"{path}/out")
     read = lambda p, side: spark.read.parquet(p).select(F.lit(side).alias("side"), F.col("source_table").alias("tbl"), "event_id")
     return read(dims, "dim").unionByName(read(facts, "fact"))
 
@@ -212,10 +236,7 @@ def st10(spark, d):
     path = work_dir(spark, "st10")
     pages = X.view(spark, d, "v_pages").select("mid", "ts", "event_id")
     half = pages.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
-    out = None
-    for part in (F.col("ts") <= half, F.col("ts") > half):
-        pages.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema(pages.schema).parquet(f"{path}/in")
+    for stream in _arrive([pages.filter(F.col("ts") <= half), pages.filter(F.col("ts") > half)], path):
         out = drain(state.first_of_day(stream, "mid", "ts", "event_id").select("mid", "event_id", "first_of_day"), f"{path}/out")
     return out
 
@@ -230,3 +251,91 @@ def x2(spark, d):
     seen = A.with_event_time(_pages(spark, d), "ts").select(F.col("mid").alias("user_id"), F.col("event_id").alias("pay_id"), F.col("et").alias("seen_at"))
     joined = J.within_streams(bought, seen, "user_id", "bought_at", "seen_at")
     return drain(joined.select("id", "pay_id", "user_id"), work_dir(spark, "x2"))
+
+
+# --- jobs over the change log --------------------------------------------------
+
+DELAY = "10 seconds"
+
+
+def _fact(spark, d, tables: tuple[str, ...], what: str, job) -> DataFrame:
+    """A fact job's rows over the three parts of the log."""
+    path = work_dir(spark, what)
+    for stream in _arrive(_log_parts(spark, d, tables, path), path):
+        out = drain(job(stream.withWatermark("et", DELAY)), f"{path}/out")
+    return out.filter(F.col("id") != X.MARK).drop("et")
+
+
+@query("j4_order_detail_stream", WIDE)
+def j4(spark, d):
+    return _fact(spark, d, X.TRADE[:4], "j4", J.order_detail)
+
+
+@query("j5_order_refund_stream", REFUNDS)
+def j5(spark, d):
+    return _fact(spark, d, ("order_refund_info", "order_info"), "j5", lambda log: J.order_refund(log, _dic(spark, d)))
+
+
+@query("j6_refund_success_stream", REFUNDS_PAID)
+def j6(spark, d):
+    return _fact(spark, d, ("refund_payment", "order_refund_info", "order_info"), "j6", lambda log: J.refund_success(log, _dic(spark, d)))
+
+
+@query(
+    "a4_province_orders_job_stream",
+    f"""WITH x AS (SELECT {labels('o.ts', 86_400_000)}, o.province_id, cast(sum(cast(d.split_total_amount AS decimal(16,2))) AS double) AS total, count(DISTINCT d.order_id) AS order_count
+FROM v_detail d JOIN v_orders o ON d.order_id = o.id GROUP BY ALL) SELECT x.*, p.name AS province_name FROM x JOIN v_province p ON x.province_id = p.id""",
+)
+def a4_job(spark, d):
+    """The wide fact as a stream, and its windows as a second one over the first one's rows."""
+    path = work_dir(spark, "a4job")
+    for stream in _arrive(_log_parts(spark, d, X.TRADE[:4], path), path):
+        wide = drain(J.order_detail(stream.withWatermark("et", DELAY)), f"{path}/wide")
+        # rows that wait for a missing activity and coupon come out two gaps later
+        rows = spark.readStream.schema(wide.schema).parquet(f"{path}/wide/rows").withWatermark("et", "1 hour")
+        rows = rows.select("et", "province_id", "order_id", F.col("split_total_amount").alias("total_amount"))
+        out = drain(A.province_order_append(rows, "1 day"), f"{path}/windows")
+    return A.enrich_province(out.withColumn("total", F.col("total").cast("double")), X.view(spark, d, "v_province"))
+
+
+@query(
+    "a3_sku_orders_job_stream",
+    # a version that was replaced leaves its sku's window with what other details put there, 0 if none
+    f"""WITH l AS (SELECT v.*, o.ts AS order_ts, row_number() OVER (PARTITION BY v.id ORDER BY v.ts DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1 AS newest
+FROM v_detail v JOIN v_orders o ON v.order_id = o.id), x AS (SELECT {labels('order_ts', 86_400_000)}, sku_id,
+cast(sum(CASE WHEN newest THEN cast(cast(sku_num AS decimal(9,2)) * cast(order_price AS decimal(9,2)) AS decimal(16,2)) ELSE 0 END) AS double) AS original_amount,
+cast(sum(CASE WHEN newest THEN coalesce(cast(split_coupon_amount AS decimal(16,2)), 0) ELSE 0 END) AS double) AS coupon_amount,
+cast(sum(CASE WHEN newest THEN cast(split_activity_amount AS decimal(16,2)) ELSE 0 END) AS double) AS activity_amount,
+cast(sum(CASE WHEN newest THEN cast(split_total_amount AS decimal(16,2)) ELSE 0 END) AS double) AS total_amount FROM l GROUP BY ALL)
+SELECT x.*, {CHAIN} FROM x {CHAIN_FROM}""",
+)
+def a3_job(spark, d):
+    """Versions of a detail a minute apart, retracted by a stream; a second one sums the rows in windows, which are then enriched."""
+    from pyspark.sql.window import Window
+
+    path = work_dir(spark, "a3job")
+    number = F.row_number().over(Window.partitionBy("id").orderBy(*VERSION))
+    orders = X.view(spark, d, "v_orders").select(F.col("id").alias("order_id"), F.timestamp_millis("ts").alias("_ts"))
+    money = {"original_amount": F.expr("try_cast(sku_num AS decimal(16,2)) * try_cast(order_price AS decimal(16,2))")}
+    money |= {f"{c}_amount": F.col(f"split_{c}_amount") for c in ("coupon", "activity", "total")}
+    detail = X.view(spark, d, "v_detail").withColumn("_n", number).join(orders, "order_id")
+    detail = detail.select("id", "sku_id", *[v.cast("decimal(16,2)").alias(c) for c, v in money.items()], (F.col("_ts") + F.make_dt_interval(mins="_n")).alias("et"))
+    detail.write.mode("overwrite").parquet(f"{path}/log")
+    log = spark.read.parquet(f"{path}/log")
+    mark = log.agg((F.max("et") + F.make_dt_interval(F.lit(30))).alias("et")).select(F.lit(X.MARK).alias("id"), F.lit(X.MARK).alias("sku_id"), *[F.lit(0).cast("decimal(16,2)").alias(c) for c in money], "et")
+    first, second, third = _thirds(log, "et", "30 seconds")
+    for stream in _arrive([first, second, third.unionByName(mark)], path):
+        signed = retract_stream(stream, path, ["id"], ["et"], list(money))
+        rows = spark.readStream.schema(signed.schema).parquet(f"{path}/rows").withWatermark("et", "5 seconds")
+        out = drain(A.sku_order_window(rows, "1 day"), f"{path}/windows")
+    return J.enrich_chain(out.select("stt", "edt", "cur_date", "sku_id", *[F.col(c).cast("double").alias(c) for c in AMOUNTS]), _chain(spark, d))
+
+
+@query("k4_apply_dim_changes_stream", DIM_CHANGES)
+def k4(spark, d):
+    path = work_dir(spark, "k4")
+    changes = X.view(spark, d, "v_changes").select("row_key", "op", "seq", X._cells(["page", "k"]).alias("cells"), F.timestamp_seconds("seq").alias("at"))
+    for stream in _arrive(_thirds(changes, "at"), path):
+        each_batch(stream, path, O.dim_batches(f"{path}/rows", ["page", "k"]))
+    last = max(int(r.version) for r in spark.read.parquet(f"{path}/rows").select("version").distinct().collect())  # one row a batch
+    return spark.read.parquet(f"{path}/rows/version={last}")

@@ -138,13 +138,13 @@ def k3(spark, d):
     return spark.read.schema(result.schema).parquet(path).select(result.columns)
 
 
-@query(
-    "k4_apply_dim_changes",
-    """
+DIM_CHANGES = """
 WITH gone AS (SELECT row_key, max(seq) FILTER (WHERE op = 'd') AS gone FROM v_changes GROUP BY 1),
 puts AS (SELECT c.* FROM v_changes c JOIN gone g ON c.row_key = g.row_key WHERE op <> 'd' AND (gone IS NULL OR seq > gone))
-SELECT row_key, max_by(page, seq) FILTER (WHERE page <> '') AS page, max_by(k, seq) FILTER (WHERE k <> '') AS k FROM puts GROUP BY row_key""",
-)
+SELECT row_key, max_by(page, seq) FILTER (WHERE page <> '') AS page, max_by(k, seq) FILTER (WHERE k <> '') AS k FROM puts GROUP BY row_key"""
+
+
+@query("k4_apply_dim_changes", DIM_CHANGES)
 def k4(spark, d):
     changes = view(spark, d, "v_changes").select("row_key", "op", "seq", X._cells(["page", "k"]).alias("cells"))
     return L.apply_dim_changes(changes, ["page", "k"])
@@ -316,22 +316,22 @@ def _dic(spark, d):
     return R.read_dim(view(spark, d, "v_dic"), "dic_code", ["dic_name"])
 
 
-@query(
-    "j5_order_refund",
-    f"""SELECT r.id, r.user_id, r.order_id, r.sku_id, o.province_id, {day_sql('r.ts')} AS date_id, r.create_time, r.refund_type, a.dic_name AS refund_type_name,
+REFUNDS = f"""SELECT r.id, r.user_id, r.order_id, r.sku_id, o.province_id, {day_sql('r.ts')} AS date_id, r.create_time, r.refund_type, a.dic_name AS refund_type_name,
 r.refund_reason_type, b.dic_name AS refund_reason_type_name, r.refund_reason_txt, r.refund_num, r.refund_amount, cast(r.ts AS string) AS ts_ms
-FROM v_refund r JOIN v_orders o ON r.order_id = o.id AND o.order_status = '1005' JOIN v_dic a ON r.refund_type = a.dic_code JOIN v_dic b ON r.refund_reason_type = b.dic_code""",
-)
+FROM v_refund r JOIN v_orders o ON r.order_id = o.id AND o.order_status = '1005' JOIN v_dic a ON r.refund_type = a.dic_code JOIN v_dic b ON r.refund_reason_type = b.dic_code"""
+
+
+@query("j5_order_refund", REFUNDS)
 def j5(spark, d):
     return J.order_refund(X.cdc(spark, d), _dic(spark, d))
 
 
-@query(
-    "j6_refund_success",
-    f"""SELECT p.id, o.user_id, p.order_id, p.sku_id, o.province_id, p.refund_type AS payment_type, a.dic_name AS payment_type_name, {day_sql('p.ts')} AS date_id, p.create_time AS callback_time,
+REFUNDS_PAID = f"""SELECT p.id, o.user_id, p.order_id, p.sku_id, o.province_id, p.refund_type AS payment_type, a.dic_name AS payment_type_name, {day_sql('p.ts')} AS date_id, p.create_time AS callback_time,
 r.refund_num, p.refund_amount, cast(p.ts AS string) AS ts_ms
-FROM v_refund p JOIN v_refund r ON p.order_id = r.order_id AND p.sku_id = r.sku_id JOIN v_orders o ON p.order_id = o.id AND o.order_status = '1006' JOIN v_dic a ON p.refund_type = a.dic_code""",
-)
+FROM v_refund p JOIN v_refund r ON p.order_id = r.order_id AND p.sku_id = r.sku_id JOIN v_orders o ON p.order_id = o.id AND o.order_status = '1006' JOIN v_dic a ON p.refund_type = a.dic_code"""
+
+
+@query("j6_refund_success", REFUNDS_PAID)
 def j6(spark, d):
     return J.refund_success(X.cdc(spark, d), _dic(spark, d))
 

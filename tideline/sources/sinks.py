@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import normalise_epoch, ts_to_partition
 from ..operators.cdc import rows_to_json
-from ..operators.changelog import latest
+from ..operators.changelog import apply_dim_changes, latest
 
 
 def write_lines(df: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery | None:
@@ -72,3 +72,22 @@ def upsert_batches(path: str, keys: list[str], order: list[str]) -> Callable[[Da
         latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return run
+
+
+def dim_batches(path: str, columns: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch writer that applies puts and deletes (row_key, op, seq, cells map) to a dimension, a version a batch.
+
+    What the dimension holds counts as puts before the batch. Batches come in
+    order of ``seq``; a replayed one writes the same version again.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("row_key", "op", "seq", "cells")
+        if batch_id:
+            held = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}")
+            cells = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])
+            seq = F.lit(-(2**63)).cast(batch.schema["seq"].dataType)
+            rows = held.select("row_key", F.lit("u").alias("op"), seq.alias("seq"), cells.alias("cells")).unionByName(rows)
+        apply_dim_changes(rows, columns).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return run
