@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,23 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{base}/tideline-{what}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+@contextmanager
+def _state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
+    """Partitions of new streams: ``n``, or one a core of the cluster.
+
+    Adaptive execution does not merge those of a stream, and each one of each
+    stateful operator is a store of its own; a resumed stream keeps its number.
+    """
+    name = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def drain(stream: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> DataFrame:
     """Run a stream until its input is used up and read what it wrote.
 
     ``append`` writes files; ``complete`` replaces the table in every batch.
@@ -32,11 +49,12 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", f"{path}/progress").outputMode(mode).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").start(f"{path}/rows")
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows")).start()
-    query.awaitTermination()
+    with _state_partitions(spark, partitions):
+        if mode == "append":
+            query = writer.format("parquet").start(f"{path}/rows")
+        else:
+            query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows")).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -50,8 +68,9 @@ def each_batch(stream: DataFrame, path: str, work: Callable[[DataFrame, int], No
         finally:
             df.unpersist()
 
-    query = stream.writeStream.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(run).start()
-    query.awaitTermination()
+    with _state_partitions(stream.sparkSession, None):
+        query = stream.writeStream.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(run).start()
+        query.awaitTermination()
 
 
 def route_stream(cdc: DataFrame, rules_now: Callable[[int], DataFrame], path: str) -> tuple[str, str]:
