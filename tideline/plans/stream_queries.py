@@ -1,9 +1,9 @@
 """Streaming forms as queries: run over the tables' files to their end.
 
-Windows that are still open at the end of an append-mode stream are not
-emitted, so their SQL keeps windows that end by the last event less the delay.
-The jobs over the change log get its rows in three parts in time order, each
-drained before the next arrives; a mark long after the last row closes all.
+All run in append mode, and windows that are still open at the end are not
+emitted. ``st1``'s SQL keeps windows that end by the last event less the delay.
+The others get their rows in three parts in time order, each drained before the
+next arrives; a mark long after the last row closes all windows but its own.
 """
 
 from __future__ import annotations
@@ -50,6 +50,17 @@ def _thirds(df: DataFrame, time: str, later: str = "0 seconds") -> list[DataFram
     return [df.filter(t <= a), df.filter((t > a) & (t <= b)), df.filter(t > b)]
 
 
+def _in_time(rows: DataFrame, path: str) -> Iterator[DataFrame]:
+    """Rows with a time ``ts`` in milliseconds as a stream of three arrivals, the last one with a mark 30 days later."""
+    spread = rows.agg(F.percentile_approx("ts", [0.33, 0.66]).alias("cuts"), F.max("ts").alias("top")).first()
+    a, b = spread.cuts
+    fill = {"ts": F.lit(spread.top + 30 * 86_400_000)}
+    fill |= {f.name: F.lit(X.MARK if f.dataType.simpleString() == "string" else 0) for f in rows.schema if f.name != "ts"}
+    mark = rows.sparkSession.range(1).select(*[fill[f.name].cast(f.dataType).alias(f.name) for f in rows.schema])
+    t = F.col("ts")
+    return _arrive([rows.filter(t <= a), rows.filter((t > a) & (t <= b)), rows.filter(t > b).unionByName(mark)], path)
+
+
 def _log_parts(spark, d, tables: tuple[str, ...], path: str) -> list[DataFrame]:
     """The change log of some tables in three parts, the last one with its marks."""
     X.change_log(spark, d, tables).write.mode("overwrite").parquet(f"{path}/log")
@@ -58,17 +69,17 @@ def _log_parts(spark, d, tables: tuple[str, ...], path: str) -> list[DataFrame]:
     return [first, second, third.unionByName(X.marks(log))]
 
 
-def _events(spark, d):
-    """Events as a stream, with the number in their properties."""
-    e = R.read_table(spark, f"{d}/events.parquet", stream=True)
+def _events(spark, d, stream=True):
+    """Events, as a stream unless told otherwise, with the number in their properties."""
+    e = R.read_table(spark, f"{d}/events.parquet", stream=stream)
     k = F.get_json_object("props", "$.k").cast("bigint")
     return e.select("event_id", "user_id", "event_type", "value", k.alias("k"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
 
 
-def _pages(spark, d):
+def _pages(spark, d, stream=True):
     s = lambda c: c.cast("string")
     last = F.when(F.col("event_type") == "signup", F.lit(None)).when(F.col("event_type") == "view", "search").otherwise("home")
-    return _events(spark, d).select(
+    return _events(spark, d, stream).select(
         s(F.col("user_id")).alias("mid"), s(F.col("k") % 2).alias("is_new"), s(F.col("k") % 3).alias("ch"), s(F.col("user_id") % 5).alias("ar"), s(F.col("k") % 4).alias("vc"),
         F.col("event_type").alias("page_id"), last.alias("last_page_id"), F.round(F.col("value") * 1000).cast("bigint").alias("during_time"), "ts", "event_id",
     )
@@ -94,8 +105,10 @@ KEYWORDS = f"SELECT {labels('ts', 3_600_000)}, item AS keyword, count(*) AS keyw
 
 @query("a2_keyword_window_stream", KEYWORDS)
 def a2(spark, d):
-    pages = _pages(spark, d).filter("last_page_id = 'search'").withColumnRenamed("page_id", "keyword")
-    return drain(A.keyword_window(A.with_event_time(pages, "ts", "0 seconds"), "1 hour"), work_dir(spark, "a2"), "complete")
+    path = work_dir(spark, "a2")
+    for stream in _in_time(_pages(spark, d, stream=False).filter("last_page_id = 'search'").select(F.col("page_id").alias("keyword"), "ts"), path):
+        out = drain(A.keyword_window(A.with_event_time(stream, "ts", "0 seconds"), "1 hour"), f"{path}/windows")
+    return out
 
 
 @query("w1_first_of_day_stream", f"SELECT mid, event_id, cast(first_of_day AS int) AS first_of_day FROM ({FIRST})")
@@ -141,12 +154,14 @@ def t1_state(spark, d):
 SELECT {labels('ts', 86_400_000)}, count(*) AS cart_add_uu_ct FROM a WHERE old IS NULL OR {day_sql('old')} <> {day_sql('ts')} GROUP BY ALL""",
 )
 def a1(spark, d):
-    carts = _pages(spark, d).filter("page_id in ('click', 'purchase')").select("mid", "ts", "event_id")
+    carts = _pages(spark, d, stream=False).filter("page_id in ('click', 'purchase')").select("mid", "ts", "event_id")
     path = work_dir(spark, "a1")
-    # the first stage's rows are a table of their own, which the second stage reads as a stream
-    first = drain(state.first_of_day(carts, "mid", "ts", "event_id").filter("first_of_day = 1"), f"{path}/first")
-    stream = spark.readStream.schema(first.schema).parquet(f"{path}/first/rows")
-    return drain(A.cart_uu_window(A.with_event_time(stream, "ts", "5 seconds"), "1 day"), f"{path}/windows", "complete")
+    for stream in _in_time(carts, path):
+        # the first stage's rows are a table of their own, which the second stage reads as a stream
+        first = drain(state.first_of_day(stream, "mid", "ts", "event_id").filter("first_of_day = 1"), f"{path}/first")
+        adds = spark.readStream.schema(first.schema).parquet(f"{path}/first/rows")
+        out = drain(A.cart_uu_window(A.with_event_time(adds, "ts", "5 seconds"), "1 day"), f"{path}/windows")
+    return out
 
 
 @query(
@@ -155,13 +170,15 @@ def a1(spark, d):
 cast(sum(cast(cast(cents AS decimal(14,0)) * cast(0.01 AS decimal(3,2)) AS decimal(16,2))) AS double) AS total_amount FROM v_money GROUP BY ALL""",
 )
 def a3(spark, d):
-    items = R.read_table(spark, f"{d}/lineitem.parquet", stream=True)
+    items = R.read_table(spark, f"{d}/lineitem.parquet")
     none = F.lit(None).cast("decimal(16,2)")
     rows = items.select(
         F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts"), F.col("l_partkey").cast("string").alias("sku_id"), none.alias("original_amount"), none.alias("coupon_amount"),
         none.alias("activity_amount"), (F.round(F.col("l_extendedprice") * 100).cast("decimal(14,0)") * F.lit("0.01").cast("decimal(3,2)")).alias("total_amount"),
     )
-    out = drain(A.sku_order_window(A.with_event_time(rows, "ts", "5 seconds"), "1 day"), work_dir(spark, "a3"), "complete")
+    path = work_dir(spark, "a3")
+    for stream in _in_time(rows, path):
+        out = drain(A.sku_order_window(A.with_event_time(stream, "ts", "5 seconds"), "1 day"), f"{path}/windows")
     return out.select("stt", "edt", "cur_date", "sku_id", *[F.col(c).cast("double").alias(c) for c in ("original_amount", "coupon_amount", "activity_amount", "total_amount")])
 
 
@@ -171,12 +188,14 @@ def a3(spark, d):
 cast(sum(cast(cast(cents AS decimal(14,0)) * cast(0.01 AS decimal(3,2)) AS decimal(16,2))) AS double) AS total, count(DISTINCT l_orderkey) AS order_count FROM v_money GROUP BY ALL""",
 )
 def a4(spark, d):
-    items = R.read_table(spark, f"{d}/lineitem.parquet", stream=True)
+    items = R.read_table(spark, f"{d}/lineitem.parquet")
     rows = items.select(
         F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts"), (F.col("l_suppkey") % 25).cast("string").alias("province_id"), F.col("l_orderkey").alias("order_id"),
         (F.round(F.col("l_extendedprice") * 100).cast("decimal(14,0)") * F.lit("0.01").cast("decimal(3,2)")).alias("total_amount"),
     )
-    out = drain(A.province_order_window(A.with_event_time(rows, "ts", "10 seconds"), "1 day"), work_dir(spark, "a4"), "complete")
+    path = work_dir(spark, "a4")
+    for stream in _in_time(rows, path):
+        out = drain(A.province_order_window(A.with_event_time(stream, "ts", "10 seconds"), "1 day"), f"{path}/windows")
     return out.withColumn("total", F.col("total").cast("double"))
 
 
@@ -187,9 +206,11 @@ cast(sum(CASE WHEN last_page_id IS NULL THEN 1 ELSE 0 END) AS bigint) AS sv, cas
 )
 def a5(spark, d):
     path = work_dir(spark, "a5")
-    first = drain(state.first_of_day(_pages(spark, d), "mid", "ts", "event_id", "uv"), f"{path}/first")
-    stream = spark.readStream.schema(first.schema).parquet(f"{path}/first/rows").withColumn("sv", K.session_start("last_page_id"))
-    return drain(A.traffic_window(A.with_event_time(stream, "ts", "5 seconds"), "1 day"), f"{path}/windows", "complete")
+    for stream in _in_time(_pages(spark, d, stream=False), path):
+        first = drain(state.first_of_day(stream, "mid", "ts", "event_id", "uv"), f"{path}/first")
+        visits = spark.readStream.schema(first.schema).parquet(f"{path}/first/rows").withColumn("sv", K.session_start("last_page_id"))
+        out = drain(A.traffic_window(A.with_event_time(visits, "ts", "5 seconds"), "1 day"), f"{path}/windows")
+    return out
 
 
 @query("k2_upsert_latest_stream", "SELECT mid, max_by(page_id, event_id) AS page_id, max(event_id) AS event_id FROM v_pages GROUP BY mid")
@@ -294,7 +315,7 @@ def a4_job(spark, d):
         # rows that wait for a missing activity and coupon come out two gaps later
         rows = spark.readStream.schema(wide.schema).parquet(f"{path}/wide/rows").withWatermark("et", "1 hour")
         rows = rows.select("et", "province_id", "order_id", F.col("split_total_amount").alias("total_amount"))
-        out = drain(A.province_order_append(rows, "1 day"), f"{path}/windows")
+        out = drain(A.province_order_window(rows, "1 day"), f"{path}/windows")
     return A.enrich_province(out.withColumn("total", F.col("total").cast("double")), X.view(spark, d, "v_province"))
 
 
