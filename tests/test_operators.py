@@ -258,3 +258,49 @@ def test_queries_can_be_read_by_many_tasks():
     assert whole == {"url": "jdbc:x", "query": "select 1"}
     split = readers.query_options("jdbc:x", "select 1", ("id", 0, 100, 8))
     assert split["dbtable"] == "(select 1) q" and split["numPartitions"] == "8" and "query" not in split
+
+
+def test_left_join_of_streams_gives_each_row_once(spark, tmp_path):
+    start, minute, late = DAY, 60_000, 10 * DAY  # a watermark starts at 1970, which rows have to be after
+    details = _files(spark, str(tmp_path / "d"), "id string, ms long", [("met", start), ("alone", start)], [("far", start + minute)], [("~", late)])
+    rights = _files(
+        spark, str(tmp_path / "a"), "order_detail_id string, activity_id string, activity_rule_id string, ms long",
+        [("met", "1", "r", start + 2 * minute)], [("far", "2", "r", start + 120 * minute), (None, "3", "r", start)], [("~", "4", "r", late)],
+    )
+    wide = J.with_activity(A.with_event_time(details, "ms", "10 seconds"), A.with_event_time(rights, "ms", "10 seconds"))
+    rows = drain(wide.select("id", "activity_id"), str(tmp_path / "out")).filter("id <> '~'")
+    assert sorted(map(tuple, rows.collect()), key=str) == [("alone", None), ("far", None), ("met", "1")]
+
+
+def test_streams_meet_across_arrivals_and_outlive_a_restart(spark, tmp_path):
+    left, right = "id string, order_id string, ms long", "id string, user_id string, province_id string, ms long"
+    arrivals = [([("d1", "o1", DAY)], [("o2", "u", "p", DAY)]), ([("d2", "o2", DAY + 60_000)], [("o1", "u", "q", DAY + 30_000)])]
+    for details, orders in arrivals:  # each side's partner comes with the other arrival
+        d, o = _files(spark, str(tmp_path / "d"), left, details), _files(spark, str(tmp_path / "o"), right, orders)
+        joined = J.detail_with_order(A.with_event_time(d, "ms", "1 hour"), A.with_event_time(o, "ms", "1 hour"))
+        rows = drain(joined.select("id", "province_id"), str(tmp_path / "out"))
+    assert sorted(map(tuple, rows.collect())) == [("d1", "q"), ("d2", "p")]
+
+
+def test_stream_counts_an_order_of_several_arrivals_once(spark, tmp_path):
+    schema = "province_id string, order_id string, total_amount decimal(16,2), ms long"
+    five = Decimal("5.00")
+    stream = _files(spark, str(tmp_path), schema, [("p", "o1", five, 1), ("p", "o2", None, 2)], [("p", "o1", five, 3)], [("~", "~", five, DAY)])
+    out = drain(A.province_order_window(A.with_event_time(stream, "ms", "5 seconds")), str(tmp_path / "out"))
+    assert [tuple(r) for r in out.select("stt", "province_id", "total", "order_count").collect()] == [("1970-01-01 00:00:00", "p", Decimal("10.00"), 2)]
+
+
+def test_dimension_changes_by_batches(spark, tmp_path):
+    schema = "row_key string, op string, seq long, cells map<string,string>"
+    batches = [
+        [("a", "u", 1, {"x": "1", "y": "2"}), ("b", "u", 2, {"x": "5"})],
+        [("a", "u", 3, {"x": "", "y": "9"}), ("b", "d", 4, None), ("c", "u", 5, {})],
+        [("b", "u", 6, {"y": "7"})],
+    ]
+    write = O.dim_batches(str(tmp_path), ["x", "y"])
+    for i, rows in enumerate(batches):
+        for _ in range(2):  # a replayed batch changes nothing
+            write(spark.createDataFrame(rows, schema), i)
+    whole = L.apply_dim_changes(spark.createDataFrame(sum(batches, []), schema), ["x", "y"])
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/version=2").collect()))
+    assert got == sorted(map(tuple, whole.collect())) == [("a", "1", "9"), ("b", None, "7"), ("c", None, None)]
