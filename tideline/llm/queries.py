@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, gbt, html, maxent, neardup, packing, rules, secrets, sharding
+from . import chat, decontaminate, gbt, html, maxent, neardup, packing, repair, rules, secrets, sharding
 from .inputs import table, tokenizer_path
 
 
@@ -56,6 +56,10 @@ def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_turns(table(spark, sf_dir, "conversations"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lemma_decontamination": op1_lemma_decontamination,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
@@ -67,9 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_call_linking": op8_tool_call_linking,
     "op9_chosen_path_dedup": op9_chosen_path_dedup,
     "op10_boosted_quality": op10_boosted_quality,
+    "op11_structure_repair": op11_structure_repair,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op11_structure_repair": repair.SQL,
     "op6_quality_rules": rules.sql(),
     "op8_tool_call_linking": chat.TURNS_SQL,
     "op9_chosen_path_dedup": neardup.SQL,
