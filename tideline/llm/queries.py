@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, gbt, html, maxent, neardup, packing, repair, rules, secrets, sharding
+from . import chat, decontaminate, fingerprints, gbt, html, maxent, neardup, packing, repair, rules, secrets, sharding
 from .inputs import table, tokenizer_path
 
 
@@ -60,6 +60,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lemma_decontamination": op1_lemma_decontamination,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chosen_path_dedup": op9_chosen_path_dedup,
     "op10_boosted_quality": op10_boosted_quality,
     "op11_structure_repair": op11_structure_repair,
+    "op12_prefix_fingerprints": op12_prefix_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
