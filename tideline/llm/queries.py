@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, gbt, html, maxent, neardup, packing, repair, rules, secrets, sharding
+from . import chat, decontaminate, fingerprints, gbt, html, maxent, neardup, packing, repair, rules, secrets, sharding, trie
 from .inputs import table, tokenizer_path
 
 
@@ -64,6 +64,10 @@ def op12_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lemma_decontamination": op1_lemma_decontamination,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
@@ -77,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_boosted_quality": op10_boosted_quality,
     "op11_structure_repair": op11_structure_repair,
     "op12_prefix_fingerprints": op12_prefix_fingerprints,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op11_structure_repair": repair.SQL,
+    "op13_prefix_trie": trie.SQL,
     "op6_quality_rules": rules.sql(),
     "op8_tool_call_linking": chat.TURNS_SQL,
     "op9_chosen_path_dedup": neardup.SQL,
