@@ -270,7 +270,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     order = [F.col("doc_id").desc_nulls_last(), "hash", "place"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(trimmed(_stream), EDGES)
-    rows = scratch.keep(rows, "streamed")
+    rows = scratch.keep(rows, "streamed", "zstd")  # hexadecimal digits take half their bytes
     shards = [r.shard for r in rows.filter(F.col("edge") == "first").select("shard").orderBy("shard").collect()]  # one a partition
     follows = spark.createDataFrame(list(zip(shards, shards[1:] + shards[:1], strict=True)), "shard int, other int")
     last = rows.filter(F.col("edge") == "last").select("shard", "doc_id", "text").join(F.broadcast(follows), "shard")

@@ -37,10 +37,10 @@ class Scratch:
         self._n = 0
         _made.append(self)
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", compression: str | None = None) -> DataFrame:
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
