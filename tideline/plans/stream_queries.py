@@ -50,14 +50,21 @@ def _thirds(df: DataFrame, time: str, later: str = "0 seconds") -> list[DataFram
     return [df.filter(t <= a), df.filter((t > a) & (t <= b)), df.filter(t > b)]
 
 
-def _in_time(rows: DataFrame, path: str) -> Iterator[DataFrame]:
-    """Rows with a time ``ts`` in milliseconds as a stream of three arrivals, the last one with a mark 30 days later."""
+DAY = 86_400_000
+
+
+def _in_time(rows: DataFrame, path: str, marks: int = 1, late_by: str | None = None) -> Iterator[DataFrame]:
+    """Rows with a time ``ts`` in milliseconds as a stream of three arrivals, the last one with marks 30 days apart.
+
+    A stage that holds rows back lets the second mark pass the first one on to the next
+    stage. With ``late_by``, an id, rows arrive up to a day late and in any order.
+    """
     spread = rows.agg(F.percentile_approx("ts", [0.33, 0.66]).alias("cuts"), F.max("ts").alias("top")).first()
     a, b = spread.cuts
-    fill = {"ts": F.lit(spread.top + 30 * 86_400_000)}
+    fill = {"ts": spread.top + F.col("id") * 30 * DAY}
     fill |= {f.name: F.lit(X.MARK if f.dataType.simpleString() == "string" else 0) for f in rows.schema if f.name != "ts"}
-    mark = rows.sparkSession.range(1).select(*[fill[f.name].cast(f.dataType).alias(f.name) for f in rows.schema])
-    t = F.col("ts")
+    mark = rows.sparkSession.range(1, marks + 1).select(*[fill[f.name].cast(f.dataType).alias(f.name) for f in rows.schema])
+    t = F.col("ts") + (F.pmod(F.xxhash64(late_by), F.lit(DAY)) if late_by else F.lit(0))
     return _arrive([rows.filter(t <= a), rows.filter((t > a) & (t <= b)), rows.filter(t > b).unionByName(mark)], path)
 
 
@@ -113,12 +120,20 @@ def a2(spark, d):
 
 @query("w1_first_of_day_stream", f"SELECT mid, event_id, cast(first_of_day AS int) AS first_of_day FROM ({FIRST})")
 def w1(spark, d):
-    return drain(state.first_of_day(_pages(spark, d).select("mid", "ts", "event_id"), "mid", "ts", "event_id").select("mid", "event_id", "first_of_day"), work_dir(spark, "w1"))
+    """Rows arrive up to a day late, in any order."""
+    path = work_dir(spark, "w1")
+    for stream in _in_time(_pages(spark, d, stream=False).select("mid", "ts", "event_id"), path, late_by="event_id"):
+        out = drain(state.first_of_day(stream, "mid", "ts", "event_id", delay="1 day").select("mid", "event_id", "first_of_day"), f"{path}/out")
+    return out
 
 
 @query("w2_fix_is_new_stream", FIXED)
 def w2(spark, d):
-    return drain(state.fix_is_new(_pages(spark, d).select("mid", "is_new", "ts", "event_id"), "mid", "is_new", "ts", "event_id").select("mid", "event_id", "is_new"), work_dir(spark, "w2"))
+    """Rows arrive up to a day late, in any order."""
+    path = work_dir(spark, "w2")
+    for stream in _in_time(_pages(spark, d, stream=False).select("mid", "is_new", "ts", "event_id"), path, late_by="event_id"):
+        out = drain(state.fix_is_new(stream, "mid", "is_new", "ts", "event_id", delay="1 day").select("mid", "event_id", "is_new"), f"{path}/out")
+    return out
 
 
 @query(
@@ -144,8 +159,11 @@ def t1(spark, d):
 SELECT event_id, mid, during_time, cast(1 AS int) AS sign FROM v UNION ALL SELECT event_id, mid, -during_time, -1 FROM v WHERE later IS NOT NULL""",
 )
 def t1_state(spark, d):
-    pages = _pages(spark, d).select("mid", "ts", "event_id", "during_time")
-    return drain(state.retract_pairs(pages, ["mid"], "ts", "event_id", ["during_time"]).select("event_id", "mid", "during_time", "sign"), work_dir(spark, "t1s"))
+    """Rows arrive up to a day late, in any order."""
+    path = work_dir(spark, "t1s")
+    for stream in _in_time(_pages(spark, d, stream=False).select("mid", "ts", "event_id", "during_time"), path, late_by="event_id"):
+        out = drain(state.retract_pairs(stream, ["mid"], "ts", "event_id", ["during_time"], delay="1 day").select("event_id", "mid", "during_time", "sign"), f"{path}/out")
+    return out
 
 
 @query(
@@ -156,9 +174,9 @@ SELECT {labels('ts', 86_400_000)}, count(*) AS cart_add_uu_ct FROM a WHERE old I
 def a1(spark, d):
     carts = _pages(spark, d, stream=False).filter("page_id in ('click', 'purchase')").select("mid", "ts", "event_id")
     path = work_dir(spark, "a1")
-    for stream in _in_time(carts, path):
+    for stream in _in_time(carts, path, marks=2):
         # the first stage's rows are a table of their own, which the second stage reads as a stream
-        first = drain(state.first_of_day(stream, "mid", "ts", "event_id").filter("first_of_day = 1"), f"{path}/first")
+        first = drain(state.first_of_day(stream, "mid", "ts", "event_id", delay="5 seconds").filter("first_of_day = 1"), f"{path}/first")
         adds = spark.readStream.schema(first.schema).parquet(f"{path}/first/rows")
         out = drain(A.cart_uu_window(A.with_event_time(adds, "ts", "5 seconds"), "1 day"), f"{path}/windows")
     return out
@@ -206,8 +224,8 @@ cast(sum(CASE WHEN last_page_id IS NULL THEN 1 ELSE 0 END) AS bigint) AS sv, cas
 )
 def a5(spark, d):
     path = work_dir(spark, "a5")
-    for stream in _in_time(_pages(spark, d, stream=False), path):
-        first = drain(state.first_of_day(stream, "mid", "ts", "event_id", "uv"), f"{path}/first")
+    for stream in _in_time(_pages(spark, d, stream=False), path, marks=2):
+        first = drain(state.first_of_day(stream, "mid", "ts", "event_id", "uv", delay="5 seconds"), f"{path}/first")
         visits = spark.readStream.schema(first.schema).parquet(f"{path}/first/rows").withColumn("sv", K.session_start("last_page_id"))
         out = drain(A.traffic_window(A.with_event_time(visits, "ts", "5 seconds"), "1 day"), f"{path}/windows")
     return out

@@ -41,15 +41,27 @@ def _state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
         spark.conf.set(name, old)
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> DataFrame:
+@contextmanager
+def _empty_batches(spark: SparkSession, on: bool) -> Iterator[None]:
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(on).lower())
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def drain(stream: DataFrame, path: str, mode: str = "append", partitions: int | None = None, empty_batches: bool = True) -> DataFrame:
     """Run a stream until its input is used up and read what it wrote.
 
     ``append`` writes files; ``complete`` replaces the table in every batch.
-    Started again on the same path it goes on where it stopped.
+    Started again on the same path it goes on where it stopped. A stream whose state
+    has a lifetime asks for one more empty batch for ever: run it without them.
     """
     spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", f"{path}/progress").outputMode(mode).trigger(availableNow=True)
-    with _state_partitions(spark, partitions):
+    with _state_partitions(spark, partitions), _empty_batches(spark, empty_batches):
         if mode == "append":
             query = writer.format("parquet").start(f"{path}/rows")
         else:
