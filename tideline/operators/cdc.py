@@ -11,7 +11,8 @@ from .changelog import latest
 
 
 def entry(column: str, key: str) -> Column:
-    return F.try_element_at(F.col(column), F.lit(key))
+    """An entry of a map, null if missing. Of a map that a query builds itself, Catalyst keeps only the value asked for."""
+    return F.col(column)[key]
 
 
 def table_of(cdc: DataFrame) -> Column:
