@@ -139,9 +139,18 @@ def order_cancel(cdc: DataFrame, wide: DataFrame) -> DataFrame:
 
 
 def within(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, before_ms: int = 900_000, after_ms: int = 5_000) -> DataFrame:
-    """Interval join: right rows from ``before_ms`` before to ``after_ms`` after the left row."""
+    """Interval join: right rows from ``before_ms`` before to ``after_ms`` after the left row.
+
+    Time is cut into buckets as wide as the interval, so a left row's lies in one or two of
+    them and it is copied to these; a right row has one. The join is by key and bucket: no
+    pair of rows further apart than two buckets is made, and a hot key is spread over time.
+    """
+    width = max(1, before_ms + after_ms)
+    first, last = (F.floor((F.col(left_ts) + gap) / width) for gap in (-before_ms, after_ms))
+    spread = left.withColumn("_bucket", F.explode(F.sequence(first, last)))
     gap: Column = F.col(right_ts) - F.col(left_ts)
-    return left.join(right, on).filter((gap >= -before_ms) & (gap <= after_ms))
+    met = spread.join(right.withColumn("_bucket", F.floor(F.col(right_ts) / width)), [on, "_bucket"])
+    return met.filter((gap >= -before_ms) & (gap <= after_ms)).drop("_bucket")
 
 
 def comments(cdc: DataFrame, dictionary: DataFrame) -> DataFrame:

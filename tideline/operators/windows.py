@@ -78,6 +78,28 @@ def province_order_window(detail: DataFrame, size: str = "10 seconds") -> DataFr
     return window_labels(out.withColumnRenamed("span", "window"))
 
 
+#: Bits of an order sketch's size: 16,384 registers in at most 16 KB, standard error 1.04 / 128 or 0.8 %.
+SKETCH_BITS = 14
+
+
+def order_sketch_window(detail: DataFrame, size: str) -> DataFrame:
+    """Amount and a mergeable sketch of the distinct orders by province and window.
+
+    A state of bounded size whatever the number of orders; ``merge_order_sketches`` makes longer windows of
+    them without another look at the details.
+    """
+    total = F.sum(F.col("total_amount").cast(MONEY)).alias("total")
+    return tumble(detail, size, ["province_id"], [total, F.hll_sketch_agg("order_id", SKETCH_BITS).alias("orders")])
+
+
+def merge_order_sketches(windows: DataFrame, size: str) -> DataFrame:
+    """Windows of ``order_sketch_window`` as windows of a multiple of their size, with the estimated number of distinct orders."""
+    merged = windows.groupBy(F.window("window.start", size).alias("span"), "province_id").agg(
+        F.sum("total").cast("decimal(26,2)").alias("total"), F.hll_sketch_estimate(F.hll_union_agg("orders")).alias("order_count")
+    )
+    return window_labels(merged.withColumnRenamed("span", "window"))
+
+
 def enrich_province(df: DataFrame, provinces: DataFrame) -> DataFrame:
     return enrich(df, provinces, "province_id", "id", {"name": "province_name"})
 

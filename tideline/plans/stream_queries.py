@@ -8,8 +8,9 @@ next arrives; a mark long after the last row closes all windows but its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,9 @@ from ..operators import keyed as K
 from ..operators import windows as A
 from ..sources import readers as R
 from ..sources import sinks as O
+from ..sources.tables import BucketTable
 from ..streaming import state
-from ..streaming.run import drain, each_batch, retract_stream, route_stream, work_dir
+from ..streaming.run import drain, each_batch, keep_rules, kept_rules, lookup_stream, retract_stream, route_stream, work_dir
 from . import fixtures as X
 from .fixtures import with_views
 from .catalog import query as _query
@@ -235,9 +237,73 @@ def a5(spark, d):
 def k2(spark, d):
     path = work_dir(spark, "k2")
     pages = _pages(spark, d).select("mid", "page_id", "event_id")
-    each_batch(pages, path, O.upsert_batches(f"{path}/rows", ["mid"], ["event_id"]))
-    last = max(int(r.version) for r in spark.read.parquet(f"{path}/rows").select("version").distinct().collect())  # one row a batch
-    return spark.read.parquet(f"{path}/rows").filter(F.col("version") == last).drop("version")
+    table = BucketTable(spark, f"{path}/rows", ["mid"])
+    each_batch(pages, f"{path}/run", O.upserts(table, ["event_id"]))
+    return table.read()
+
+
+class _Stopped(Exception):
+    """A batch that is made to fail."""
+
+
+def _fails_first(batch: int) -> Callable[[int], None]:
+    """Raises in a batch the first time it gets there."""
+    tried: set[int] = set()
+
+    def run(batch_id: int) -> None:
+        if batch_id == batch and batch_id not in tried:
+            tried.add(batch_id)
+            raise _Stopped(f"batch {batch_id} is made to fail")
+
+    return run
+
+
+def _through_failures(run: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """Run a stream again after a failed batch, as its operator would."""
+    try:
+        return run()
+    except StreamingQueryException as e:
+        if _Stopped.__name__ not in str(e):
+            raise
+        return run()
+
+
+@query("k3_window_result_stream", KEYWORDS)
+def k3(spark, d):
+    """Windows go to a sink that adds each batch once. One batch fails after its rows are written, and the stream is started again."""
+    path, fail = work_dir(spark, "k3"), _fails_first(1)
+    for stream in _in_time(_pages(spark, d, stream=False).filter("last_page_id = 'search'").select(F.col("page_id").alias("keyword"), "ts"), path):
+        windows = A.keyword_window(A.with_event_time(stream, "ts", "0 seconds"), "1 hour")
+        write = O.window_results(f"{path}/rows")
+
+        def work(df, batch_id, write=write):
+            write(df, batch_id)
+            fail(batch_id)
+
+        _through_failures(lambda windows=windows, work=work: each_batch(windows, f"{path}/run", work))
+    return spark.read.schema(windows.schema).parquet(f"{path}/rows").drop("batch").filter(F.col("keyword") != X.MARK)
+
+
+@query(
+    "st10_failed_batch_stream",
+    f"""WITH v AS (SELECT mid, event_id, ts, during_time, lead(ts) OVER (PARTITION BY mid ORDER BY ts, event_id) AS later FROM v_pages),
+r AS (SELECT ts, during_time AS dur, 1 AS n FROM v UNION ALL SELECT ts, -during_time, -1 FROM v WHERE later IS NOT NULL)
+SELECT {labels('ts', 86_400_000)}, cast(sum(dur) AS bigint) AS dur, cast(sum(n) AS bigint) AS n FROM r GROUP BY ALL""",
+)
+def st10_failed(spark, d):
+    """Retractions whose second batch fails between its two commits; a second stream sums up the first one's folder by day of the row."""
+    path, fail = work_dir(spark, "st10f"), _fails_first(1)
+    for stream in _in_time(_pages(spark, d, stream=False).select("mid", "ts", "event_id", F.col("during_time").cast("decimal(16,2)").alias("dur")), path):
+        signed = _through_failures(lambda s=stream: retract_stream(s, f"{path}/pairs", ["mid"], ["ts", "event_id"], ["dur"], between=fail))
+        rows = spark.readStream.schema(signed.schema).parquet(f"{path}/pairs/rows").withColumn("et", F.timestamp_millis("ts"))
+        # a retraction carries the time of the row that it takes back
+        sums = A.tumble(rows.withWatermark("et", "60 days"), "1 day", [], [F.sum("dur").cast("bigint").alias("dur"), F.sum("sign").alias("n")])
+        out = drain(A.window_labels(sums), f"{path}/windows", mode="complete")
+    return out.filter(F.col("stt") < F.date_format(F.timestamp_millis(F.lit(_last(spark, d) + 2 * DAY)), "yyyy-MM-dd"))
+
+
+def _last(spark, d) -> int:
+    return X.view(spark, d, "v_pages").agg(F.max("ts")).first()[0]
 
 
 @query(
@@ -374,7 +440,50 @@ def a3_job(spark, d):
 def k4(spark, d):
     path = work_dir(spark, "k4")
     changes = X.view(spark, d, "v_changes").select("row_key", "op", "seq", X._cells(["page", "k"]).alias("cells"), F.timestamp_seconds("seq").alias("at"))
+    table = BucketTable(spark, f"{path}/rows", ["row_key"])
     for stream in _arrive(_thirds(changes, "at"), path):
-        each_batch(stream, path, O.dim_batches(f"{path}/rows", ["page", "k"]))
-    last = max(int(r.version) for r in spark.read.parquet(f"{path}/rows").select("version").distinct().collect())  # one row a batch
-    return spark.read.parquet(f"{path}/rows/version={last}")
+        each_batch(stream, f"{path}/run", O.dim_changes(table, ["page", "k"]))
+    return table.read()
+
+
+@query(
+    "st8_rule_stream",
+    """SELECT event_id, event_type AS tbl, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 3 = 2 THEN 'dim_seen' ELSE 'dim_view' END
+WHEN event_type = 'click' AND event_id % 3 < 2 THEN 'dim_click' ELSE 'fact' END AS sink FROM events""",
+)
+def st8_rules(spark, d):
+    """Facts arrive in three parts, and rules as a stream of their own: none at first, then two, then one changed and one deleted."""
+    path = work_dir(spark, "st8r")
+    kinds = R.read_table(spark, f"{d}/events.parquet").filter("event_type in ('view', 'click')").select("event_type").distinct()
+    rule = lambda sink: F.create_map(F.lit("source_table"), F.col("event_type"), F.lit("sink_table"), sink)
+    none = F.lit(None).cast("map<string,string>")
+    row = lambda op, seq, after, before: kinds.select(F.lit(op).alias("op"), F.lit(seq).cast("bigint").alias("ts_ms"), F.lit(seq).alias("seq"), after.alias("after"), before.alias("before"), "event_type")
+    first = rule(F.concat(F.lit("dim_"), "event_type"))
+    later = [row("c", 1, first, none), row("u", 2, rule(F.lit("dim_seen")), first).filter("event_type = 'view'").unionByName(row("d", 3, none, first).filter("event_type = 'click'"))]
+    e = R.read_table(spark, f"{d}/events.parquet").select(F.create_map(F.lit("table"), F.col("event_type")).alias("source"), F.lit("c").alias("op"), "event_id")
+    table = BucketTable(spark, f"{path}/rules", ["rule_key"], n_buckets=8)
+    changes = _arrive([x.drop("event_type") for x in later], f"{path}/log")
+    for i, stream in enumerate(_arrive([e.filter(F.pmod("event_id", F.lit(3)) == i) for i in range(3)], path)):
+        if i:
+            keep_rules(next(changes), table, f"{path}/keep")
+        dims, facts = route_stream(stream, lambda _: kept_rules(table), f"{path}/out")
+    dim = spark.read.parquet(dims).select("event_id", F.col("source_table").alias("tbl"), F.col("sink_table").alias("sink"))
+    return dim.unionByName(spark.read.parquet(facts).select("event_id", F.col("source_table").alias("tbl"), F.lit("fact").alias("sink")))
+
+
+@query(
+    "j7_lookup_snapshot_stream",
+    "SELECT o.id, o.code, CASE WHEN o.parity = 0 THEN d.dic_name ELSE 'new ' || d.dic_name END AS code_name FROM (SELECT *, cast(id AS bigint) % 2 AS parity FROM v_orders) o JOIN v_dic d ON o.code = d.dic_code",
+)
+def j7_snapshots(spark, d):
+    """Orders arrive in two parts; between them every name of the dictionary changes."""
+    path = work_dir(spark, "j7")
+    table = BucketTable(spark, f"{path}/dic", ["dic_code"], n_buckets=8)
+    write = O.upserts(table, ["seq"])
+    orders = X.view(spark, d, "v_orders").select("id", "code")
+    names = lambda seq, name: X.view(spark, d, "v_dic").select("dic_code", F.struct(name.alias("dic_name")).alias("info"), F.lit(seq).alias("seq"))
+    new = [names(0, F.col("dic_name")), names(1, F.concat(F.lit("new "), "dic_name"))]
+    for i, stream in enumerate(_arrive([orders.filter(F.col("id").cast("bigint") % 2 == i) for i in range(2)], path)):
+        write(new[i], i)
+        rows = lookup_stream(stream, table, f"{path}/out", lambda df, dic: J.lookup_join(df, dic, "code", "code_name"))
+    return spark.read.parquet(rows).select("id", "code", "code_name")

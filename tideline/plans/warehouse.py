@@ -509,6 +509,24 @@ def a4(spark, d):
     return A.enrich_province(out, view(spark, d, "v_province"))
 
 
+@query(
+    "a4_province_order_sketch_window",
+    f"""SELECT {labels('ts', 7 * 86_400_000)}, cast(l_suppkey % 25 AS string) AS province_id, cast(sum(cast(cast(cents AS decimal(14,0)) * cast(0.01 AS decimal(3,2)) AS decimal(16,2))) AS double) AS total,
+count(DISTINCT l_orderkey) AS exact_count, true AS within_bound FROM v_money GROUP BY ALL""",
+)
+def a4_sketch(spark, d):
+    """Distinct orders of a week from the sketches of its days, at most 2.5 % (three standard errors) from the exact count."""
+    rows = view(spark, d, "v_money").select(
+        F.timestamp_millis("ts").alias("et"), (F.col("l_suppkey") % 25).cast("string").alias("province_id"), F.col("l_orderkey").alias("order_id"),
+        (F.col("cents").cast("decimal(14,0)") * F.lit("0.01").cast("decimal(3,2)")).alias("total_amount"),
+    )
+    week = A.merge_order_sketches(A.order_sketch_window(rows, "1 day"), "7 days")
+    exact = A.window_labels(A.tumble(rows, "7 days", ["province_id"], [F.count_distinct("order_id").alias("exact_count")]))
+    near = F.abs(F.col("order_count") - F.col("exact_count")) <= F.greatest(F.lit(1), 3 * 1.04 / 2 ** (A.SKETCH_BITS / 2) * F.col("exact_count"))
+    both = week.join(exact.drop("edt", "cur_date"), ["stt", "province_id"])
+    return both.select("stt", "edt", "cur_date", "province_id", F.col("total").cast("double").alias("total"), "exact_count", near.alias("within_bound"))
+
+
 @query(
     "a5_traffic_window",
     f"""SELECT {labels('ts', 86_400_000)}, ar, ch, vc, is_new, count(*) AS pv, cast(sum(first_of_day) AS bigint) AS uv,

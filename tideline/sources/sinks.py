@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scalars import normalise_epoch, ts_to_partition
 from ..operators.cdc import rows_to_json
 from ..operators.changelog import apply_dim_changes, latest
+from .tables import BucketTable, commit_batch
 
 
 def write_lines(df: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery | None:
@@ -47,36 +48,54 @@ def write_window_result(df: DataFrame, path: str, by: str = "cur_date") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def once(write: Callable[[DataFrame, int], None], done: set[int] | None = None) -> Callable[[DataFrame, int], None]:
-    """A batch writer that skips batches it has seen."""
-    seen = set() if done is None else done
+def window_results(path: str, by: str = "cur_date") -> Callable[[DataFrame, int], None]:
+    """A batch writer for closed windows: each batch is added once, however often it is tried."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id not in seen:
-            write(batch, batch_id)
-            seen.add(batch_id)
+        if not commit_batch(batch, path, batch_id, by):
+            batch.write.format("noop").mode("overwrite").save()  # the windows' state has to go on with the batch
 
     return run
 
 
-def upsert_batches(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the last row of each key, a version of the table a batch.
+def upserts(table: BucketTable, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps the last row of each key; rewrites the buckets of the batch's keys."""
 
-    A batch replayed after a failure writes the same version again.
+    def run(batch: DataFrame, batch_id: int) -> None:
+        new = latest(batch, table.keys, order).persist()
+        table.merge(new, batch_id, lambda held, rows: latest(held.unionByName(rows), table.keys, order) if held else rows)
+        new.unpersist()
+
+    return run
+
+
+def dim_changes(table: BucketTable, columns: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch writer that applies puts and deletes (row_key, op, seq, cells map) to a dimension, keyed by row_key.
+
+    What the dimension holds counts as puts before the batch. Batches come in order of ``seq``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
-        latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        def merged(held: DataFrame | None, rows: DataFrame) -> DataFrame:
+            if held:
+                rows = _as_puts(held, columns, rows).unionByName(rows)
+            return apply_dim_changes(rows, columns)
+
+        table.merge(batch.select("row_key", "op", "seq", "cells"), batch_id, merged)
 
     return run
 
 
+def _as_puts(held: DataFrame, columns: list[str], changes: DataFrame) -> DataFrame:
+    cells = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])
+    seq = F.lit(-(2**63)).cast(changes.schema["seq"].dataType)
+    return held.select("row_key", F.lit("u").alias("op"), seq.alias("seq"), cells.alias("cells"))
+
+
 def dim_batches(path: str, columns: list[str]) -> Callable[[DataFrame, int], None]:
     """A batch writer that applies puts and deletes (row_key, op, seq, cells map) to a dimension, a version a batch.
 
+    For dimensions small enough to be written whole each batch; ``dim_changes`` is for larger ones.
     What the dimension holds counts as puts before the batch. Batches come in
     order of ``seq``; a replayed one writes the same version again.
     """
@@ -84,10 +103,7 @@ def dim_batches(path: str, columns: list[str]) -> Callable[[DataFrame, int], Non
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("row_key", "op", "seq", "cells")
         if batch_id:
-            held = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}")
-            cells = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])
-            seq = F.lit(-(2**63)).cast(batch.schema["seq"].dataType)
-            rows = held.select("row_key", F.lit("u").alias("op"), seq.alias("seq"), cells.alias("cells")).unionByName(rows)
+            rows = _as_puts(batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}"), columns, batch).unionByName(rows)
         apply_dim_changes(rows, columns).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return run

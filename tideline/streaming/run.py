@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..operators.cdc import route_by_rules
 from ..operators.changelog import latest, retract_pairs
+from ..sources.sinks import upserts
+from ..sources.tables import BucketTable, Files, commit_batch, committed
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
@@ -88,43 +90,101 @@ def each_batch(stream: DataFrame, path: str, work: Callable[[DataFrame, int], No
 def route_stream(cdc: DataFrame, rules_now: Callable[[int], DataFrame], path: str) -> tuple[str, str]:
     """Route a change stream by rules that may change while it runs.
 
-    Every batch reads the rules in force. While there are none, rows wait in a
-    pending table, a version a batch, and are routed with the batch that first
-    sees rules. Each batch writes its own folders, so a replay replaces them.
+    Every batch reads the rules in force (``kept_rules`` has those of a rule stream). While
+    there are none, batches wait, each in a folder of its own, and are routed with the first
+    batch that sees rules. A replay routes what it routed before and writes nothing twice.
     """
     spark = cdc.sparkSession
-    dims, facts = f"{path}/dims", f"{path}/facts"
+    dims, facts, waits, let_go = (f"{path}/{x}" for x in ("dims", "facts", "pending", "released"))
+    files = Files(spark, path)
 
     def work(df: DataFrame, batch_id: int) -> None:
         rules = rules_now(batch_id)
-        rows = df
-        if batch_id:
-            rows = spark.read.schema(df.schema).parquet(f"{path}/pending/{batch_id - 1}").unionByName(df)
-        none = rules.isEmpty()
-        (rows if none else rows.limit(0)).write.mode("overwrite").parquet(f"{path}/pending/{batch_id}")
-        dim, fact = route_by_rules(rows.limit(0) if none else rows, rules)
-        dim.write.mode("overwrite").parquet(f"{dims}/batch={batch_id}")
-        fact.write.mode("overwrite").parquet(f"{facts}/batch={batch_id}")
+        rows = df.limit(0)
+        if rules.isEmpty():
+            commit_batch(df, waits, batch_id)
+        else:
+            released = {int(n.split("-")[0]): int(n.split("-")[1]) for n in files.names(let_go)}
+            mine = [b for b in sorted(committed(spark, waits)) if b < batch_id and released.get(b, batch_id) == batch_id]
+            for b in mine:
+                if b not in released:
+                    files.write_once(f"{let_go}/{b}-{batch_id}", "")
+            rows = df
+            if mine:
+                rows = spark.read.schema(df.schema).parquet(*[f"{waits}/batch={b}" for b in mine]).unionByName(df)
+        dim, fact = route_by_rules(rows, rules)
+        commit_batch(dim, dims, batch_id)
+        commit_batch(fact, facts, batch_id)
 
     each_batch(cdc, path, work)
     return dims, facts
 
 
-def retract_stream(stream: DataFrame, path: str, keys: list[str], order: list[str], measures: list[str]) -> DataFrame:
-    """Retractions without a process per key: the last rows are a table, a version a batch.
+RULE_COLUMNS = ("source_table", "sink_table", "sink_family", "sink_columns", "sink_row_key")
+
+
+def keep_rules(changes: DataFrame, table: BucketTable, path: str) -> None:
+    """Run a stream of rule changes (op, ts_ms, seq, after, before) into a rule table keyed by ``rule_key``.
+
+    Deletes stay as rows, so that a late change cannot bring a deleted rule back.
+    """
+    rule = F.coalesce("after", "before")
+    rows = changes.select(F.try_element_at(rule, F.lit("source_table")).alias("rule_key"), "op", "ts_ms", "seq", rule.alias("rule"))
+    each_batch(rows.filter("rule_key is not null"), path, upserts(table, ["ts_ms", "seq"]))
+
+
+def kept_rules(table: BucketTable) -> DataFrame:
+    """The rules in force in the table's latest version."""
+    held = table.read()
+    if held is None:
+        return table.spark.createDataFrame([], ", ".join(f"{c} string" for c in RULE_COLUMNS))
+    return held.filter("op <> 'd'").select(*[F.try_element_at("rule", F.lit(c)).alias(c) for c in RULE_COLUMNS])
+
+
+def lookup_stream(stream: DataFrame, table: BucketTable, path: str, join: Callable[[DataFrame, DataFrame], DataFrame]) -> str:
+    """Join each micro-batch with the version of a dimension that is the latest when the batch first runs.
+
+    So a row gets the names of its time. The version is noted before the batch is
+    written, and a replay reads the same one; ``vacuum`` has to leave it that long.
+    """
+    spark, files = stream.sparkSession, Files(stream.sparkSession, path)
+
+    def work(df: DataFrame, batch_id: int) -> None:
+        pin = f"{path}/pins/{batch_id}"
+        if not files.exists(pin):
+            files.write_once(pin, str(table.version().number))
+        snapshot = table.read(int(files.read(pin)))
+        if snapshot is None:
+            raise ValueError(f"{table.path} has no rows yet")
+        commit_batch(join(df, snapshot), f"{path}/rows", batch_id)
+
+    each_batch(stream, path, work)
+    return f"{path}/rows"
+
+
+def retract_stream(stream: DataFrame, path: str, keys: list[str], order: list[str], measures: list[str], n_buckets: int = 64, between: Callable[[int], None] | None = None) -> DataFrame:
+    """Retractions without a process per key: the last rows are a table by bucket.
 
-    Each batch follows the stored rows by window functions, so millions of keys
-    cost one shuffle a batch. A replayed batch replaces what it wrote.
+    Each batch follows the stored rows of its keys' buckets by window functions, so millions
+    of keys cost one shuffle a batch and other buckets are not touched. Rows are committed
+    before the table, and ``between`` the two a batch may fail: the table is still the
+    old one then, the rows stay the files they are, and only the table is made up for.
     """
     spark = stream.sparkSession
+    table = BucketTable(spark, f"{path}/last", keys, n_buckets)
 
     def work(df: DataFrame, batch_id: int) -> None:
-        rows = df.withColumn("_seen", F.lit(1))
-        if batch_id:
-            rows = spark.read.schema(df.schema).parquet(f"{path}/last/{batch_id - 1}").withColumn("_seen", F.lit(0)).unionByName(rows)
-        out = retract_pairs(rows, keys, ["_seen", *order], measures)
-        out.filter("_seen = 1 or sign = -1").drop("_seen").write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-        latest(rows, keys, ["_seen", *order]).drop("_seen").write.mode("overwrite").parquet(f"{path}/last/{batch_id}")
+        def merged(held: DataFrame | None, new: DataFrame) -> DataFrame:
+            rows = new.withColumn("_seen", F.lit(1))
+            if held:
+                rows = held.withColumn("_seen", F.lit(0)).unionByName(rows)
+            out = retract_pairs(rows, keys, ["_seen", *order], measures)
+            commit_batch(out.filter("_seen = 1 or sign = -1").drop("_seen"), f"{path}/rows", batch_id)
+            if between:
+                between(batch_id)
+            return latest(rows, keys, ["_seen", *order]).drop("_seen")
+
+        table.merge(df, batch_id, merged)
 
     each_batch(stream, path, work)
     return spark.read.parquet(f"{path}/rows").drop("batch")
