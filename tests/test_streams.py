@@ -252,3 +252,31 @@ def test_trade_facts_build_their_maps_once(spark, sf):
 
     plan = J.order_detail(fixtures.cdc(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if "Filter" in x and "map(" in x]
+
+
+def test_files_roll_by_size_age_and_idleness(spark, tmp_path):
+    day, schema = 86_400_000, "id long, ts long, pad string"
+    clock = {"now": 0.0}
+    roll = O.RollingFiles(str(tmp_path), "ts", most_bytes=2000, age_s=600, idle_s=300, chunks=4, now=lambda: clock["now"])
+    made = []
+
+    def batch(n, now, days=1):
+        clock["now"] = now
+        rows = [(len(made) + i, day * (18_000 + i % days), "x" * (i % 30)) for i in range(n)]
+        made.extend(rows)
+        number = batch.n = getattr(batch, "n", -1) + 1
+        for _ in range(2):  # replayed at another time
+            roll(spark.createDataFrame(rows, schema), number)
+            clock["now"] += 5000
+        return sorted((f.parent.parent.name, f.stat().st_size) for f in tmp_path.glob(f"lines/batch={number}/*/*/*.txt"))
+
+    assert batch(10, 0) == []  # too little for a file
+    assert batch(10, 100) == []
+    sizes = batch(500, 200, days=2)
+    assert len(sizes) > 8 and all(1900 <= s <= 2000 for _, s in sizes)
+    assert batch(1, 400) == []  # the first day is touched again, the second is not yet idle
+    assert [d for d, _ in batch(1, 520)] == ["day=20190415"]  # the second was idle for 300 s
+    assert [d for d, _ in batch(1, 810)] == ["day=20190414"]  # the first was never idle but is 600 s old
+    got = spark.read.text(f"{tmp_path}/lines").select(F.get_json_object("value", "$.id").cast("long").alias("id"))
+    assert sorted(r.id for r in got.collect()) == sorted(r[0] for r in made)
+    assert spark.read.parquet(f"{tmp_path}/_open").filter(F.col("batch") == batch.n).count() == 0

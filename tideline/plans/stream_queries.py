@@ -284,6 +284,22 @@ def k3(spark, d):
     return spark.read.schema(windows.schema).parquet(f"{path}/rows").drop("batch").filter(F.col("keyword") != X.MARK)
 
 
+@query("k5_rolling_files_stream", f"SELECT event_id, strftime(make_timestamp(ts * 1000), '%Y%m%d') AS day FROM v_pages")
+def k5(spark, d):
+    """Events as JSON lines in files of 64 KB by day; the last batch comes when all open files are due."""
+    from pyspark.sql.types import StructType
+
+    path = work_dir(spark, "k5")
+    clock = iter(range(0, 10_000, 60))
+    rows = _events(spark, d, stream=False).select("event_id", "event_type", "ts")
+    for stream in _arrive([*(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i) for i in range(3)), rows.limit(0)], path):
+        roll = O.RollingFiles(f"{path}/out", "ts", most_bytes=64 << 10, now=lambda: next(clock))
+        each_batch(stream, f"{path}/run", roll)
+    O.RollingFiles(f"{path}/out", "ts", most_bytes=64 << 10, now=lambda: 1e6)(rows.limit(0), 1_000)
+    lines = spark.read.schema("value string, day string").text(f"{path}/out/lines")
+    return C.parse_or_drop(lines, StructType.fromDDL("event_id bigint, ts bigint")).select("event_id", O.day_bucket("ts").alias("day"))
+
+
 @query(
     "st10_failed_batch_stream",
     f"""WITH v AS (SELECT mid, event_id, ts, during_time, lead(ts) OVER (PARTITION BY mid ORDER BY ts, event_id) AS later FROM v_pages),
