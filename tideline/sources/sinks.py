@@ -51,7 +51,7 @@ class RollingFiles:
     Lines that do not fill a file stay open, in a folder of their own, and go on with the next
     batch; so small batches make no small files. A day's open lines are closed as they are once they
     are ``age_s`` old or nothing came for ``idle_s`` seconds. No file is larger than ``most_bytes``
-    unless one line is, and none but those is smaller by more than the largest line of its batch.
+    unless one line is, and none but those is smaller by more than twice the largest line of its batch.
 
     A day's lines are dealt over ``chunks`` by their hash, and the bytes before a chunk are summed up from
     one row a chunk, so no task holds a day. ``now`` is noted for each batch before it is written: a replay
@@ -76,8 +76,9 @@ class RollingFiles:
         closed = (F.col("file") < F.col("last")) | due
         lines = numbered.filter(closed).select("value", "day", "file").repartition("day", "file")
         commit_batch(lines, f"{self.path}/lines", batch_id, "day", "file", form="text")
-        # what a day's open lines are waiting for is counted from its oldest and newest one
-        commit_batch(numbered.filter(~closed).select("value", "day", "since", "seen"), held, batch_id)
+        # an open file began with its day's oldest open line, or now if the lines before it filled another
+        since = F.when(F.col("last") > 0, now).otherwise(F.col("since")).alias("since")
+        commit_batch(numbered.filter(~closed).select("value", "day", since, "seen"), held, batch_id)
         numbered.unpersist()
         for b in before[:-1]:
             files.delete(f"{held}/batch={b}")
