@@ -3,17 +3,22 @@
 Candidates are runs of at least ``least`` key characters that hold a digit or
 begin like a known kind of key, values of any characters but a digit or sign among
 them that are assigned to a credential's name, signed tokens of three parts, and
-private keys from their first line to their last. A name before ``=`` is no part of
-a value. Each gets figures on its length, on its character transitions (kinds,
+private keys from their first line to their last; with ``plain`` runs and values
+without a digit or sign too. A value has no greatest length. A name before ``=`` is
+no part of a value.
+
+Each candidate gets figures on its length, on its character transitions (kinds,
 repeats, and how surprising its pairs of characters are under the corpus's own), on
 how much of it words of the corpus cover, on the path it stands in and on its
-neighbouring words. Pairs are counted over all texts, as are words, of which the
-``WORDS`` most frequent are the dictionary. A forest trained on labelled findings
-decides; labels are (doc_id, start, end, secret), ``weak_labels`` derives them where
-no reviewed findings exist: a random-looking value assigned to a name with a
-credential's word in it or given after ``Bearer`` is one, as are known kinds of keys
-and private keys. What the rule marks is then a secret, whatever the forest makes of
-a rare form.
+neighbouring words; those of a block are worked out together, by array arithmetic.
+Pairs are counted over all texts, as are words, of which the ``WORDS`` most frequent
+are the dictionary.
+
+A random forest trained on labelled findings alone decides. Labels are
+(doc_id, start, end, secret). Where no reviewed findings are given, findings are
+planted: ``PLANTED`` made-up secrets and harmless values of many forms are set into
+snippets of the corpus's own texts, so what is true of each is known from its making
+and not from its figures.
 
 Findings carry a fingerprint, never the value. Offsets count characters.
 
@@ -22,7 +27,7 @@ Defined results
 * null ``source``, or no such column, is an empty path; null ``doc_id`` is scanned but never a label
 * repeated rows are each reported and are one labelled finding; an empty table gives no rows; more columns
   are ignored by ``scan`` and kept by ``redact``
-* without labels, or with labels of one class, every score is the labels' share
+* with given labels of one class only, or none that meet a candidate, every score is the labels' share
 """
 
 from __future__ import annotations
@@ -40,11 +45,14 @@ from pyspark.sql import functions as F
 
 from ..plans.ship import ship
 from .forest import Forest, fit
+from .plant import plant
 from .store import Scratch
 from .textblock import LOWER, U64, Words, arrow_bytes, slices, trimmed
 
 LEAST = 16
 SAMPLE = 20_000
+PLANTED = 6000
+SNIPPETS = 1000
 CUT = 0.5
 MASK = "[SECRET]"
 CONTEXT = 48
@@ -60,14 +68,15 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _KIND = np.zeros(256, np.int64)
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
-_VOWEL = frozenset(b"aeiouAEIOU")
-_HEX = frozenset(b"0123456789abcdefABCDEF")
+_VOWEL, _HEX = np.zeros(256, bool), np.zeros(256, bool)
+_VOWEL[list(b"aeiouAEIOU")] = True
+_HEX[list(b"0123456789abcdefABCDEF")] = True
 _WORD = re.compile(rb"[A-Za-z_]{2,}")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _ENDS = re.compile(rb"[?&,;\n]")
 _ASSIGNED = re.compile(
     rb"(?:token|secret|password|passwd|pwd|passphrase|api_?key|access_?key|credentials?|signature)[A-Za-z0-9_]{0,40}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"'`]?"
-    rb"([^\s\"'`<>,;&?(){}\[\]]{%d,400})" % SHORT, re.I
+    rb"([^\s\"'`<>,;&?(){}\[\]]{%d,})" % SHORT, re.I
 )
 _TELLING = re.compile(rb"[0-9!@#$%^*~]")
 _LETTER = np.zeros(256, bool)
@@ -91,9 +100,10 @@ _BEARER = re.compile(rb"(?:bearer|authorization[\"']?\s*[:=]\s*[\"']?(?:basic|to
 
 NAMES = (
     "length log_length lower upper digit other hex_only digits_only entropy surprise switches vowel_pairs repeats longest_run covered "
-    "prefix pem slashes in_url path_test path_code key_before key_near harmless_near assigned quoted spaced_after bearer"
+    "prefix pem slashes in_url path_test path_code key_before key_near harmless_name harmless_near assigned quoted spaced_after bearer"
 ).split()
-FOUND = f"doc_id long, start long, end long, kind string, fingerprint string, context_key boolean, x array<float>"
+FOUND = "doc_id long, start long, end long, kind string, fingerprint string, x array<float>"
+_AT = {n: i for i, n in enumerate(NAMES)}
 
 
 @dataclass
@@ -103,19 +113,36 @@ class Corpus:
     bits: np.ndarray
     words: np.ndarray
 
+    def surprises(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Mean bits of the pairs of each value."""
+        kind = _PAIR[data]
+        bits = np.append(self.bits[kind[:-1], kind[1:]], 0.0) if len(kind) else np.zeros(0)
+        bits[offsets[1:-1] - 1] = 0.0  # pairs over an edge
+        bits[-1:] = 0.0
+        return _sums(bits, offsets) / np.maximum(1, np.diff(offsets) - 1)
+
+    def coverage(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Share of each value in words of three letters and more that the corpus knows."""
+        words = _letter_words(data, offsets)
+        size = words.end - words.start
+        known = size >= 3
+        if len(self.words):
+            known &= self.words[np.minimum(np.searchsorted(self.words, words.hash), len(self.words) - 1)] == words.hash
+        else:
+            known[:] = False
+        of = np.searchsorted(offsets, words.start, side="right") - 1
+        return np.bincount(of[known], size[known], len(offsets) - 1) / np.maximum(1, np.diff(offsets))
+
     def surprise(self, value: bytes) -> float:
-        kind = _PAIR[np.frombuffer(value, np.uint8)]
-        return float(self.bits[kind[:-1], kind[1:]].mean()) if len(kind) > 1 else 0.0
+        return float(self.surprises(np.frombuffer(value, np.uint8), np.array([0, len(value)]))[0])
 
     def covered(self, value: bytes) -> float:
-        """Share of the value in words of three letters and more that the corpus knows."""
-        words = _letter_words(np.frombuffer(value, np.uint8), np.array([0, len(value)]))
-        long = words.end - words.start >= 3
-        if not len(self.words) or not long.any():
-            return 0.0
-        at = np.minimum(np.searchsorted(self.words, words.hash[long]), len(self.words) - 1)
-        known = self.words[at] == words.hash[long]
-        return float((words.end - words.start)[long][known].sum() / len(value))
+        return float(self.coverage(np.frombuffer(value, np.uint8), np.array([0, len(value)]))[0])
+
+
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return total[offsets[1:]] - total[offsets[:-1]]
 
 
 def _letter_words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -152,8 +179,8 @@ def corpus_of(docs: DataFrame) -> Corpus:
     return Corpus(-np.log2(pairs / pairs.sum(axis=1, keepdims=True)), np.sort(top.view(U64)))
 
 
-def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(text, first byte, end byte) of every candidate, bytes counted from ``data``'s start."""
+def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, plain: bool = False) -> list[tuple[int, int, int]]:
+    """(text, first byte, end byte) of every candidate, in order and disjoint, bytes counted from ``data``'s start."""
     key = _KEY[data]
     if len(key):  # a name's '=' before a value ends a run, a value's own last ones do not
         names = (data[:-1] == ord("=")) & key[1:] & (data[1:] != ord("="))
@@ -170,7 +197,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> lis
     long = e - s >= least
     s, e = s[long], e[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    held = digits[e] > digits[s]
+    held = (digits[e] > digits[s]) | plain
     raw = data.tobytes()
     held[[i for i in np.flatnonzero(~held) if _PREFIX.match(raw, s[i])]] = True
     runs = list(zip((np.searchsorted(offsets, s[held], side="right") - 1).tolist(), s[held].tolist(), e[held].tolist(), strict=True))
@@ -187,7 +214,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> lis
         i = int(np.searchsorted(offsets, m.start(), side="right")) - 1
         a, at = m.start(1), min(m.end(1), int(offsets[i + 1]))  # texts stand side by side: a value ends with its text
         b = a + len(raw[a:at].rstrip(b".:"))
-        if b - a >= SHORT and _TELLING.search(raw, a, b):
+        if b - a >= SHORT and (plain or _TELLING.search(raw, a, b)):
             named.append((i, a, b))
     named = _outside(named, whole)
     return sorted(_outside(_outside(runs, named), whole) + named + whole)
@@ -210,93 +237,104 @@ def _parts(name: bytes) -> list[str]:
     return [text.lower().strip("_"), *(w.lower() for w in _PART.findall(text))]
 
 
-def figures(text: bytes, start: int, end: int, source: str, corpus: Corpus) -> list[float]:
-    """The forest's input for one candidate."""
-    value = text[start:end]
-    n = len(value)
-    kind = _KIND[np.frombuffer(value, np.uint8)]
-    share = np.bincount(kind, minlength=4) / n
-    count = np.bincount(np.frombuffer(value, np.uint8))
-    p = count[count > 0] / n
-    before = text[max(0, start - CONTEXT) : start]
-    after = text[end : end + CONTEXT]
+def figures(data: np.ndarray, offsets: np.ndarray, spans: list[tuple[int, int, int]], sources: list[str], corpus: Corpus) -> np.ndarray:
+    """The forest's input for candidates of some texts, a row each."""
+    x = np.zeros((len(spans), len(NAMES)), np.float32)
+    if not spans:
+        return x
+    text, s, e = np.array(spans, np.int64).T
+    n = e - s
+    value = np.concatenate([data[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+    at = np.concatenate([[0], np.cumsum(n)])
+    of = np.repeat(np.arange(len(spans)), n)
+    kind = _KIND[value]
+    pair = of[1:] == of[:-1]  # neighbours of one candidate
+    share = lambda flags: np.bincount(of, flags, len(spans)) / n
+    pairs = lambda flags: np.bincount(of[1:], flags & pair, len(spans))
+    x[:, 0], x[:, 1] = n, np.log(n)
+    for j, k in enumerate((1, 2, 3, 0), 2):
+        x[:, j] = share(kind == k)
+    x[:, 6], x[:, 7] = share(_HEX[value]) == 1, share(kind == 3) == 1
+    cells, count = np.unique(of * 256 + value, return_counts=True)
+    p = count / n[cells // 256]
+    x[:, 8] = -np.bincount(cells // 256, p * np.log2(p), len(spans))
+    x[:, 9] = corpus.surprises(value, at)
+    x[:, 10] = pairs(kind[1:] != kind[:-1]) / np.maximum(1, n - 1)
+    x[:, 11] = pairs(_VOWEL[value[1:]] != _VOWEL[value[:-1]]) / n
+    x[:, 12] = pairs(value[1:] == value[:-1]) / n
+    begin = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | ~pair]))
+    run = np.diff(np.append(begin, len(value)))
+    x[:, 13] = np.maximum.reduceat(run, np.searchsorted(begin, at[:-1]))
+    x[:, 14] = corpus.coverage(value, at)
+    x[:, 17] = np.bincount(of, value == ord("/"), len(spans))
+    raw, last, path = data.tobytes(), -1, [0, 0]
+    for row, (i, a, b) in zip(x, spans, strict=True):
+        if i != last:
+            last, source = i, sources[i].lower()
+            path = [any(w in source for w in ("test", "example", "fixture", "sample")), source.endswith((".py", ".js", ".java", ".env", ".yml", ".json", ".cfg", ".ini"))]
+        before, after = raw[max(int(offsets[i]), a - CONTEXT) : a], raw[b : min(b + 1, int(offsets[i + 1]))]
+        row[15], row[16] = _PREFIX.match(raw, a, b) is not None, raw.startswith(b"-----BEGIN", a, b)
+        row[18:] = [b"://" in before[-40:] or b"www." in before[-40:], *path, *_beside(before, after)]
+    return x
+
+
+def _beside(before: bytes, after: bytes) -> list[bool]:
+    """Figures of the words and marks around a value."""
     tail = before.rstrip(b" \"'`")
     near = [_parts(w) for w in _WORD.findall(_ENDS.split(tail.rstrip())[-1])][-4:]  # of the same field
     named = [any(p in KEY_WORDS for p in w) for w in near]
-    path = source.lower()
-    runs = np.diff(np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]])))
+    harmless = [w[0] in HARMLESS or w[-1] in HARMLESS for w in near]
     return [
-        n, np.log(n), share[1], share[2], share[3], share[0], all(c in _HEX for c in value), share[3] == 1, float(-(p * np.log2(p)).sum()), corpus.surprise(value),
-        (kind[1:] != kind[:-1]).mean() if n > 1 else 0, sum((a in _VOWEL) != (b in _VOWEL) for a, b in zip(value, value[1:])) / n,
-        sum(a == b for a, b in zip(value, value[1:])) / n, int(runs.max()), corpus.covered(value),
-        _PREFIX.match(value) is not None, value.startswith(b"-----BEGIN"), value.count(b"/"), b"://" in before[-40:] or b"www." in before[-40:],
-        any(w in path for w in ("test", "example", "fixture", "sample")), path.endswith((".py", ".js", ".java", ".env", ".yml", ".json", ".cfg", ".ini")),
-        bool(named) and named[-1], any(named), any(w[0] in HARMLESS or w[-1] in HARMLESS for w in near),
-        tail.rstrip().endswith((b"=", b":", b"=>")), before[-1:] in (b'"', b"'", b"`") and after[:1] in (b'"', b"'", b"`"), after[:1] in (b" ", b"\n", b""),
-        _BEARER.search(before) is not None,
+        bool(named) and named[-1], any(named), bool(harmless) and harmless[-1], any(harmless), tail.rstrip().endswith((b"=", b":", b"=>")),
+        before[-1:] in (b'"', b"'", b"`") and after in (b'"', b"'", b"`"), after in (b" ", b"\n", b""), _BEARER.search(before) is not None,
     ]
 
 
-def _strong(x: list[float]) -> bool:
-    """Whether the rule marks a candidate with these figures."""
-    named = dict(zip(NAMES, x, strict=True))
-    told = named["key_near"] and named["assigned"] or named["bearer"]
-    told = told and not named["harmless_near"]
-    if named["length"] < LEAST and not named["prefix"]:  # a short value needs a digit, or a sign in quotes
-        return bool(told and named["entropy"] >= 2.2 and not named["digits_only"] and (named["digit"] or named["other"] and named["quoted"]))
-    return bool(named["pem"] or named["entropy"] >= 3 and (named["prefix"] or told))
-
-
-def _kind(x: list[float], value: bytes) -> str:
-    named = dict(zip(NAMES, x, strict=True))
-    if named["pem"]:
+def _kind(x: np.ndarray) -> str:
+    if x[_AT["pem"]]:
         return "private_key"
-    if named["prefix"]:
+    if x[_AT["prefix"]]:
         return "known_prefix"
-    if named["digits_only"]:
+    if x[_AT["digits_only"]]:
         return "digits"
-    return "hex" if named["hex_only"] else "text"
+    return "hex" if x[_AT["hex_only"]] else "text"
+
 
+Block = tuple[np.ndarray, np.ndarray, int, list[tuple[int, int, int]], np.ndarray]
 
-def _examine(column: pa.Array, sources: pa.Array | None, corpus: Corpus) -> Iterator[tuple[int, bytes, int, int, list[float]]]:
-    """(row, text, first byte, end byte, figures) of every candidate, a text after another."""
+
+def _examine(column: pa.Array, sources: pa.Array | None, corpus: Corpus, least: int, plain: bool) -> Iterator[Block]:
+    """A block's bytes and offsets, its first row, its candidates and their figures."""
     data, offsets = arrow_bytes(column)
+    paths = [x or "" for x in sources.to_pylist()] if sources is not None else [""] * len(column)
     for a, b in slices(offsets):
-        base, last, text = int(offsets[a]), -1, b""
-        for r, s, e in candidates(data[base : offsets[b]], offsets[a : b + 1] - base):
-            i = a + r
-            if i != last:
-                last, text = i, data[offsets[i] : offsets[i + 1]].tobytes()
-            s, e = s + base - int(offsets[i]), e + base - int(offsets[i])
-            source = sources[i].as_py() if sources is not None else None
-            yield i, text, s, e, [float(v) for v in figures(text, s, e, source or "", corpus)]
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        spans = candidates(part, at, least, plain)
+        if spans:
+            yield part, at, a, spans, figures(part, at, spans, paths[a:b], corpus)
 
 
-def find(docs: DataFrame, corpus: Corpus) -> DataFrame:
+def find(docs: DataFrame, corpus: Corpus, least: int = LEAST, plain: bool = False) -> DataFrame:
     """Every candidate with its figures."""
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(corpus)  # WORDS hashes and a table of pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64()] * 3 + [pa.string()] * 2
         for batch in batches:
-            ids, rows, last, chars = batch.column(0), [], -1, np.zeros(1, np.int64)
-            for i, text, s, e, x in _examine(batch.column(1), batch.column(2), shared.value):
-                if i != last:
-                    last, chars = i, np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                rows.append((ids[i].as_py(), int(chars[s]), int(chars[e]), _kind(x, text[s:e]), hashlib.sha256(text[s:e]).hexdigest()[:16], _strong(x), x))
-            if rows:
-                types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.bool_(), pa.list_(pa.float32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+            for data, offsets, first, spans, x in _examine(batch.column(1), batch.column(2), shared.value, least, plain):
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                text, s, e = np.array(spans, np.int64).T
+                start = chars[offsets[text]]
+                prints = [hashlib.sha256(data[a:b].tobytes()).hexdigest()[:16] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(first + text)), chars[s] - start, chars[e] - start, [_kind(row) for row in x], prints]
+                flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)), flat], [c.split()[0] for c in FOUND.split(", ")])
 
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col("doc_id").cast("long"), "text", source.alias("source")).mapInArrow(trimmed(run), FOUND)
 
 
-def weak_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings by rule, where none were reviewed."""
-    return found.filter("doc_id is not null").select("doc_id", "start", "end", F.col("context_key").alias("secret"))
-
-
 def train(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """Fit on at most ``sample`` labelled findings, half of each class: a bounded table."""
     at = ["doc_id", "start", "end"]
@@ -327,59 +365,68 @@ def score(found: DataFrame, model: Forest) -> DataFrame:
     return found.mapInArrow(trimmed(run), f"{schema}, score double")
 
 
-def model_for(docs: DataFrame, labels: DataFrame | None = None) -> tuple[Forest, Corpus, DataFrame]:
-    """A forest, what is usual in the corpus, and the candidates of ``docs``; labels by rule unless given."""
+def snippets(docs: DataFrame, n: int = SNIPPETS, size: int = 400) -> list[str]:
+    """A bounded sample of passages, by hash: where made-up findings are planted. Other rows are scored all the same."""
+    key = F.xxhash64("text")
+    at = F.pmod(key, F.greatest(F.char_length("text") - size, F.lit(1))) + 1
+    rows = docs.filter("text is not null").select(key.alias("key"), F.col("text").substr(at.cast("int"), F.lit(size)).alias("text")).distinct()
+    return [r.text for r in rows.orderBy("key", "text").limit(n).collect()]
+
+
+def planted_forest(passages: list[str], corpus: Corpus, least: int = LEAST, plain: bool = False, n: int = PLANTED) -> Forest:
+    """Fit on made-up findings set into passages, half of them secrets."""
+    made = plant(passages, n, plain=plain)
+    texts = pa.array([m.text for m in made])
+    at = {i: (m.start, m.end) for i, m in enumerate(made)}
+    x, y = [], []
+    for data, offsets, first, spans, figs in _examine(texts, pa.array([m.source for m in made]), corpus, least, plain):
+        for (i, s, e), row in zip(spans, figs, strict=True):
+            if (s - int(offsets[i]), e - int(offsets[i])) == at[first + i]:
+                x.append(row)
+                y.append(float(made[first + i].secret))
+    return fit(np.array(x, np.float32).reshape(-1, len(NAMES)), np.array(y))
+
+
+def model_for(docs: DataFrame, labels: DataFrame | None = None, least: int = LEAST, plain: bool = False) -> tuple[Forest, Corpus]:
+    """A forest and what is usual in the corpus; trained on planted findings unless labels are given."""
     corpus = corpus_of(docs)
-    found = Scratch(docs.sparkSession, "secrets").keep(find(docs, corpus), "found")
-    return train(found, weak_labels(found) if labels is None else labels), corpus, found
+    if labels is None:
+        return planted_forest(snippets(docs), corpus, least, plain), corpus
+    return train(find(docs, corpus, least, plain), labels), corpus
 
 
-def scan(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT) -> DataFrame:
+def scan(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT, least: int = LEAST, plain: bool = False) -> DataFrame:
     """Every candidate with its score and verdict."""
-    model, _, found = model_for(docs, labels)
-    by_rule = F.col("context_key") & F.lit(labels is None)
-    return score(found, model).withColumn("secret", (F.col("score") >= cut) | by_rule).drop("context_key")
+    model, corpus = model_for(docs, labels, least, plain)
+    return score(find(docs, corpus, least, plain), model).withColumn("secret", F.col("score") >= cut)
 
 
-def redact(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT) -> DataFrame:
+def redact(docs: DataFrame, labels: DataFrame | None = None, cut: float = CUT, least: int = LEAST, plain: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, secrets in ``text`` replaced and ``n_chars`` counted anew."""
-    model, corpus, _ = model_for(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((model, corpus))
+    shared = docs.sparkSession.sparkContext.broadcast(model_for(docs, labels, least, plain))
     names = docs.columns
-    by_rule = labels is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, usual = shared.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            sources = batch.column("source") if "source" in names else None
-            raws: dict[int, bytes] = {}
-            spans: list[tuple[int, int, int]] = []
-            figs = []
-            for i, text, s, e, x in _examine(batch.column(at), sources, usual):
-                raws[i] = text
-                spans.append((i, s, e))
-                figs.append(x)
-            if spans:
-                bad = forest.score(np.array(figs, np.float32)) >= cut
-                if by_rule:
-                    bad |= np.array([_strong(x) for x in figs])
-                pieces: dict[int, list[bytes]] = {}
-                ends: dict[int, int] = {}
-                for (i, s, e), b in zip(spans, bad, strict=True):  # in order of place
-                    if b:
-                        pieces.setdefault(i, []).append(raws[i][ends.get(i, 0) : s] + MASK.encode())
-                        ends[i] = e
-                texts = batch.column(at).to_pylist()
-                counts = batch.column("n_chars").to_pylist() if "n_chars" in names else None
+            cleaned: dict[int, str] = {}
+            for data, offsets, first, spans, x in _examine(batch.column(at), batch.column("source") if "source" in names else None, usual, least, plain):
+                raw, pieces, done = data.tobytes(), {}, {}
+                for (i, s, e), bad in zip(spans, forest.score(x) >= cut, strict=True):  # in order of place
+                    if bad:
+                        pieces.setdefault(i, []).append(raw[done.get(i, int(offsets[i])) : s] + MASK.encode())
+                        done[i] = e
                 for i, parts in pieces.items():
-                    texts[i] = (b"".join(parts) + raws[i][ends[i] :]).decode()
-                    if counts is not None:
-                        counts[i] = len(texts[i])
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                if counts is not None:
-                    j = batch.schema.get_field_index("n_chars")
-                    batch = batch.set_column(j, batch.schema.field(j), pa.array(counts, batch.schema.field(j).type))
+                    cleaned[first + i] = (b"".join(parts) + raw[done[i] : int(offsets[i + 1])]).decode()
+            if cleaned:
+                columns = {"text": cleaned} | ({"n_chars": {i: len(t) for i, t in cleaned.items()}} if "n_chars" in names else {})
+                for name, new in columns.items():
+                    j = batch.schema.get_field_index(name)
+                    values = batch.column(j).to_pylist()
+                    for i, v in new.items():
+                        values[i] = v
+                    batch = batch.set_column(j, batch.schema.field(j), pa.array(values, batch.schema.field(j).type))
             yield batch
 
     return docs.mapInArrow(trimmed(run), docs.schema)
