@@ -31,6 +31,16 @@ def test_a_repeated_document_is_one_labelled_row(spark):
     assert (a.feature == b.feature).all() and (a.threshold == b.threshold).all() and (a.leaf == b.leaf).all()
 
 
+def test_labels_of_absent_documents_change_nothing(spark):
+    words = ["alpha beta gamma delta", "AAA !!! ### 111"]
+    docs = spark.createDataFrame([(i, f"{words[i % 2]} {i} " * (3 + i % 4)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    absent = spark.range(1000, 201_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    a, b = gbt.train(docs, labels, sample=150), gbt.train(docs, labels.unionByName(absent), sample=150)
+    assert a.base == b.base and len(a.feature)
+    assert (a.feature == b.feature).all() and (a.threshold == b.threshold).all() and (a.leaf == b.leaf).all()
+
+
 def test_splits_are_those_of_an_exhaustive_search():
     """The first tree's root is the best of all splits of a small table; scores follow its leaves one by one."""
     import numpy as np

@@ -1,15 +1,16 @@
 """Histogram gradient-boosted trees over document statistics.
 
-The model is fitted on at most ``sample`` labelled documents (those whose hashed
-ids come first; of rows that share an id one stands for all), binned to ``BINS`` quantile bins, one complete tree of fixed
-depth a round. Trees are flattened into arrays and traversed for whole batches:
+The model is fitted on at most ``sample`` labelled documents of the table (those whose
+hashed ids come first; of rows that share an id one stands for all), binned to ``BINS``
+quantile bins, one complete tree of fixed depth a round. Trees are flattened into arrays and traversed for whole batches:
 node i's children are 2i + 1 and 2i + 2, so a level is one gather and compare.
 
 Defined results
 * null and empty texts are scored from zero statistics
 * null ``doc_id`` counts as training side; it has no label, so it is only scored
 * without labelled rows every score is 0.5; with one class only, its share
-* repeated rows are each scored; labels that contradict count with their mean
+* repeated rows are each scored; labels that contradict count as 1 if their mean is 0.5 or more
+* labels of absent documents take no place in the sample
 * an empty table gives no rows; more columns in the inputs are ignored
 """
 
@@ -117,11 +118,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Fit on the labelled training rows, ``sample`` at most: a bounded table of figures."""
     ship(docs.sparkSession)
-    chosen = (
-        labels.filter("quality is not null and doc_id is not null").filter(~held_out())
-        .groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
+    usable = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
+    # labels without a document take no place in the sample
+    there = docs.select("doc_id").join(usable, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "quality")  # at most ``sample`` ids
     rows = known.mapInArrow(trimmed(_features), "doc_id long, quality double, x array<float>")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("row")).select("doc_id", "row.*").toArrow().sort_by("doc_id")
