@@ -280,3 +280,25 @@ def test_files_roll_by_size_age_and_idleness(spark, tmp_path):
     got = spark.read.text(f"{tmp_path}/lines").select(F.get_json_object("value", "$.id").cast("long").alias("id"))
     assert sorted(r.id for r in got.collect()) == sorted(r[0] for r in made)
     assert spark.read.parquet(f"{tmp_path}/_open").filter(F.col("batch") == batch.n).count() == 0
+
+
+def test_the_registered_words_function_is_native(spark):
+    from tideline.functions import words as W
+
+    rows = [(1, "Phone 手机壳 A1 书"), (2, None), (3, ""), (4, "Zwölf-x_y 手 I'm"), (5, "ÀÉ ﬁ ٣٤")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    W.register(spark, "split_words_here")
+    df.createOrReplaceTempView("texts_here")
+    got = spark.sql("SELECT id, w.word FROM texts_here, LATERAL split_words_here(t) w")
+    assert rows_of(got) == rows_of(W.split_words(df, "t").select("id", "word")) and got.count() == 14
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_routing_joins_once(spark):
+    from tideline.operators import cdc as C
+
+    cdc = spark.createDataFrame([("a", "c", 1), ("b", "c", 2), (None, "c", 3)], "source_table string, op string, id long")
+    rules = spark.createDataFrame([("a", "dim_a")], "source_table string, sink_table string")
+    dim, fact = C.route_by_rules(cdc, rules)
+    assert [tuple(r) for r in dim.collect()] == [("a", "c", 1, "dim_a")]
+    assert rows_of(fact) == [("b", "c", 2), (None, "c", 3)] and fact.columns == cdc.columns

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 #: Fixed value: runs of CJK characters, or of letters and digits.
 RUNS = r"[一-龥]+|[\p{L}\p{N}&&[^一-龥]]+"
@@ -24,20 +23,9 @@ def split_words(df: DataFrame, text: str, word: str = "word") -> DataFrame:
     return df.withColumn(word, F.explode(words(text)))
 
 
-@udtf(returnType="word string")
-class SplitWords:
-    """The same rule for SQL's lateral joins."""
-
-    def eval(self, text: str | None):
-        import re
-
-        for run in re.findall(r"[一-龥]+|[^\W_一-龥]+", (text or "").lower()):
-            if len(run) > 1 and "一" <= run[0] <= "龥":
-                for i in range(len(run) - 1):
-                    yield (run[i : i + 2],)
-            else:
-                yield (run,)
-
-
 def register(spark: SparkSession, name: str = "split_words") -> None:
-    spark.udtf.register(name, SplitWords)
+    """The same rule as a table function for SQL's lateral joins; it is inlined into the query, no Python runs."""
+    pairs = "transform(sequence(1, greatest(length(r) - 1, 1)), i -> substr(r, i, 2))"
+    runs = f"regexp_extract_all(lower(coalesce(text, '')), r'{RUNS}', 0)"
+    each = f"transform({runs}, r -> CASE WHEN r RLIKE r'{_CJK}' THEN {pairs} ELSE array(r) END)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS TABLE(word STRING) RETURN SELECT explode(flatten({each}))")

@@ -98,15 +98,25 @@ def current_rules(rule_cdc: DataFrame, key: str = "source_table") -> DataFrame:
     return last.select(*[F.try_element_at("rule", F.lit(n)).alias(n) for n in names])
 
 
-def route_by_rules(cdc: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose table has a rule, with the rule; and the rest.
+def with_rules(cdc: DataFrame, rules: DataFrame) -> DataFrame:
+    """All rows with their table's rule, ``ruled`` where there is one: one join.
 
     The rules describe tables, one row each, and are far below any broadcast
     limit; Spark's own size check decides, so a larger table is shuffled.
     """
     named = cdc.withColumn("source_table", table_of(cdc))
-    both = named.join(rules.withColumn("ruled", F.lit(True)), "source_table", "left")
-    return both.filter("ruled").drop("ruled"), named.join(rules.select("source_table"), "source_table", "left_anti")
+    return named.join(rules.withColumn("ruled", F.lit(True)), "source_table", "left")
+
+
+def split_by_rules(routed: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``with_rules`` that have a rule, with it; and the rest without its columns."""
+    own = [c for c in rules.columns if c != "source_table"]
+    return routed.filter("ruled").drop("ruled"), routed.filter("ruled is null").drop("ruled", *own)
+
+
+def route_by_rules(cdc: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose table has a rule, with the rule; and the rest."""
+    return split_by_rules(with_rules(cdc, rules), rules)
 
 
 def route_facts(cdc: DataFrame, rules: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cdc import route_by_rules
+from ..operators.cdc import split_by_rules, with_rules
 from ..operators.changelog import latest, retract_pairs
 from ..sources.sinks import upserts
 from ..sources.tables import BucketTable, Files, commit_batch, committed
@@ -112,9 +112,11 @@ def route_stream(cdc: DataFrame, rules_now: Callable[[int], DataFrame], path: st
             rows = df
             if mine:
                 rows = spark.read.schema(df.schema).parquet(*[f"{waits}/batch={b}" for b in mine]).unionByName(df)
-        dim, fact = route_by_rules(rows, rules)
+        routed = with_rules(rows, rules).persist()  # joined once for both sides
+        dim, fact = split_by_rules(routed, rules)
         commit_batch(dim, dims, batch_id)
         commit_batch(fact, facts, batch_id)
+        routed.unpersist()
 
     each_batch(cdc, path, work)
     return dims, facts
