@@ -210,7 +210,10 @@ def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, plain:
             whole += keys + _outside(signed, keys)
     whole.sort()
     named, at = [], 0
-    while m := _ASSIGNED.search(raw, at):
+    for hit in _named_places(LOWER[data].tobytes()):
+        m = _ASSIGNED.match(raw, hit) if hit >= at else None
+        if not m:
+            continue
         i = int(np.searchsorted(offsets, m.start(), side="right")) - 1
         a, at = m.start(1), min(m.end(1), int(offsets[i + 1]))  # texts stand side by side: a value ends with its text
         b = a + len(raw[a:at].rstrip(b".:"))
@@ -220,6 +223,17 @@ def candidates(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, plain:
     return sorted(_outside(_outside(runs, named), whole) + named + whole)
 
 
+def _named_places(lowered: bytes) -> list[int]:
+    """Where one of the names in ``_ASSIGNED`` begins; plain searches, much faster than the pattern."""
+    out = []
+    for name in (b"token", b"secret", b"password", b"passwd", b"pwd", b"passphrase", b"apikey", b"api_key", b"accesskey", b"access_key", b"credential", b"signature"):
+        at = lowered.find(name)
+        while at >= 0:
+            out.append(at)
+            at = lowered.find(name, at + 1)
+    return sorted(out)
+
+
 def _outside(spans: list[tuple[int, int, int]], whole: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The spans that meet none of ``whole``, which is sorted and disjoint."""
     ends = [e for _, _, e in whole]
@@ -367,10 +381,11 @@ def score(found: DataFrame, model: Forest) -> DataFrame:
 
 def snippets(docs: DataFrame, n: int = SNIPPETS, size: int = 400) -> list[str]:
     """A bounded sample of passages, by hash: where made-up findings are planted. Other rows are scored all the same."""
-    key = F.xxhash64("text")
-    at = F.pmod(key, F.greatest(F.char_length("text") - size, F.lit(1))) + 1
-    rows = docs.filter("text is not null").select(key.alias("key"), F.col("text").substr(at.cast("int"), F.lit(size)).alias("text")).distinct()
-    return [r.text for r in rows.orderBy("key", "text").limit(n).collect()]
+    hashed = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text")
+    keys = [r.key for r in hashed.select("key").distinct().orderBy("key").limit(n).collect()]  # copies are one
+    at = F.pmod("key", F.greatest(F.char_length("text") - size, F.lit(1))) + 1
+    some = hashed.filter(F.col("key").isin(keys)).groupBy("key").agg(F.min(F.col("text").substr(at.cast("int"), F.lit(size))).alias("text"))
+    return [r.text for r in some.orderBy("key").collect()] if keys else []
 
 
 def planted_forest(passages: list[str], corpus: Corpus, least: int = LEAST, plain: bool = False, n: int = PLANTED) -> Forest:
