@@ -302,3 +302,54 @@ def test_routing_joins_once(spark):
     dim, fact = C.route_by_rules(cdc, rules)
     assert [tuple(r) for r in dim.collect()] == [("a", "c", 1, "dim_a")]
     assert rows_of(fact) == [("b", "c", 2), (None, "c", 3)] and fact.columns == cdc.columns
+
+
+# --- outside sources -------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def database(spark):
+    """A database inside the JVM, with 1,000 orders, three of them without a number."""
+    url = "jdbc:derby:memory:orders;create=true"
+    rows = spark.range(1000).select(F.when(F.col("id") % 400 != 7, F.col("id")).alias("ORDER_ID"), (F.col("id") % 7).cast("int").alias("USER_ID"), F.concat(F.lit("n"), "id").alias("ORDER_NAME"))
+    rows.write.format("jdbc").options(url=url, dbtable="ORDERS", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    return url
+
+
+def test_a_query_is_read_by_one_task_or_by_many(spark, database):
+    from tideline.sources import readers as R
+
+    sql = "SELECT ORDER_ID, ORDER_NAME FROM ORDERS WHERE USER_ID < 5"
+    one = R.read_query(spark, database, sql, camel_names=True)
+    many = R.read_query(spark, database, sql, camel_names=True, by="ORDER_ID", parts=5)
+    given = R.read_query(spark, database, sql, split=("ORDER_ID", 300, 600, 3))
+    assert one.columns == many.columns == ["orderId", "orderName"]
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 5 and given.rdd.getNumPartitions() == 3
+    assert rows_of(one) == rows_of(many) == rows_of(given) and one.count() > 700
+    assert max(r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()) < 200
+    assert R.query_bounds(spark, database, sql, "ORDER_ID", 5) == ("ORDER_ID", 0, 998, 5)
+    none = R.read_query(spark, database, "SELECT ORDER_ID FROM ORDERS WHERE USER_ID > 50", by="ORDER_ID")
+    assert none.count() == 0
+
+
+def test_kafka_reads_are_told_where_to_begin_and_end():
+    from tideline.sources.readers import topic_options
+
+    assert topic_options("h:1", "t") == {"kafka.bootstrap.servers": "h:1", "subscribe": "t", "startingOffsets": "earliest"}
+    got = topic_options("h:1", ["a", "b"], {"a": {1: 5, 0: "latest"}, "b": {0: "earliest"}}, end=1_700_000_000_000, per_trigger=9, min_parts=40)
+    assert got["startingOffsets"] == '{"a": {"0": -1, "1": 5}, "b": {"0": -2}}' and got["endingTimestamp"] == "1700000000000"
+    assert got["subscribe"] == "a,b" and got["maxOffsetsPerTrigger"] == "9" and got["minPartitions"] == "40"
+    assert topic_options("h:1", "t", 5, "latest")["startingTimestamp"] == "5"
+    for bad in ({"start": "first"}, {"end": "earliest"}, {"start": {"other": {0: 1}}}):
+        with pytest.raises(ValueError):
+            topic_options("h:1", "t", **bad)
+
+
+def test_folders_of_streams_can_be_removed(spark):
+    from tideline.streaming.run import clear_work, work_dir
+
+    path = work_dir(spark, "gone")
+    spark.range(3).write.parquet(f"{path}/rows")
+    assert Files(spark, path).exists(path)
+    clear_work(spark)
+    assert not Files(spark, path).exists(path)

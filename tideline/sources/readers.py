@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,45 @@ def read_lines(spark: SparkSession, path: str, stream: bool = False, per_trigger
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
 
 
-def read_topic(spark: SparkSession, servers: str, topic: str, offsets: str = "earliest") -> DataFrame:
-    """Values of a Kafka topic as text; needs Spark's Kafka package on the cluster."""
-    stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    return stream.option("startingOffsets", offsets).load().select(F.col("value").cast("string").alias("value"))
+#: Kafka's numbers for the ends of a partition.
+EDGES = {"latest": -1, "earliest": -2}
+
+Offsets = str | int | Mapping[str, Mapping[int, int | str]]
+
+
+def topic_options(servers: str, topics: str | Sequence[str], start: Offsets = "earliest", end: Offsets | None = None, per_trigger: int | None = None, min_parts: int | None = None) -> dict[str, str]:
+    """Options of a Kafka read.
+
+    ``start`` and ``end`` are ``earliest`` or ``latest``, a time in milliseconds, or offsets by topic
+    and partition, each a number or one of the two words. A range with an ``end`` is a batch read.
+    ``min_parts`` splits large partitions over tasks, ``per_trigger`` bounds a stream's batches.
+    """
+    names = [topics] if isinstance(topics, str) else list(topics)
+    out = {"kafka.bootstrap.servers": servers, "subscribe": ",".join(names)}
+    for side, at in (("starting", start), ("ending", end)):
+        if at is None:
+            continue
+        if isinstance(at, str):
+            if at not in EDGES or (side, at) == ("ending", "earliest"):
+                raise ValueError(f"{side} offsets cannot be {at!r}")
+            out[f"{side}Offsets"] = at
+        elif isinstance(at, int):
+            out[f"{side}Timestamp"] = str(at)
+        else:
+            if set(at) - set(names):
+                raise ValueError(f"offsets of topics that are not read: {sorted(set(at) - set(names))}")
+            out[f"{side}Offsets"] = json.dumps({t: {str(p): EDGES.get(o, o) for p, o in sorted(ps.items())} for t, ps in at.items()})
+    if per_trigger:
+        out["maxOffsetsPerTrigger"] = str(per_trigger)
+    if min_parts:
+        out["minPartitions"] = str(min_parts)
+    return out
+
+
+def read_topic(spark: SparkSession, servers: str, topics: str | Sequence[str], start: Offsets = "earliest", end: Offsets | None = None, **options: int) -> DataFrame:
+    """Values of Kafka topics as text, a stream or, with an ``end``, a batch; needs Spark's Kafka package on the cluster."""
+    reader = (spark.readStream if end is None else spark.read).format("kafka").options(**topic_options(servers, topics, start, end, **options))
+    return reader.load().select(F.col("value").cast("string").alias("value"))
 
 
 def read_table(spark: SparkSession, path: str, stream: bool = False, per_trigger: int | None = None) -> DataFrame:
@@ -69,8 +105,24 @@ def query_options(url: str, sql: str, split: tuple[str, object, object, int] | N
     return {"url": url, "dbtable": f"({sql}) q"} | bounds  # Spark splits tables only, not queries
 
 
-def read_query(spark: SparkSession, url: str, sql: str, camel_names: bool = False, split: tuple[str, object, object, int] | None = None, **options: str) -> DataFrame:
-    """Rows of a JDBC query; needs the database's driver on the cluster. Without ``split`` one task reads all."""
+def query_bounds(spark: SparkSession, url: str, sql: str, column: str, parts: int, **options: str) -> tuple[str, object, object, int] | None:
+    """How to split a query by a column: its least and greatest value, which the database finds. None if there is none."""
+    ends = f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM ({sql}) q"
+    row = spark.read.format("jdbc").options(**query_options(url, ends), **options).load().first()
+    return None if row is None or row[0] is None else (column, row[0], row[1], parts)
+
+
+def read_query(
+    spark: SparkSession, url: str, sql: str, camel_names: bool = False, split: tuple[str, object, object, int] | None = None, by: str | None = None, parts: int | None = None, **options: str
+) -> DataFrame:
+    """Rows of a JDBC query; needs the database's driver on the cluster.
+
+    ``split`` has the bounds of a column to read by; ``by`` names the column alone, whose bounds
+    are then asked for, and is read by ``parts`` tasks, one a core unless told otherwise. Rows whose
+    value is null or beyond the bounds are read too. Without either one task reads all.
+    """
+    if by is not None:
+        split = query_bounds(spark, url, sql, by, parts or spark.sparkContext.defaultParallelism, **options)
     df = spark.read.format("jdbc").options(**query_options(url, sql, split), **options).load()
     return camel_columns(df) if camel_names else df
 

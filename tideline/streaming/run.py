@@ -24,7 +24,18 @@ def work_dir(spark: SparkSession, what: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tideline-stream-")
-    return f"{base}/tideline-{what}-{uuid.uuid4().hex}"
+    _made.append(f"{base}/tideline-{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+_made: list[str] = []
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove the folders that ``work_dir`` has named so far; what is read from them must have been used."""
+    while _made:
+        path = _made.pop()
+        Files(spark, path).delete(path)
 
 
 @contextmanager
