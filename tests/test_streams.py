@@ -13,7 +13,7 @@ from tideline.operators import windows as A
 from tideline.sources import sinks as O
 from tideline.sources.tables import BucketTable, Files, commit_batch, committed
 from tideline.streaming import state
-from tideline.streaming.run import drain, keep_rules, kept_rules, lookup_stream, retract_stream, route_stream
+from tideline.streaming.run import drain, keep_rules, kept_rules, late_rows_aside, lookup_stream, retract_stream, route_stream
 
 PAGES = "user string, _is_new string, ts long, id long, cents long"
 
@@ -353,3 +353,22 @@ def test_folders_of_streams_can_be_removed(spark):
     assert Files(spark, path).exists(path)
     clear_work(spark)
     assert not Files(spark, path).exists(path)
+
+
+def test_rows_after_their_window_has_closed_are_put_aside(spark, tmp_path):
+    schema = "id long, ms long"
+    # delay 5, windows of 10: after 27 the watermark is 22, so windows up to 20 are closed
+    parts = [[(0, 1_000), (1, 12_000), (2, 27_000)], [(10, 3_000), (11, 19_999), (12, 20_000), (13, None), (14, 60_000)], [(20, 49_999), (21, 50_000), (22, 27_000)]]
+    for stream in arrivals(spark, tmp_path, schema, parts):
+        timed = stream.withColumn("et", F.timestamp_millis("ms"))
+        for _ in range(2):  # the second run finds nothing new
+            in_time, late = late_rows_aside(timed, str(tmp_path / "out"), 10, 5)
+    assert sorted(r.id for r in spark.read.parquet(late).collect()) == [10, 11, 20, 22]
+    assert sorted(r.id for r in spark.read.parquet(in_time).collect()) == [0, 1, 2, 12, 13, 14, 21]
+
+
+def test_processing_time_is_now(spark):
+    from tideline.functions import scalars as S
+
+    seconds = spark.range(1).select(F.unix_timestamp(S.processing_time()).alias("t")).first().t
+    assert abs(seconds - time.time()) < 60

@@ -22,7 +22,7 @@ from ..sources import readers as R
 from ..sources import sinks as O
 from ..sources.tables import BucketTable
 from ..streaming import state
-from ..streaming.run import drain, each_batch, keep_rules, kept_rules, lookup_stream, retract_stream, route_stream, work_dir
+from ..streaming.run import drain, each_batch, keep_rules, kept_rules, late_rows_aside, lookup_stream, retract_stream, route_stream, work_dir
 from . import fixtures as X
 from .fixtures import with_views
 from .catalog import query as _query
@@ -338,6 +338,23 @@ def st8(spark, d):
     return read(dims, "dim").unionByName(read(facts, "fact"))
 
 
+@query(
+    "st5_late_rows_stream",
+    """WITH e AS (SELECT event_id, MS(ts) AS ts, CASE WHEN event_id % 50 = 0 THEN 2 ELSE event_id * 2 // (SELECT max(event_id) + 1 FROM events) END AS b FROM events),
+m AS (SELECT b, max(ts) AS top FROM e GROUP BY b), marks AS (SELECT x.b, max(y.top) - 10000 AS mark FROM m x JOIN m y ON y.b < x.b GROUP BY x.b)
+SELECT event_id, coalesce((ts // 10000 + 1) * 10000 <= mark, false) AS late FROM e LEFT JOIN marks USING (b)""",
+)
+def st5(spark, d):
+    """Every fiftieth event comes with the last of three arrivals; those whose window has closed by then are put aside."""
+    path = work_dir(spark, "st5")
+    rows = _events(spark, d, stream=False).select("event_id", F.timestamp_millis("ts").alias("et"))
+    top = rows.agg(F.max("event_id")).first()[0]
+    arrival = F.when(F.col("event_id") % 50 == 0, 2).otherwise(F.floor(F.col("event_id") * 2 / (top + 1)))
+    for stream in _arrive([rows.filter(arrival == i) for i in range(3)], path):
+        in_time, late = late_rows_aside(stream, f"{path}/out", size_s=10, delay_s=10)
+    return spark.read.parquet(in_time).select("event_id", F.lit(False).alias("late")).unionByName(spark.read.parquet(late).select("event_id", F.lit(True).alias("late")))
+
+
 @query("st9_side_outputs_stream", "SELECT true AS good, event_id FROM events WHERE K(props) % 2 = 0 UNION ALL SELECT false, event_id FROM events WHERE K(props) % 2 = 1")
 def st9(spark, d):
     path = work_dir(spark, "st9")

@@ -133,6 +133,38 @@ def route_stream(cdc: DataFrame, rules_now: Callable[[int], DataFrame], path: st
     return dims, facts
 
 
+def late_rows_aside(stream: DataFrame, path: str, size_s: int, delay_s: int, time: str = "et") -> tuple[str, str]:
+    """Rows in time and, aside, rows that come after their window has closed; Spark's own windows drop these unseen.
+
+    A row is late if its window of ``size_s`` seconds ends at or before the watermark, which is the
+    greatest event time of all earlier batches less the delay. The greatest time up to a batch is noted before
+    the batch is written, so a replay splits it as before.
+    """
+    spark, files = stream.sparkSession, Files(stream.sparkSession, path)
+    in_time, late = f"{path}/in_time", f"{path}/late"
+
+    def top(batch_id: int) -> int | None:
+        pin = f"{path}/tops/{batch_id}"
+        return int(files.read(pin)) if batch_id >= 0 and files.exists(pin) else None
+
+    def work(df: DataFrame, batch_id: int) -> None:
+        before = top(batch_id - 1)
+        if top(batch_id) is None:
+            own = df.agg(F.max(F.unix_micros(time))).first()[0]
+            known = [t for t in (before, own) if t is not None]
+            if known:
+                files.write_once(f"{path}/tops/{batch_id}", str(max(known)))
+        closed = F.lit(False)
+        if before is not None:
+            end = (F.floor(F.unix_micros(time) / (size_s * 1_000_000)) + 1) * (size_s * 1_000_000)
+            closed = F.coalesce(end <= before - delay_s * 1_000_000, F.lit(False))
+        commit_batch(df.filter(~closed), in_time, batch_id)
+        commit_batch(df.filter(closed), late, batch_id)
+
+    each_batch(stream, path, work)
+    return in_time, late
+
+
 RULE_COLUMNS = ("source_table", "sink_table", "sink_family", "sink_columns", "sink_row_key")
 
 
