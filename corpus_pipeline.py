@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents.
+
+Defined results of all stages
+* an empty table gives an empty one; columns beside those of documents go on unchanged to the
+  last stage, whatever their names
+* a null or empty text and a null doc_id are rows like others: they are scored, linked with
+  nothing, hold no passage and no secret, and are packed as one end token
+* ties and repeated rows are said with each stage
 """
 
 from __future__ import annotations
@@ -14,27 +21,34 @@ from tideline.llm.store import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; a repeated row is accepted or rejected as often as it occurs.
+
+    Without usable labels every score is 0.5 and no document is kept.
+    """
     return gbt.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, 0.8 or more.
+
+    Of a group the row of the smallest doc_id stays, and of rows that share a doc_id one. Rows
+    without a doc_id stay; texts without words are in no group.
+    """
     return neardup.one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; repeated rows are dropped or kept together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked and ``n_chars`` counted anew; repeated rows are masked alike."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in packed windows."""
+    """Pieces of the documents in packed windows; repeated rows and ids are packed one by one."""
     return packing.pack(docs, tokenizer_path())
 
 
