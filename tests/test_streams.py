@@ -35,8 +35,8 @@ def pages():
     return [(f"u{i % 3 if i % 2 else 0}", "1" if i % 4 else "0", 5 * day + (i // 2) * day // 7, i, None if i % 9 == 0 else i) for i in range(90)]
 
 
-@pytest.mark.parametrize("frame_rows", [10_000, 4])
-def test_rows_in_any_order_give_the_batch_result(spark, tmp_path, frame_rows):
+@pytest.mark.parametrize("frame_rows,names", [(10_000, ("first", "new")), (4, ("pairs",))])
+def test_rows_in_any_order_give_the_batch_result(spark, tmp_path, frame_rows, names):
     rows = pages()
     day = 86_400_000
     jumbled = sorted(rows, key=lambda r: r[2] + (r[3] * 7919) % 100 * day // 100)
@@ -52,6 +52,8 @@ def test_rows_in_any_order_give_the_batch_result(spark, tmp_path, frame_rows):
             ("new", lambda s: state.fix_is_new(s, "user", "_is_new", "ts", "id", delay="1 day", slice_ms=day // 3), K.fix_is_new(whole, "user", "_is_new", "ts", "id")),
             ("pairs", lambda s: state.retract_pairs(s, ["user"], "ts", "id", ["cents"], delay="1 day"), L.retract_pairs(whole, ["user"], ["ts", "id"], ["cents"])),
         ):
+            if name not in names:
+                continue
             for stream in arrivals(spark, tmp_path / name, PAGES, parts):
                 got = drain(run(stream), str(tmp_path / name / "out"))
             assert rows_of(got) == rows_of(want.withColumn("cents", F.col("cents").cast("long"))), name
