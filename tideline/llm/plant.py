@@ -88,7 +88,8 @@ class _Maker:
         if r.random() < 0.15:
             return f'{{"{name}": "', '"}'
         if r.random() < 0.12 and not set(value) & set("&?#"):
-            return f"https://{r.choice(WORDS)}.{r.choice(['com', 'org', 'io'])}/v{r.randint(1, 3)}?{r.choice(OTHERS)}={r.randint(1, 99)}&{name}=", r.choice(["", "&page=2", " now"])
+            host = f"https://{r.choice(WORDS)}.{r.choice(['com', 'org', 'io'])}"
+            return f"{host}/v{r.randint(1, 3)}?{r.choice(OTHERS)}={r.randint(1, 99)}&{name}=", r.choice(["", "&page=2", " now"])
         return f"{r.choice(['', '', 'export ', 'config ', 'run with ', 'the '])}{name}{r.choice(['=', '=', ' = ', ': ', ':', ' => ', ' := '])}{quote}", quote + r.choice(["", "", "\n", " end", ";", ",", " # set here"])
 
     def aside(self, text: str) -> str:
