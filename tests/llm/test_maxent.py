@@ -39,13 +39,64 @@ def model_of(batch, named=maxent.NAMED):
 TEXTS = [f"the {'ab' * (i % 5 + 1)} of word{i} Ünder" for i in range(100)] + ["", "one"]
 
 
-def test_every_training_position_takes_a_step():
+COLUMNS = ["doc_ids", "held", "lens", "ids", "vocab", "tail"]
+
+
+def sums(model, turn, *batches):
+    """Seen and drawn counts by weight, each batch a task of its own."""
+    sent = [b for batch in batches for b in maxent._count(SimpleNamespace(value=model), turn)(iter([batch.select(COLUMNS)]))]
+    seen, drawn = np.zeros((2, *model.weights.shape), np.float32)
+    for out in maxent._add(iter(sent)):
+        for block, *pair in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            for table, raw in zip((seen, drawn), pair, strict=True):
+                if raw:
+                    table[block * maxent.BLOCK_ROWS : (block + 1) * maxent.BLOCK_ROWS] = np.frombuffer(raw, np.float32).reshape(-1, maxent.WIDTH)
+    return seen, drawn
+
+
+def test_every_training_position_is_in_the_gradient():
     held = [i % 7 == 2 for i in range(len(TEXTS))]
     batch = chunk_of(TEXTS, held)
-    out = list(maxent._steps(SimpleNamespace(value=model_of(batch)), 0)(iter([batch.select(["chunk", "held", "lens", "ids", "vocab", "tail"])])))
-    used = sum(sum(b.column(1).to_pylist()) for b in out)
-    positions = sum(len(t.split()) + 1 for t, h in zip(TEXTS, held, strict=True) if not h)
-    assert used == 2 * maxent.FEATURES * positions
+    ids, lens, vocab, tail, _ = cells(batch)
+    model = model_of(batch)
+    seen, drawn = sums(model, 0, batch)
+    group, slot = model.places(vocab, tail)
+    at = np.flatnonzero(~np.repeat(held, lens))
+    rows = maxent.History(vocab, ids, lens).rows(at, group[ids[at]], len(model.weights) // 2)
+    want = np.zeros_like(seen)
+    for j, r in enumerate(rows):
+        for row, outcome in zip(r, (group if j < maxent.FEATURES else slot)[ids[at]], strict=True):
+            want[row, outcome] += 1
+    assert (seen == want).all() and seen.sum() == 2 * maxent.FEATURES * len(at)
+    assert (drawn.sum(axis=1) == seen.sum(axis=1)).all()  # a draw a position and feature
+    later, again = sums(model, 1, batch)
+    assert not later.any() and again.sum() == seen.sum() and (again != drawn).any()
+
+
+def test_sums_do_not_see_how_documents_lie_in_chunks():
+    ids = list(range(len(TEXTS)))
+    whole = chunk_of(TEXTS)
+    model = model_of(whole)
+
+    def part(which):
+        chunk = maxent._Chunk()
+        texts = [TEXTS[i] for i in which]
+        offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+        chunk.add(list(which), [False] * len(texts), Words(np.frombuffer("".join(texts).encode(), np.uint8), offsets))
+        return chunk.batch(7)
+
+    for a, b in zip(sums(model, 0, whole), sums(model, 0, part(ids[40:][::-1]), part(ids[:40:2]), part(ids[1:40:2])), strict=True):
+        assert (a == b).all()
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    texts = [" ".join(f"w{(i * 7 + j * j) % 23} of{(i + j) % 5}" for j in range(i % 40)) for i in range(400)] + ["", None] + ["the same row of words"] * 100
+    rows = [(i if i < 450 else 450, t) for i, t in enumerate(texts)] + [(None, "no id here"), (2**63 - 1, "the last id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.doc_id is not None, r.doc_id, r.n_tokens, round(r.score, 3)) for r in maxent.score(docs.repartition(n)).filter("doc_id is not null").collect()) for n in (2, 16, 64)]
+    assert len(got[0]) == len(rows) - 1
+    for other in got[1:]:
+        assert all(a[:3] == b[:3] and abs(a[3] - b[3]) <= 0.001 * a[2] for a, b in zip(got[0], other, strict=True))
 
 
 def test_scores_equal_a_direct_version_and_add_up_to_one():
@@ -99,7 +150,7 @@ def test_draws_follow_the_softmax():
     assert np.abs(seen - want).max() < 0.005
 
 
-def test_steps_learn_what_follows_what():
+def test_rounds_learn_what_follows_what():
     texts = ["a b c d a b c d a b c d", "d c b a d c b a"] * 200
     batch = chunk_of(texts)
     ids, lens, vocab, tail, _ = cells(batch)
@@ -107,12 +158,11 @@ def test_steps_learn_what_follows_what():
     group, slot = model.places(vocab, tail)
     history, every = maxent.History(vocab, ids, lens), np.arange(len(ids))
     before = model.log_probs(history, every, group[ids], slot[ids]).mean()
+    seen = None
     for turn in range(12):
-        weights = model.weights.copy()
-        for out in maxent._steps(SimpleNamespace(value=model), turn)(iter([batch.select(["chunk", "held", "lens", "ids", "vocab", "tail"])])):
-            for bucket, row in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
-                weights[bucket] += np.frombuffer(row, np.float16)
-        model = replace(model, weights=weights)
+        first, drawn = sums(model, turn, batch)
+        seen = first if turn == 0 else seen
+        model = replace(model, weights=maxent.moved(model.weights, seen, drawn, 0.4))
     assert model.log_probs(history, every, group[ids], slot[ids]).mean() > before + 0.5
 
 

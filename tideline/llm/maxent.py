@@ -14,23 +14,26 @@ local token numbers and the chunk's distinct token hashes with their training
 counts; counts are then summed over all chunks by token. Those of tokens with at
 least one ``FREQUENT``-th of all training tokens, so at most ``FREQUENT`` of them,
 are broadcast in 16 bytes each; those of all other tokens are sent back by a join,
-one row a token and chunk instead of one a token and document. In each round every chunk
-takes gradient steps from the shared weights over all its training positions, in
-mini-batches of ``BATCH``. The gradient is (what the model expects) - (what is
-there); the expectation is taken by one draw a position from the model, which
-has the same mean as the whole sum and touches two weights a feature instead of
-``WIDTH``. Rows touched are averaged by bucket, weighted by use, streaming in
-bounded memory.
+one row a token and chunk instead of one a token and document. The gradient of a
+weight is (how often its feature and outcome are there) - (how often the model
+expects them), over every training position of the corpus. The expectation is
+taken by one draw a position from the model, which has the same mean as the whole
+sum and touches one weight a feature instead of ``WIDTH``; the draw is hashed from
+the document, its id and the position. So both sides are whole counts, which tasks
+add up for their chunks and one shuffle for all tasks, and no score depends on how
+rows lie in partitions. A round moves each weight by its ``RATES`` times the log of
+there over expected, both damped: the step of iterative scaling, which needs no
+learning rate by feature. Sums leave a task as compressed blocks of ``BLOCK_ROWS`` rows.
 
 The weights are a table of 2 x ``buckets`` rows that is sent to every task.
-``buckets`` grows with the training tokens from 2^14 to 2^16, where the table has
-25 MB; counts and positions grow with the corpus without bound. Tokens are
-compared by 64-bit hashes.
+``buckets`` grows with the training tokens from 2^14 to ``most_buckets`` (2^16 unless
+said otherwise, where the table has 25 MB); counts and positions grow with the corpus
+without bound. Tokens are compared by 64-bit hashes.
 
 Defined results
 * null or empty text: the end token alone
 * null ``doc_id``: a training document
-* repeated rows count as often as they occur
+* repeated rows count as often as they occur; rows equal in id and text draw alike
 * without training documents every token is unseen and every class has one share; an empty table gives no rows; more columns are ignored
 """
 
@@ -54,10 +57,12 @@ NAMED = 4096  # frequent tokens looked at for slots
 FREQUENT = 1 << 18  # 4 MB of hashes and counts
 BUCKETS = (1 << 14, 1 << 16)
 TOKENS_A_BUCKET = 8192
-ROUNDS = 2
-RATE = 0.15
-DAMPING = 10.0  # a weight seen a few times moves little
-BATCH = 1 << 16
+RATES = (0.5, 0.4)  # one a round
+DAMPING = 8.0  # a weight seen a few times moves little
+MOST = 6.0  # log ratio of one round
+BATCH = 1 << 18  # positions counted at a time
+BLOCK_ROWS = 64  # weight rows a block of sums
+TASKS_A_CORE = 4  # of a round: each task sends its sums once
 SLICE = 1 << 14  # positions whose probabilities are held at a time
 CHUNK_BYTES = 8 << 20
 END = np.uint64(1)
@@ -305,63 +310,92 @@ def _draw(logits: np.ndarray, u: np.ndarray) -> np.ndarray:
     return block * _BLOCK + inside
 
 
-def _steps(shared, turn: int):
-    """Gradient steps over one chunk after another; emits how touched rows changed and how often each was used."""
+def _keys(doc_ids: list, vocab: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A hash a position: of the document's id, its tokens in order and the place in it."""
+    first = np.cumsum(lens) - lens
+    place = np.arange(len(ids), dtype=U64) - np.repeat(first.astype(U64), lens)
+    place *= U64(2)
+    place += U64(1)
+    text = np.add.reduceat(mix(vocab)[ids] * place, first)
+    number = np.array([0 if d is None else d for d in doc_ids], np.int64).view(U64)
+    return np.repeat(mix(text ^ mix(number)), lens) + place * U64(0x9E3779B97F4A7C15)
+
+
+def _chances(keys: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two even numbers from 0 to 1 a position; the same wherever the position is handled."""
+    h = mix(keys ^ U64((turn + 1) * 0xD1B54A32D192ED03 % 2**64))
+    return tuple((x & U64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24) for x in (h >> U64(40), h >> U64(8)))
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """Whole numbers byte by byte and compressed: high bytes are mostly empty."""
+    return pa.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 * BLOCK_ROWS * WIDTH, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
+
+
+SUMS = "block int, seen binary, drawn binary"
+
+
+def _count(shared, turn: int):
+    """How often each weight's feature and outcome are there (in the first round) and are drawn, by blocks of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = replace(shared.value, weights=shared.value.weights.copy())
-        w = model.weights.reshape(-1)
-        square = np.full(len(w), DAMPING, np.float32)
-        used = np.zeros(len(model.weights), np.int64)
+        model: Model = shared.value
+        sums = [np.zeros(model.weights.size, np.int64) for _ in range(1 if turn else 2)]
         for batch in batches:
-            for chunk, held, lens, ids, vocab, tail in _cells(batch, "chunk held lens ids vocab tail"):
-                random = np.random.default_rng((turn, chunk))  # the same again if the task is repeated
+            for doc_ids, held, lens, ids, vocab, tail in _cells(batch, "doc_ids held lens ids vocab tail"):
                 ids, lens, vocab = _from_planes(ids), np.array(lens, np.int64), np.frombuffer(vocab, U64)
                 group, slot = model.places(vocab, np.frombuffer(tail, np.uint8))
-                history = History(vocab, ids, lens)
+                history, keys = History(vocab, ids, lens), _keys(doc_ids, vocab, ids, lens)
                 at = np.flatnonzero(np.repeat(~np.array(held, bool), lens)).astype(np.int32)
                 for a in range(0, len(at), BATCH):
-                    cells, lost = [], []
+                    cells: list[list[np.ndarray]] = [[] for _ in sums]
                     for i in range(a, min(a + BATCH, len(at)), SLICE):
                         part = at[i : min(i + SLICE, a + BATCH)]
                         g, s = group[ids[part]], slot[ids[part]]
                         rows = history.rows(part, g, len(model.weights) // 2)
-                        used += np.bincount(rows.ravel(), minlength=len(used))
-                        u = random.random((2, len(part)), np.float32)
-                        drawn = _draw(model.class_logits(rows), u[0]), _draw(model.slot_logits(rows, g), u[1])
-                        for seen, got, r in zip((g, s), drawn, (rows[:FEATURES], rows[FEATURES:]), strict=True):
-                            off = np.flatnonzero(seen != got)  # elsewhere both sides cancel out
-                            at_row = r[:, off] * WIDTH
-                            cells.append((at_row + got[off]).ravel())
-                            lost.append((at_row + seen[off]).ravel())
-                    step = np.bincount(np.concatenate(cells), minlength=len(w))
-                    step -= np.bincount(np.concatenate(lost), minlength=len(w))
-                    cell = np.flatnonzero(step)
-                    step = step[cell].astype(np.float32)
-                    square[cell] += step * step
-                    w[cell] -= RATE * step / np.sqrt(square[cell])
-                cells = lost = ids = history = at = None
+                        u, v = _chances(keys[part], turn)
+                        drawn = _draw(model.class_logits(rows), u), _draw(model.slot_logits(rows, g), v)
+                        rows *= WIDTH
+                        for out, pair in zip(reversed(cells), (drawn, (g, s)), strict=False):  # in later rounds drawn ones alone
+                            out += [(r + which).ravel() for r, which in zip((rows[:FEATURES], rows[FEATURES:]), pair, strict=True)]
+                    for total, out in zip(sums, cells, strict=True):
+                        total += np.bincount(np.concatenate(out), minlength=len(total))
+                cells = ids = history = keys = at = None
                 trim()
-        rows = np.flatnonzero(used)
-        for a in range(0, len(rows), 4096):
-            r = rows[a : a + 4096]
-            moved = (model.weights[r] - shared.value.weights[r]).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(used[r]), pa.array([x.tobytes() for x in moved], pa.binary())], ["bucket", "used", "row"])
+        *seen, drawn = (x.reshape(-1, BLOCK_ROWS * WIDTH) for x in sums)
+        for block in range(len(drawn)):
+            pair = [x[block] for x in (*seen, drawn)]
+            if any(x.any() for x in pair):
+                packed = [b""] * (2 - len(pair)) + [_pack(x) for x in pair]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["block", "seen", "drawn"])
 
     return run
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mean change of each bucket's row, weighted by use; memory is one row a bucket."""
-    total: dict[int, np.ndarray] = {}
-    used: dict[int, int] = {}
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of all tasks by block; memory is the blocks of this partition."""
+    total: dict[int, list[np.ndarray | None]] = {}
     for batch in batches:
-        for bucket, n, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(row, np.float16).astype(np.float64) * n
-            total[bucket] = total[bucket] + x if bucket in total else x
-            used[bucket] = used.get(bucket, 0) + n
-    keys = sorted(total)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([(total[k] / used[k]).astype(np.float32).tobytes() for k in keys], pa.binary())], ["bucket", "row"])
+        for block, *pair in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            old = total.setdefault(block, [None, None])
+            for j, raw in enumerate(pair):
+                if raw:
+                    x = _unpack(raw)
+                    old[j] = x if old[j] is None else old[j] + x
+    for block, pair in total.items():
+        cells = [b"" if x is None else x.astype(np.float32).tobytes() for x in pair]
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], ["block", "seen", "drawn"])
+
+
+def moved(weights: np.ndarray, seen: np.ndarray, drawn: np.ndarray, rate: float) -> np.ndarray:
+    """Weights after one round, from the corpus's sums."""
+    step = np.log((seen + np.float32(DAMPING)) / (drawn + np.float32(DAMPING)))
+    return weights + np.float32(rate) * np.clip(step, -MOST, MOST, out=step)
 
 
 def _scores(shared, frequent=None):
@@ -397,7 +431,7 @@ def _scores(shared, frequent=None):
     return run
 
 
-def first_model(top: list, sums: list) -> Model:
+def first_model(top: list, sums: list, most_buckets: int = BUCKETS[1]) -> Model:
     """A model without history from the most frequent tokens (c, tail, token) and each class's sums (tail, c, v)."""
     train_tokens, distinct = sum(r.c for r in sums), sum(r.v for r in sums)
     mass = np.ones(WIDTH)
@@ -418,7 +452,7 @@ def first_model(top: list, sums: list) -> Model:
     token = np.ascontiguousarray(token).view(U64)
     order = np.argsort(token)
     buckets = BUCKETS[0]
-    while buckets < BUCKETS[1] and buckets * TOKENS_A_BUCKET < train_tokens:
+    while buckets < most_buckets and buckets * TOKENS_A_BUCKET < train_tokens:
         buckets *= 2
     slots = np.maximum(slots - np.log(share)[:, None], NEVER)
     return Model(
@@ -427,10 +461,11 @@ def first_model(top: list, sums: list) -> Model:
     )
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, frequent: int = FREQUENT, most_buckets: int = BUCKETS[1]) -> DataFrame:
     """doc_id, held_out, token counts, base score and model score of every document.
 
     Tokens with one ``frequent``-th of all training tokens have their counts broadcast; no result depends on it.
+    The weights have at most 2 x ``most_buckets`` rows (a power of two) of 192 bytes.
     """
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark, "maxent")
@@ -441,15 +476,18 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     total = scratch.keep(total.filter("c > 0"), "counts")
     sums = total.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # one row a class
     top = total.orderBy(F.desc("c"), "token").limit(NAMED).collect()
-    model = first_model(top, sums)
-    for turn in range(ROUNDS if model.train_tokens else 0):
+    model = first_model(top, sums, most_buckets)
+    tasks = max(parts, TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    seen = np.zeros_like(model.weights)
+    for turn, rate in enumerate(RATES if model.train_tokens else ()):
         shared = spark.sparkContext.broadcast(model)
-        steps = chunks.select("chunk", "held", "lens", "ids", "vocab", "tail").mapInArrow(trimmed(_steps(shared, turn)), "bucket int, used long, row binary")
-        moved = steps.repartition(parts, "bucket").mapInArrow(trimmed(_average), "bucket int, row binary").collect()  # one row a bucket
-        weights = model.weights.copy()
-        for r in moved:
-            weights[r.bucket] += np.frombuffer(r.row, np.float32)
-        model = replace(model, weights=weights)
+        counted = chunks.select("doc_ids", "held", "lens", "ids", "vocab", "tail").coalesce(tasks).mapInArrow(trimmed(_count(shared, turn)), SUMS)
+        drawn = np.zeros_like(model.weights)
+        for r in counted.repartition(parts, "block").mapInArrow(trimmed(_add), SUMS).collect():  # one row a block of weights
+            for table, raw in ((seen, r.seen), (drawn, r.drawn)):
+                if raw:
+                    table[r.block * BLOCK_ROWS : (r.block + 1) * BLOCK_ROWS] = np.frombuffer(raw, np.float32).reshape(-1, WIDTH)
+        model = replace(model, weights=moved(model.weights, seen, drawn, rate))
     # counts that are not broadcast go back to the chunks, one row a token and chunk
     common = spark.sparkContext.broadcast(Frequent.of(total, model.train_tokens, frequent))
     others = chunks.select("chunk", "vocab").mapInArrow(trimmed(_others(common)), "chunk long, pos int, token long")
