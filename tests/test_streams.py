@@ -232,6 +232,45 @@ def test_a_replayed_batch_reads_the_snapshot_of_its_time(spark, tmp_path, monkey
     assert [r.name for r in spark.read.parquet(rows).collect()] == ["old"] and len(seen) == 2
 
 
+def test_a_lookup_reads_only_the_buckets_of_its_keys(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "dim"), ["k"], n_buckets=50)
+    write = O.upserts(table, ["seq"])
+    write(spark.createDataFrame([(i, f"name {i}", 1) for i in range(1000)], "k long, name string, seq int"), 0)
+    read = []
+
+    def join(df, dim):
+        read.append(len(dim.inputFiles()))
+        return df.join(dim.select("k", "name"), df.code.try_cast("long") == F.col("k"), "left").select("id", "name")
+
+    # the stream's keys are text: unreadable, null and unknown ones meet nothing
+    parts = [[("7", 1), ("8", 2), ("7", 3), ("x", 4), (None, 5), ("5000", 6)], [("9", 7)], [(None, 8)]]
+    for i, stream in enumerate(arrivals(spark, tmp_path, "code string, id long", parts)):
+        if i == 1:
+            write(spark.createDataFrame([(9, "new name", 2)], "k long, name string, seq int"), 1)
+        rows = lookup_stream(stream, table, str(tmp_path / "out"), join, on=["code"])
+    got = {r.id: r.name for r in spark.read.parquet(rows).collect()}
+    assert got == {1: "name 7", 2: "name 8", 3: "name 7", 4: None, 5: None, 6: None, 7: "new name", 8: None}
+    assert read[0] <= 4 and read[1] == 1 and read[2] <= 1
+    with pytest.raises(ValueError):
+        table.read_near(spark.createDataFrame([(1,)], "a long"), [])
+    assert BucketTable(spark, str(tmp_path / "none"), ["k"]).read_near(spark.createDataFrame([(1,)], "k long"), ["k"]) is None
+
+
+def test_a_table_keeps_a_bounded_number_of_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError):
+        BucketTable(spark, path, ["id"], keep=1)
+    table = BucketTable(spark, path, ["id"], n_buckets=4, keep=2)
+    write = O.upserts(table, ["ts"])
+    for batch in range(6):
+        write(spark.createDataFrame([(i, batch, f"v{batch}") for i in range(batch, 20)], "id long, ts long, v string"), batch)
+    assert table.versions() == [5, 6]
+    used = {f for n in (5, 6) for fs in table.version(n).buckets.values() for f in fs}
+    there = {f"data/{d}/{b}/{f}" for d in table.files.names(f"{path}/data") for b in table.files.names(f"{path}/data/{d}") for f in table.files.names(f"{path}/data/{d}/{b}") if b.startswith("_bucket")}
+    assert {f for f in there if f.endswith(".parquet")} == used
+    assert {r.id: r.v for r in table.read().collect()} == {i: f"v{min(i, 5)}" for i in range(20)}
+
+
 def test_interval_join_makes_no_far_pairs(spark):
     left = spark.createDataFrame([("u", 1000 * i, i) for i in range(300)] + [("u", None, -1)], "user string, a long, i long")
     right = spark.createDataFrame([("u", 1000 * i + 1, i) for i in range(-50, 350)] + [("v", 5, 0)], "user string, b long, j long")

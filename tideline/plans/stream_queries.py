@@ -518,5 +518,5 @@ def j7_snapshots(spark, d):
     new = [names(0, F.col("dic_name")), names(1, F.concat(F.lit("new "), "dic_name"))]
     for i, stream in enumerate(_arrive([orders.filter(F.col("id").cast("bigint") % 2 == i) for i in range(2)], path)):
         write(new[i], i)
-        rows = lookup_stream(stream, table, f"{path}/out", lambda df, dic: J.lookup_join(df, dic, "code", "code_name"))
+        rows = lookup_stream(stream, table, f"{path}/out", lambda df, dic: J.lookup_join(df, dic, "code", "code_name"), on=["code"])
     return spark.read.parquet(rows).select("id", "code", "code_name")

@@ -103,15 +103,18 @@ class BucketTable:
     A key's hash picks its bucket. A batch rewrites the buckets that its keys fall into;
     the next version is a small file list that names the new files of those and the old
     files of all others. Choose ``n_buckets`` so that a bucket is a task's work; it
-    stays as it was when the table was made.
+    stays as it was when the table was made. With ``keep`` each batch removes all but so
+    many versions, so a stream that runs for ever keeps a bounded number of them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], n_buckets: int = 64):
-        self.spark, self.path, self.keys, self.n_buckets = spark, path, keys, n_buckets
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], n_buckets: int = 64, keep: int | None = None):
+        if keep is not None and keep < 2:
+            raise ValueError("a batch that is tried again needs the version before")
+        self.spark, self.path, self.keys, self.n_buckets, self.keep = spark, path, keys, n_buckets, keep
         self.files = Files(spark, path)
 
-    def bucket(self) -> Any:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.n_buckets)).cast("int")
+    def bucket(self, *keys: Any) -> Any:
+        return F.pmod(F.xxhash64(*(keys or self.keys)), F.lit(self.n_buckets)).cast("int")
 
     def versions(self) -> list[int]:
         return [int(n.split(".")[0]) for n in self.files.names(f"{self.path}/versions") if not n.startswith("_")]
@@ -131,6 +134,21 @@ class BucketTable:
         """The rows of a version; None before the first."""
         return self._rows(self.version(number))
 
+    def read_near(self, rows: DataFrame, columns: list[str], number: int | None = None) -> DataFrame | None:
+        """A version's rows in the buckets that keys in ``columns`` of ``rows`` fall into, so all that those keys can meet.
+
+        The columns are the table's keys in order, whatever their names and types there.
+        """
+        if len(columns) != len(self.keys):
+            raise ValueError(f"{self.path} has the keys {self.keys}")
+        version = self.version(number)
+        if version.schema is None:
+            return None
+        schema = StructType.fromJson(json.loads(version.schema))
+        keys = [F.col(c).try_cast(schema[k].dataType) for c, k in zip(columns, self.keys, strict=True)]
+        near = rows.select(self.bucket(*keys).alias("b")).distinct().collect()  # at most n_buckets
+        return self._rows(version, [r.b for r in near])
+
     def _rows(self, version: Version, only: list[int] | None = None) -> DataFrame | None:
         if version.schema is None:
             return None
@@ -163,6 +181,8 @@ class BucketTable:
     def _commit(self, v: Version) -> None:
         text = json.dumps({"number": v.number, "batch": v.batch, "schema": v.schema, "keys": self.keys, "n_buckets": self.n_buckets, "buckets": v.buckets})
         self.files.write_once(f"{self.path}/versions/{v.number:010d}.json", text)
+        if self.keep:
+            self.vacuum(self.keep)
 
     def vacuum(self, keep: int = 2) -> None:
         """Remove all but the last versions, and data that none of those names."""

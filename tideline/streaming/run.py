@@ -186,11 +186,13 @@ def kept_rules(table: BucketTable) -> DataFrame:
     return held.filter("op <> 'd'").select(*[F.try_element_at("rule", F.lit(c)).alias(c) for c in RULE_COLUMNS])
 
 
-def lookup_stream(stream: DataFrame, table: BucketTable, path: str, join: Callable[[DataFrame, DataFrame], DataFrame]) -> str:
+def lookup_stream(stream: DataFrame, table: BucketTable, path: str, join: Callable[[DataFrame, DataFrame], DataFrame], on: list[str] | None = None) -> str:
     """Join each micro-batch with the version of a dimension that is the latest when the batch first runs.
 
     So a row gets the names of its time. The version is noted before the batch is
     written, and a replay reads the same one; ``vacuum`` has to leave it that long.
+    ``on`` names the stream's columns that meet the dimension's keys: then only the buckets of
+    the batch's keys are read, so a small batch costs little beside a large dimension.
     """
     spark, files = stream.sparkSession, Files(stream.sparkSession, path)
 
@@ -198,7 +200,8 @@ def lookup_stream(stream: DataFrame, table: BucketTable, path: str, join: Callab
         pin = f"{path}/pins/{batch_id}"
         if not files.exists(pin):
             files.write_once(pin, str(table.version().number))
-        snapshot = table.read(int(files.read(pin)))
+        number = int(files.read(pin))
+        snapshot = table.read_near(df, on, number) if on else table.read(number)
         if snapshot is None:
             raise ValueError(f"{table.path} has no rows yet")
         commit_batch(join(df, snapshot), f"{path}/rows", batch_id)
@@ -216,7 +219,7 @@ def retract_stream(stream: DataFrame, path: str, keys: list[str], order: list[st
     old one then, the rows stay the files they are, and only the table is made up for.
     """
     spark = stream.sparkSession
-    table = BucketTable(spark, f"{path}/last", keys, n_buckets)
+    table = BucketTable(spark, f"{path}/last", keys, n_buckets, keep=2)
 
     def work(df: DataFrame, batch_id: int) -> None:
         def merged(held: DataFrame | None, new: DataFrame) -> DataFrame:
