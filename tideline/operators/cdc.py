@@ -24,9 +24,14 @@ def of_table(cdc: DataFrame, table: str, ops: tuple[str, ...] = ("c",)) -> DataF
     return cdc.filter((table_of(cdc) == table) & F.col("op").isin(*ops))
 
 
+#: Event time of the rows of a micro-batch, whose joins are held to it as those of streams are.
+BATCH_TIME = "batch_et"
+
+
 def time_of(df: DataFrame) -> list[str]:
-    """The event time that rows of a stream carry on; batches need none."""
-    return ["et"] if df.isStreaming and "et" in df.columns else []
+    """The event time that rows of a stream or a micro-batch carry on; other batches need none."""
+    name = "et" if df.isStreaming else BATCH_TIME
+    return [name] if name in df.columns else []
 
 
 def cdc_fact(cdc: DataFrame, table: str, columns: list[str], ops: tuple[str, ...] = ("c",)) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,8 +13,17 @@ from ..functions.scalars import negate
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by partial aggregation: at most one row a key and task is shuffled."""
+    return _best(df, keys, order, F.max_by)
+
+
+def earliest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key, likewise."""
+    return _best(df, keys, order, F.min_by)
+
+
+def _best(df: DataFrame, keys: list[str], order: list[str], by: Callable[[Column, Column], Column]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("row")
+    best = by(F.struct(*rest), F.struct(*order)).alias("row")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("row")[c].alias(c) for c in rest]).select(df.columns)
 
 

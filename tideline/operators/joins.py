@@ -30,15 +30,16 @@ def _near(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str,
 
 
 def meet(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner", gap: str = "15 minutes") -> DataFrame:
-    """Join by equal names. Rows of two streams must be at most ``gap`` apart in event time.
+    """Join by equal names. Rows of two streams, or of micro-batches, must be at most ``gap`` apart in event time.
 
     So Spark can drop rows from the state, and a left join gives a row without
     match once the watermark is past its gap. The left row's time is kept.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if not (left.isStreaming and right.isStreaming):
+    times = [*time_of(left), *time_of(right)]
+    if len(times) < 2 or times[0] != times[1]:
         return left.join(right, on, how)
-    return _near(left, right.withColumnRenamed("et", "_et"), on, "et", "_et", gap, gap, how).drop("_et")
+    return _near(left, right.withColumnRenamed(times[1], "_et"), on, times[0], "_et", gap, gap, how).drop("_et")
 
 
 def detail_with_order(detail: DataFrame, orders: DataFrame) -> DataFrame:

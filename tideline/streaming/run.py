@@ -83,10 +83,12 @@ def drain(stream: DataFrame, path: str, mode: str = "append", partitions: int |
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def each_batch(stream: DataFrame, path: str, work: Callable[[DataFrame, int], None]) -> None:
-    """Run ``work`` on every micro-batch, held in memory while it writes to several sinks."""
+def each_batch(stream: DataFrame, path: str, work: Callable[[DataFrame, int], None], hold: bool = True) -> None:
+    """Run ``work`` on every micro-batch, held in memory while it writes to several sinks unless ``hold`` is false."""
 
     def run(df: DataFrame, batch_id: int) -> None:
+        if not hold:
+            return work(df, batch_id)
         df.persist()
         try:
             work(df, batch_id)
