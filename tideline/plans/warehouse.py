@@ -628,7 +628,7 @@ def x3(spark, d):
 UNION ALL SELECT 'order_detail', 'c', 'dwd_order_detail', id, ts FROM v_detail""",
 )
 def x4(spark, d):
-    rules = spark.createDataFrame([("order_info", "u", "dwd_order_status"), ("order_detail", "c", "dwd_order_detail"), ("part", "r", "none")], "source_table string, op string, sink_topic string")
+    rules = X.literal_rows(spark, [("order_info", "u", "dwd_order_status"), ("order_detail", "c", "dwd_order_detail"), ("part", "r", "none")], ["source_table", "op", "sink_topic"])
     routed = C.route_facts(X.cdc(spark, d).unionByName(X.dim_cdc(spark, d)), rules)
     return routed.select("source_table", "op", "sink_topic", C.entry("data", "id").alias("id"), "ts")
 
