@@ -131,7 +131,25 @@ def hex_to_decimal(x: Column | str, divide: bool = False) -> Column:
     ``divide`` scales by 1e-18 and leaves out zeros at the end that the input's scale did not have.
     Text that is neither gives null.
     """
-    return F.when(_c(x).isNull(), F.lit("0")).otherwise(_let(_c(x).cast("string"), lambda text: _plain_text(text, divide)))
+    text = _c(x).cast("string")
+    return _short_text(F.when(text.isNull(), F.lit("0")), text, divide).otherwise(_let(text, lambda t: _plain_text(t, divide)))
+
+
+def _short_text(known: Column, text: Column, divide: bool) -> Column:
+    """The common forms, by plain expressions that are compiled; limbs and arrays are for all others."""
+    if not divide:
+        exponent = F.split_part(F.lower(text), F.lit("e"), F.lit(2)).try_cast("int")
+        return (
+            known.when(text.rlike(r"^-?[1-9]\d*(\.\d+)?\z"), text)
+            .when(text.rlike(r"^0x0*[0-9a-fA-F]{1,15}\z"), F.conv(F.substr(text, F.lit(3)), 16, 10))
+            .when(text.rlike(r"^[1-9]\d*[eE]\d{1,4}\z"), F.concat(F.split_part(F.lower(text), F.lit("e"), F.lit(1)), F.repeat(F.lit("0"), exponent)))
+        )
+    kept = F.regexp_replace(text, "0{1,18}$", "")
+    scale = 18 - F.length(text) + F.length(kept)
+    digits = F.lpad(kept, F.greatest(F.length(kept), scale + 1), "0")
+    point = F.length(digits) - scale
+    whole = F.regexp_replace(F.substr(digits, F.lit(1), point), "^0+(?=.)", "")
+    return known.when(text.rlike(r"^[1-9]\d*\z"), F.when(scale > 0, F.concat(whole, F.lit("."), F.substr(digits, point + 1, scale))).otherwise(whole))
 
 
 _DECIMAL = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d{1,4}))?$"
