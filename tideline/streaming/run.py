@@ -83,8 +83,11 @@ def drain(stream: DataFrame, path: str, mode: str = "append", partitions: int |
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def each_batch(stream: DataFrame, path: str, work: Callable[[DataFrame, int], None], hold: bool = True) -> None:
-    """Run ``work`` on every micro-batch, held in memory while it writes to several sinks unless ``hold`` is false."""
+def each_batch(stream: DataFrame, path: str, work: Callable[[DataFrame, int], None], hold: bool = True, partitions: int | None = None) -> None:
+    """Run ``work`` on every micro-batch, held in memory while it writes to several sinks unless ``hold`` is false.
+
+    Joins and sums within ``work`` go over ``partitions``, one a core unless told otherwise.
+    """
 
     def run(df: DataFrame, batch_id: int) -> None:
         if not hold:
@@ -95,7 +98,7 @@ def each_batch(stream: DataFrame, path: str, work: Callable[[DataFrame, int], No
         finally:
             df.unpersist()
 
-    with _state_partitions(stream.sparkSession, None):
+    with _state_partitions(stream.sparkSession, partitions):
         query = stream.writeStream.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(run).start()
         query.awaitTermination()
 
