@@ -1,7 +1,9 @@
 """What joins shuffle."""
 
+from tideline.operators import cdc as C
 from tideline.operators import joins as J
 from tideline.plans import fixtures as X
+from tideline.sources import readers as R
 
 
 def test_rules_have_a_size_that_spark_knows(spark):
@@ -9,3 +11,24 @@ def test_rules_have_a_size_that_spark_knows(spark):
     for table in (X.rules(spark), X.literal_rows(spark, [("a", "b"), ("c", "d")], ["x", "y"])):
         assert int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100_000
     assert sorted(map(tuple, X.literal_rows(spark, [("a", "b"), ("c", "d")], ["x", "y"]).collect())) == [("a", "b"), ("c", "d")]
+
+
+def test_the_whole_log_reads_its_rows_once_a_source(spark, sf):
+    """Refunds were joined once for each of their four kinds of envelopes, orders once for each of two."""
+    whole, apart = X.cdc(spark, sf, whole=True), X.cdc(spark, sf)
+    text = lambda df: sorted(r.value for r in C.rows_to_json(df).collect())
+    assert text(whole) == text(apart)
+    scans = lambda df: sum("Relation" in x and "l_orderkey" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert (scans(apart), scans(whole)) == (7, 4)
+
+
+def test_named_entries_are_what_the_maps_hold(spark):
+    lines = [
+        '{"source":{"table":"a","ts_ms":"5"},"op":"c","ts_ms":5,"after":{"id":"1","n":"x","deep":{"id":7}},"before":null}',
+        '{"source":{"table":"b"},"op":"u","ts_ms":6,"after":{"id":2,"n":null},"before":{"n":1.50}}',
+        '{"op":"d","ts_ms":7,"after":null,"before":{"id":{"k":[1]}}}', '{"source":{},"after":{}}', "{}", "[]", "not json", '{"op":"c","after":{"id":"9"', "", None,
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    entries = [C.entry(m, c).alias(f"{m}_{c}") for m in ("after", "before") for c in ("id", "n")] + [C.entry("source", c).alias(c) for c in ("table", "ts_ms")]
+    rows = lambda read: read.select(*entries, "op", "et", "source_table").collect()
+    assert rows(R.read_cdc(df, entries=["id", "n"])) == rows(R.read_cdc(df))

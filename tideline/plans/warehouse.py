@@ -55,8 +55,8 @@ UNION ALL SELECT 'comment_info', 'c', id, ts FROM v_refund"""
 
 @query("s1_read_cdc", CDC_ROWS)
 def s1(spark: SparkSession, d: str) -> DataFrame:
-    lines = C.rows_to_json(X.cdc(spark, d))
-    return R.read_cdc(lines).select(C.entry("source", "table").alias("tbl"), "op", C.entry("after", "id").alias("id"), F.unix_millis("et").alias("ts"))
+    lines = C.rows_to_json(X.cdc(spark, d, whole=True))
+    return R.read_cdc(lines, entries=["id"]).select(C.entry("source", "table").alias("tbl"), "op", C.entry("after", "id").alias("id"), F.unix_millis("et").alias("ts"))
 
 
 @query("s3_read_json_table", "SELECT K(props) AS k, count(*) AS n FROM events GROUP BY 1")

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalars import camel_columns, event_time
 from .schemas import CDC
@@ -78,13 +78,20 @@ def read_json_table(lines: DataFrame, schema: StructType, value: str = "value",
     return out.withColumn("et", event_time(ms)) if ms else out
 
 
-def read_cdc(lines: DataFrame, value: str = "value") -> DataFrame:
+def read_cdc(lines: DataFrame, value: str = "value", entries: Sequence[str] | None = None) -> DataFrame:
     """Change envelopes: source, op, ts_ms, after, before, event time ``et`` and ``source_table``.
 
     Partition stored change tables by ``source_table``: a fact then reads its own files only.
+    Of a reader that names its ``entries`` only these are parsed, into structs in place of the maps; all
+    else in a line is passed over.
     """
-    rows = read_json_table(lines, CDC, value, "ts_ms")
-    return rows.withColumn("source_table", F.try_element_at("source", F.lit("table")))
+    schema = CDC
+    if entries is not None:
+        of = lambda names: StructType([StructField(n, StringType()) for n in names])
+        taken = {"source": of(["table", "ts_ms"]), "after": of(entries), "before": of(entries)}
+        schema = StructType([StructField(f.name, taken.get(f.name, f.dataType)) for f in CDC])
+    rows = read_json_table(lines, schema, value, "ts_ms")
+    return rows.withColumn("source_table", F.try_element_at("source", F.lit("table")) if entries is None else F.col("source.table"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
