@@ -50,3 +50,24 @@ def test_prefix_lists_hold_every_linked_pair(spark):
             inter = len(np.intersect1d(sets[i], sets[j]))
             if 100 * inter >= 70 * (len(sets[i]) + len(sets[j]) - inter):
                 assert any({i, j} <= m for m in held.values())
+
+
+def test_long_lists_of_pages_that_hubs_do_not_link_are_cut_into_blocks(monkeypatch, spark):
+    """What pages share is in each one's prefix, most are below the threshold: a hub a round would go on for as many rounds as there are pages."""
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    page = [word() for _ in range(80)]
+    rows = [(i, " ".join(page + [word() for _ in range(10 + i % 5)])) for i in range(40)]
+    rows += [(40 + i, rows[i][1] + " " + word()) for i in range(0, 40, 8)]
+    got, rounds = _rounds(monkeypatch, spark, rows, node_cap=8, cluster_cap=8)
+    assert got == components({i: shingles(t, 4) for i, t in rows}, 80)
+    assert rounds <= 3 * neardup.HUB_ROUNDS
+
+
+def test_parities_never_tell_more_than_the_difference():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 500, n)) for n in rng.integers(1, 300, 60)]
+    parity = neardup._parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for i in range(60):
+        for j in range(i):
+            assert np.bitwise_count(parity[i] ^ parity[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))

@@ -16,12 +16,15 @@ component are found without listing pairs. A cluster above ``CLUSTER_CAP`` is
 resolved node by node instead. Nodes that stay large at the end of branching are
 resolved exactly. All members are compared with a hub, those linked are done and
 leave, except members that the triangle inequality lets reach one that is not done;
-while hubs link much of what is open, they go on. Other groups go on after
-``HUB_ROUNDS`` hubs by prefix lists, in a fixed number of rounds. Two sets of
+while hubs link much of what is open, they go on. The members of other groups go on after
+``HUB_ROUNDS`` hubs by prefix lists, once however many groups they are in. Two sets of
 similarity t share one of the first n - ceil(t n) + 1 elements of each in any order
 that is the same for all; elements are ordered rarest first by a bounded table of
 counts, so what a template's pages have in common makes no list. Lists are
-compared like clusters. Only lists that are large even so go on by hubs.
+compared like clusters. Lists that are large even so go by hubs in the same way, and what
+is left of them is cut into blocks, each two of which are compared like a cluster: the number of
+rounds does not grow with a list. Where full sets are compared, parity bits that tell a least difference
+leave out most pairs that cannot link.
 
 Defined results
 * null or empty text, or no words: empty set, linked with nothing
@@ -176,6 +179,17 @@ def linked(inter: np.ndarray, union: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * union
 
 
+def _parities(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of bits a set: whether an even or odd number of its elements fall on each. Two rows differ in no more bits than their sets in elements."""
+    n = len(at) - 1
+    bits = 64 << int(np.ceil(np.log2(max(1.0, 2.5 * np.median(np.diff(at)) / 64))))
+    out = np.zeros((n, bits // 64), U64)
+    slot = mix(codes.astype(U64)) & U64(bits - 1)
+    owner = np.repeat(np.arange(n), np.diff(at))
+    np.bitwise_xor.at(out, (owner, (slot >> U64(6)).astype(np.int64)), U64(1) << (slot & U64(63)))
+    return out
+
+
 def _exact(percent: int) -> Callable:
     """Edges between members of a group whose full sets are similar enough."""
 
@@ -188,12 +202,17 @@ def _exact(percent: int) -> Callable:
             _, codes = np.unique(np.concatenate(data), return_inverse=True)
             at = np.concatenate([[0], np.cumsum(sizes)])
             mark = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+            parity = _parities(codes, at) if len(reps) > 2 else None
 
             def near(i: int, rest: np.ndarray) -> np.ndarray:
                 mine = codes[at[i] : at[i + 1]]
                 mark[mine] = True
                 inter = np.zeros(len(rest), np.int64)
                 fits = np.flatnonzero((100 * sizes[rest] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[rest]))
+                if parity is not None and len(fits):
+                    r = rest[fits]
+                    apart = np.bitwise_count(parity[r] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                    fits = fits[(100 + percent) * apart <= (100 - percent) * (sizes[r] + sizes[i])]
                 if len(fits):
                     r = rest[fits]
                     n = sizes[r]
@@ -263,7 +282,7 @@ def _nodes(reps: DataFrame, scratch: Scratch, cap: int) -> tuple[DataFrame, Data
     return both[0], both[1]
 
 
-def _by_hubs(rows: DataFrame, percent: int, scratch: Scratch, cap: int, rounds: int | None = None) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+def _by_hubs(rows: DataFrame, percent: int, scratch: Scratch, cap: int, rounds: int = HUB_ROUNDS) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     """From groups (grp, rep, shingles) of any size: edges, smaller groups, and large groups of which hubs link too little.
 
     Each round compares a group's members with one that no hub has linked. What
@@ -283,7 +302,7 @@ def _by_hubs(rows: DataFrame, percent: int, scratch: Scratch, cap: int, rounds:
         if turn == rounds:
             sparse = rows.filter("not dense").select(*columns)
             rows = rows.filter("dense")
-        elif rounds is not None and turn > rounds:
+        elif turn > rounds:
             sparse = sparse.unionByName(rows.filter("not dense").select(*columns))
             rows = rows.filter("dense")
         rows = scratch.keep(rows, "rows")
@@ -342,27 +361,35 @@ def _element_counts(rows: DataFrame) -> np.ndarray:
 
 
 def _prefix_lists(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(grp, rep): the lists of rare elements that hold every linked pair of each group together."""
+    """(grp, rep): the lists of rare elements that hold every linked pair of the rows (rep, shingles) together."""
     shared = scratch.spark.sparkContext.broadcast(_element_counts(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, reps = [], []
-            for grp, rep, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for rep, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = np.frombuffer(x.as_buffer(), U64)
                 n = len(tokens)
                 first = np.lexsort((tokens, shared.value[_slots(tokens)]))[: n - -(-percent * n // 100) + 1]
-                keys.append(mix(tokens[first] ^ mix(np.array([grp], np.int64).view(U64))).view(np.int64))
+                keys.append(tokens[first].view(np.int64))
                 reps.append(np.full(len(first), rep, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (keys, reps)], ["grp", "rep"])
 
-    lists = scratch.keep(rows.select("grp", "rep", "shingles").mapInArrow(trimmed(run), "grp long, rep long"), "lists")
+    lists = scratch.keep(rows.select("rep", "shingles").mapInArrow(trimmed(run), "grp long, rep long"), "lists")
     h = F.xxhash64
     count = lists.groupBy("grp").agg(F.count("*").alias("n"), F.bit_xor(h("rep")).alias("x"), F.bit_xor(h("rep", F.lit(1))).alias("y")).filter("n > 1")
     once = count.groupBy("n", "x", "y").agg(F.min("grp").alias("grp")).select("grp")  # of lists with the same members one is enough
     return scratch.keep(lists.join(once, "grp"), "lists")
 
 
+def _blocks(rows: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
+    """Groups (grp, rep, shingles) of any size as groups of about ``cap`` members that hold each pair together: one for every two blocks of half as many."""
+    size = scratch.keep(rows.groupBy("grp").agg(F.greatest(F.lit(2), F.ceil(F.count("*") * 2 / cap)).alias("blocks")), "blocks")
+    spread = rows.join(size, "grp").withColumn("one", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    spread = spread.withColumn("two", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("one <> two")
+    return spread.select(F.xxhash64("grp", F.least("one", "two"), F.greatest("one", "two")).alias("grp"), "rep", "shingles")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, node_cap: int = NODE_CAP, cluster_cap: int = CLUSTER_CAP) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     spark = ship(docs.sparkSession)
@@ -405,10 +432,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, node_cap: in
         more, rest, wide = _by_hubs(wide, percent, scratch, node_cap, HUB_ROUNDS)
         rest = [rest]
         if not wide.isEmpty():
+            # a member is in many groups of like members: one row of it is enough, for its lists hold all it can link with
+            wide = scratch.keep(wide.select("rep").distinct().join(sets, "rep"), "open")
             lists = _prefix_lists(wide, percent, scratch)
             lists = scratch.keep(lists.join(sets, "rep").select("grp", "rep", "shingles"), "listed")
-            edges, small_lists, _ = _by_hubs(lists, percent, scratch, node_cap)
+            edges, small_lists, large_lists = _by_hubs(lists, percent, scratch, node_cap, HUB_ROUNDS)
             more, rest = [*more, *edges], [*rest, small_lists]
+            if not large_lists.isEmpty():
+                rest.append(_blocks(large_lists, node_cap, scratch))
         grouped = reduce(DataFrame.unionByName, [members.join(sets, "rep").select("grp", "rep", "shingles"), *rest])
         edges = reduce(DataFrame.unionByName, [_by_group(grouped, _exact(percent)), *more])
         found = connected_components(edges, scratch).select(F.col("v").alias("rep"), "component")
