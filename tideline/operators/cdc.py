@@ -34,9 +34,18 @@ def time_of(df: DataFrame) -> list[str]:
     return [name] if name in df.columns else []
 
 
+#: Key that rows which meet have in common, as messages of a partitioned log do: dealt out by it once, they meet without another shuffle.
+KEY = "source_key"
+
+
+def carried(df: DataFrame) -> list[str]:
+    """The event time and the key that rows carry on."""
+    return [*time_of(df), *([KEY] if KEY in df.columns else [])]
+
+
 def cdc_fact(cdc: DataFrame, table: str, columns: list[str], ops: tuple[str, ...] = ("c",)) -> DataFrame:
     """Named entries of ``after`` as columns, and the source's ``ts_ms``."""
-    return of_table(cdc, table, ops).select(*[entry("after", c).alias(c) for c in columns], entry("source", "ts_ms").alias("ts_ms"), *time_of(cdc))
+    return of_table(cdc, table, ops).select(*[entry("after", c).alias(c) for c in columns], entry("source", "ts_ms").alias("ts_ms"), *carried(cdc))
 
 
 def status_changed_to(cdc: DataFrame, table: str, column: str, value: str, columns: list[str], before: str | None = None) -> DataFrame:
@@ -45,7 +54,7 @@ def status_changed_to(cdc: DataFrame, table: str, column: str, value: str, colum
     hit = of_table(cdc, table, ("u",)).filter(old.isNotNull() & (entry("after", column) == value))
     if before is not None:
         hit = hit.filter(old == before)
-    return hit.select(*[entry("after", c).alias(c) for c in columns], entry("source", "ts_ms").alias("ts_ms"), *time_of(cdc))
+    return hit.select(*[entry("after", c).alias(c) for c in columns], entry("source", "ts_ms").alias("ts_ms"), *carried(cdc))
 
 
 def cart_add(cdc: DataFrame, table: str = "cart_info") -> DataFrame:

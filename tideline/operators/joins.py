@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import amount, ms_string_to_date
-from .cdc import cdc_fact, status_changed_to, time_of
+from .cdc import KEY, carried, cdc_fact, status_changed_to, time_of
 
 DETAIL = "id order_id sku_id sku_name create_time source_id source_type sku_num order_price split_total_amount split_activity_amount split_coupon_amount".split()
 REFUND = "id user_id order_id sku_id refund_type refund_num refund_amount refund_reason_type refund_reason_txt create_time".split()
@@ -33,9 +33,11 @@ def meet(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str =
     """Join by equal names. Rows of two streams, or of micro-batches, must be at most ``gap`` apart in event time.
 
     So Spark can drop rows from the state, and a left join gives a row without
-    match once the watermark is past its gap. The left row's time is kept.
+    match once the watermark is past its gap. The left row's time is kept. Rows that have a
+    log's key meet only with the same one.
     """
     on = [on] if isinstance(on, str) else list(on)
+    on += [KEY for both in [{*left.columns} & {*right.columns}] if KEY in both]
     times = [*time_of(left), *time_of(right)]
     if len(times) < 2 or times[0] != times[1]:
         return left.join(right, on, how)
@@ -44,17 +46,17 @@ def meet(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str =
 
 def detail_with_order(detail: DataFrame, orders: DataFrame) -> DataFrame:
     """Order details with their order's user and province."""
-    o = orders.select(F.col("id").alias("order_id"), "user_id", "province_id", *time_of(orders))
+    o = orders.select(F.col("id").alias("order_id"), "user_id", "province_id", *carried(orders))
     return meet(detail.filter("id is not null"), o, "order_id")
 
 
 def with_activity(detail: DataFrame, activity: DataFrame) -> DataFrame:
-    a = activity.filter("order_detail_id is not null").select(F.col("order_detail_id").alias("id"), "activity_id", "activity_rule_id", *time_of(activity))
+    a = activity.filter("order_detail_id is not null").select(F.col("order_detail_id").alias("id"), "activity_id", "activity_rule_id", *carried(activity))
     return meet(detail, a, "id", "left")
 
 
 def with_coupon(detail: DataFrame, coupon: DataFrame) -> DataFrame:
-    c = coupon.filter("order_detail_id is not null").select(F.col("order_detail_id").alias("id"), "coupon_id", *time_of(coupon))
+    c = coupon.filter("order_detail_id is not null").select(F.col("order_detail_id").alias("id"), "coupon_id", *carried(coupon))
     return meet(detail, c, "id", "left")
 
 

@@ -65,7 +65,7 @@ class Files:
         self.rename(staged, path)
 
 
-def commit_batch(df: DataFrame, path: str, batch_id: int, *partition_by: str | None, form: str = "parquet") -> bool:
+def commit_batch(df: DataFrame, path: str, batch_id: int, *partition_by: str | None, form: str = "parquet", compression: str | None = None) -> bool:
     """Add a batch's rows as the folder ``batch=N``, once: a batch that is there already is left as it is.
 
     The folders are the ledger, so it lasts as long as the rows. A stream that reads
@@ -76,7 +76,8 @@ def commit_batch(df: DataFrame, path: str, batch_id: int, *partition_by: str | N
     if files.exists(folder):
         return False
     staged = f"{path}/_staged/{batch_id}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*[c for c in partition_by if c]).format(form).save(staged)
+    writer = df.write.partitionBy(*[c for c in partition_by if c]).format(form)
+    (writer.option("compression", compression) if compression else writer).save(staged)
     files.rename(staged, folder)
     files.delete(f"{path}/_staged")
     return True

@@ -54,6 +54,18 @@ def _state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
         spark.conf.set(name, old)
 
 
+@contextmanager
+def dealt_once(spark: SparkSession) -> Iterator[None]:
+    """Joins by several columns leave rows where they are that are dealt out by one of them; Spark asks for all of them unless told."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 @contextmanager
 def _empty_batches(spark: SparkSession, on: bool) -> Iterator[None]:
     name = "spark.sql.streaming.noDataMicroBatches.enabled"
