@@ -39,7 +39,7 @@ def clear_work(spark: SparkSession) -> None:
 
 
 @contextmanager
-def _state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
+def shuffle_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
     """Partitions of new streams: ``n``, or one a core of the cluster.
 
     Adaptive execution does not merge those of a stream, and each one of each
@@ -54,16 +54,26 @@ def _state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
         spark.conf.set(name, old)
 
 
+def many(spark: SparkSession) -> int:
+    """As many partitions as keep a task's sort in memory: adaptive execution merges small ones, but cuts no large ones."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+
+
 @contextmanager
 def dealt_once(spark: SparkSession) -> Iterator[None]:
-    """Joins by several columns leave rows where they are that are dealt out by one of them; Spark asks for all of them unless told."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    old = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Joins by several columns leave rows where they are that are dealt out by one of them; Spark asks for all of them unless told.
+
+    Narrow rows become wide after they are dealt out and before they are sorted, so a task gets fewer bytes of them than Spark's 64 MB.
+    """
+    new = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+    old = {name: spark.conf.get(name) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.set(name, value)
 
 
 @contextmanager
@@ -86,7 +96,7 @@ def drain(stream: DataFrame, path: str, mode: str = "append", partitions: int |
     """
     spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", f"{path}/progress").outputMode(mode).trigger(availableNow=True)
-    with _state_partitions(spark, partitions), _empty_batches(spark, empty_batches):
+    with shuffle_partitions(spark, partitions), _empty_batches(spark, empty_batches):
         if mode == "append":
             query = writer.format("parquet").start(f"{path}/rows")
         else:
@@ -110,7 +120,7 @@ def each_batch(stream: DataFrame, path: str, work: Callable[[DataFrame, int], No
         finally:
             df.unpersist()
 
-    with _state_partitions(stream.sparkSession, partitions):
+    with shuffle_partitions(stream.sparkSession, partitions):
         query = stream.writeStream.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(run).start()
         query.awaitTermination()
 
