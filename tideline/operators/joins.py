@@ -37,7 +37,8 @@ def meet(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str =
     log's key meet only with the same one.
     """
     on = [on] if isinstance(on, str) else list(on)
-    on += [KEY for both in [{*left.columns} & {*right.columns}] if KEY in both]
+    if KEY in left.columns and KEY in right.columns:
+        on.append(KEY)
     times = [*time_of(left), *time_of(right)]
     if len(times) < 2 or times[0] != times[1]:
         return left.join(right, on, how)
